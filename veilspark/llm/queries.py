@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilspark.llm import chat_format, html_density, token_count, token_store, topk, url_filter
+from veilspark.llm import chat_format, decontaminate, html_density, token_count, token_store, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_chat_format": chat_format.query,
     "op5_exact_topk": topk.query,
+    "op6_decontamination": decontaminate.query,
     "op8_html_text": html_density.query,
     "op9_token_store": token_store.query,
     "op10_token_counts": token_count.query,
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_chat_format": chat_format.ORACLE,
     "op5_exact_topk": topk.ORACLE,
+    "op6_decontamination": decontaminate.ORACLE,
 }
