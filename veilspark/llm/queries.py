@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilspark.llm import chat_format, decontaminate, html_density, token_count, token_store, topk, toxicity, url_filter
+from veilspark.llm import chat_format, decontaminate, html_density, near_dup, token_count, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_chat_format": chat_format.query,
+    "op3_near_duplicates": near_dup.query,
     "op4_toxicity": toxicity.query,
     "op5_exact_topk": topk.query,
     "op6_decontamination": decontaminate.query,
