@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,8 +136,10 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
 _SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(phrases, keep: int, last: bool):
-    """A scan over (kept columns, text, hits, items); hits is one bit a word. The last pass gives the results."""
+def _pass(phrases, keep: int, last: bool, cut: bool):
+    """A scan over (kept columns, text, hits, items); hits is one bit a word. The last pass gives the results.
+
+    cut: the text without its removal spans takes the spans' place."""
 
     def run(batches):
         for batch in batches:
@@ -156,24 +159,32 @@ def _pass(phrases, keep: int, last: bool):
                 yield pa.RecordBatch.from_arrays([*kept, batch.column(keep), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
                 continue
             spans = [_spans(column[r].as_py(), hit[splits[r] : splits[r + 1]]) if hits[r] else [] for r in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n), pa.array(hits), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPAN)], [*batch.schema.names[:keep], "n_words", "n_hit", "item_ids", "spans"])
+            if cut:
+                left = [cut_spans(column[r].as_py(), x) if x else None for r, x in enumerate(spans)]
+                changed = pa.array(left, pa.string())
+                found = pc.if_else(pc.is_valid(changed), changed, batch.column(keep).cast(pa.string()))
+            else:
+                found = pa.array(spans, _SPAN)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n), pa.array(hits), pa.array(items, pa.list_(pa.string())), found], [*batch.schema.names[:keep], "n_words", "n_hit", "item_ids", "cut" if cut else "spans"])
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, most_bytes: int = 16 << 20) -> DataFrame:
-    """The kept columns (as k0, k1, ...), n_words, n_hit, item_ids and spans (byte ranges to remove), a row a document."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, most_bytes: int = 16 << 20, cut: bool = False) -> DataFrame:
+    """The kept columns (as k0, k1, ...), n_words, n_hit, item_ids and spans (byte ranges to remove), a row a document.
+
+    cut: the text without these ranges, as column cut, instead of spans."""
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("t"), F.lit(0))), F.lit(0)).alias("n")).first().n
     groups = max(1, -(-size // most_bytes))
-    now = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text_"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    now = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text_"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     for g in range(groups):
         own = items if groups == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)
         phrases = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in own.collect()], window))  # about most_bytes of items
         last = g == groups - 1
-        now = now.mapInArrow(_pass(phrases, len(keep), last), kinds + ("n_words long, n_hit long, item_ids array<string>, spans array<struct<begin: long, end: long>>" if last else "text_ string, hits binary, items array<string>"))
+        now = now.mapInArrow(_pass(phrases, len(keep), last, cut), kinds + ("n_words long, n_hit long, item_ids array<string>, " + ("cut string" if cut else "spans array<struct<begin: long, end: long>>") if last else "text_ string, hits binary, items array<string>"))
     return now
 
 
@@ -196,21 +207,12 @@ def cut_spans(text: str | None, spans: list[dict] | None) -> str | None:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """Leaves out contaminated documents, and cuts the removal spans out of the others; the columns stay."""
     names = docs.columns
-    found = find_contamination(docs, benchmark, keep=tuple(names), text_col=text_col, **options).where(~contaminated())
-
-    def cut(batches):
-        for batch in batches:
-            changed = [cut_spans(t, s) for t, s in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(changed, pa.string())], [*batch.schema.names[:-2], "t"])
-
-    at = names.index(text_col)
-    others = [f"k{i}" for i in range(len(names)) if i != at]
-    kinds = "".join(f"{c} {docs.schema[int(c[1:])].dataType.simpleString()}, " for c in others)
-    rows = found.select(*others, F.col(f"k{at}").cast("string").alias("t"), "spans").mapInArrow(cut, kinds + "t string")
-    out = {c: F.col("t") if c == text_col else F.col(f"k{i}") for i, c in enumerate(names)}
+    others = [c for c in names if c != text_col]
+    found = find_contamination(docs, benchmark, keep=tuple(others), text_col=text_col, cut=True, **options).where(~contaminated())
+    out = {c: F.col(f"k{i}") for i, c in enumerate(others)} | {text_col: F.col("cut")}
     if chars_col in out:
-        out[chars_col] = F.length("t").cast(docs.schema[chars_col].dataType)
-    return rows.select(*[e.alias(c) for c, e in out.items()])
+        out[chars_col] = F.when(F.col("n_hit") > 0, F.length("cut").cast(docs.schema[chars_col].dataType)).otherwise(out[chars_col])
+    return found.select(*[out[c].alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

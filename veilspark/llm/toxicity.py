@@ -143,7 +143,20 @@ def score_texts(docs: DataFrame, model: Toxicity, *, keep: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], "score"])
 
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    return docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t")).mapInArrow(run, kinds + "score double")
+    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t")).mapInArrow(run, kinds + "score double")
+
+
+def reject_toxic(docs: DataFrame, model: Toxicity, *, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below the cut, with their own columns."""
+    shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            scores = [shipped.value.score(w.codes, w.splits) for _, _, w in word_slices(batch.column(at))]
+            yield batch.filter(pa.array((np.concatenate(scores) if scores else np.zeros(0)) < model_cut))
+
+    model_cut = model.cut
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
