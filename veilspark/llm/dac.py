@@ -25,10 +25,11 @@ class Levels:
 
     @classmethod
     def encode(cls, values: np.ndarray) -> Levels:
-        left = np.ascontiguousarray(values, np.uint64)
+        left = np.ascontiguousarray(values)
+        left = left if left.dtype.kind == "u" else left.astype(np.uint64)
         n, chunks, bitmaps, ranks = len(left), [], [], []
         while True:
-            chunks.append((left & np.uint64(255)).astype(np.uint8))
+            chunks.append(left.astype(np.uint8))
             more = left > 255
             if not more.any():
                 return cls(chunks, bitmaps, ranks, n)
@@ -37,7 +38,7 @@ class Levels:
             per = BLOCK_BITS // 8
             padded = np.concatenate([_ONES[bits], np.zeros(-len(bits) % per, np.uint8)]).reshape(-1, per)
             ranks.append(np.concatenate([[0], np.cumsum(padded.sum(axis=1, dtype=np.int64))]).astype(np.int64))
-            left = left[more] >> np.uint64(8)
+            left = left[more] >> left.dtype.type(8)
 
     def _rank(self, level: int, at: np.ndarray) -> np.ndarray:
         """Set bits before each position."""

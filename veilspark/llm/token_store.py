@@ -1,13 +1,14 @@
 """Token ids of documents as files of directly addressable codes (see dac.py), in ascending id order.
 
-Rows are range-partitioned and sorted by (id, hash of the text), so a repeated id can spread over tasks. Each task
-encodes whole texts and writes one file into the shared folder, under a name of its own attempt that is then moved into
+Rows are range-partitioned by (id, hash of the text), so a repeated id can spread over tasks. Each task encodes whole
+texts, puts their ids in order and writes one file into the shared folder, under a name of its own attempt that is then moved into
 place, so a repeated or lost task leaves one whole file. The number of files follows the input. A table of each file's
-documents and tokens (one row a file) gives the position at which each file begins; reading goes through Spark's binary
-file source.
+documents and tokens (one row a file) gives the position at which each file begins; a task reads one file.
 
 Encoding cuts a text at spaces, tabs and line feeds, which the vocabulary's file drops and never merges across; each
-distinct piece goes through the tokenizers library once and is then taken from a memo of bounded size.
+distinct piece of a slice of texts (told apart by 128 bits of its bytes) goes through the tokenizers library once. Plain words go in lower case, without the
+sign after them and many to a call (each one's ids end with a token that closes a word), and stay in a memo of bounded
+size for the texts to come.
 
 Cases: null texts count as empty and hold the end id alone; null ids come first and stay null; repeated rows each have
 their tokens; an empty table gives no files and no rows; other columns are ignored."""
@@ -15,6 +16,7 @@ their tokens; an empty table gives no files and no rows; other columns are ignor
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -26,32 +28,90 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.dac import Levels, TokenFile
 from veilspark.llm.shared import new_dir, slices, texts
+from veilspark.llm.wordcodes import SECOND_BASE, buffers, run_codes, words_of
+
+
+#: A word as most are, in lower case; no word merges with the signs.
+PLAIN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+")
+SIGNS = ".,;:!?"
+#: Pieces are cut at spaces, tabs and line feeds; NUL counts as the byte that UTF-8 never has.
+PIECE_BYTES = np.arange(256, dtype=np.uint8)
+PIECE_BYTES[[0x20, 0x09, 0x0A]] = 0
+PIECE_BYTES[0] = 0xFF
 
 
 class Encoder:
-    """Token ids of whole texts; `most` bounds the memo."""
+    """Token ids of whole texts; `most` bounds the memo of plain words in lower case."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.memo = Tokenizer.from_file(path), most, {}
+        self.library, self.most, self.words = Tokenizer.from_file(path), most, {}
         self.library.no_truncation()
         self.library.no_padding()
-
-    def encode(self, values: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in values]
-        if len(self.memo) > self.most:
-            self.memo = {}
-        memo = self.memo
-        memo[""] = b""
-        new = list({p for ps in cut for p in ps if p not in memo})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, ps)) for ps in cut]
+        vocab = self.library.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _library(self, values: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(values, add_special_tokens=False)]
+
+    def _words(self, new: list[str], group: int = 500) -> None:
+        """Plain words, many to a call: each ends with the only token of its own that closes a word."""
+        size = self.kind.itemsize
+        for a in range(0, len(new), 40 * group):
+            parts = [new[i : i + group] for i in range(a, min(len(new), a + 40 * group), group)]
+            for part, raw in zip(parts, self._library([" ".join(p) for p in parts]), strict=True):
+                ends = ((np.flatnonzero(self.closes[np.frombuffer(raw, self.kind)]) + 1) * size).tolist()
+                if len(ends) == len(part) and ends[-1] == len(raw):
+                    self.words.update(zip(part, [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+                else:
+                    self.words.update(zip(part, self._library(part), strict=True))
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the distinct pieces of a slice."""
+        words = self.words
+        if len(words) > self.most:
+            words.clear()
+        words.update(zip(SIGNS, self._library(list(SIGNS)), strict=True))
+        low = [(p[:-1] if p[-1] in SIGNS else p).lower() for p in pieces]
+        self._words([w for w in set(low).difference(words) if PLAIN.fullmatch(w)])
+        out = list(map(words.get, low))  # only plain words are there, and only theirs are such lower cases
+        for i in [i for i, p in enumerate(pieces) if p[-1] in SIGNS and len(p) > 1 and out[i] is not None]:
+            out[i] += words[pieces[i][-1]]
+        other = [i for i, ids in enumerate(out) if ids is None]
+        for a in range(0, len(other), 20_000):
+            part = other[a : a + 20_000]
+            for i, ids in zip(part, self._library([pieces[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a text column without nulls, and how many each row has."""
+        import pandas as pd
+
+        w = words_of(column, PIECE_BYTES)
+        kinds, names = pd.factorize(w.codes)
+        first = np.empty(len(names), np.int64)
+        first[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
+        second = run_codes(w.data, w.starts, w.ends, SECOND_BASE)
+        if len(kinds) and not (second == second[first[kinds]]).all():  # two pieces with one code: tell them apart
+            kinds, names = pd.factorize(pd.MultiIndex.from_arrays([w.codes, second]))
+            first = np.empty(len(names), np.int64)
+            first[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
+        raw = buffers(column)[0].tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
+        known = self._learn(pieces)
+        flat = np.frombuffer(b"".join(known), self.kind)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        begin = np.cumsum(size) - size
+        each = size[kinds]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(begin[kinds] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)]
+        total = np.concatenate([[0], upto])
+        return ids, np.diff(total[w.splits])
 
 
 def _put(folder: str, name: str, raw: bytes) -> None:
@@ -74,26 +134,31 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: i
     def run(batches):
         if "e" not in state:
             state["e"] = Encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        ids, nulls, codes, sizes = [], [], [], []
+        ids, nulls, marks, codes, sizes = [], [], [], [], []
         for batch in batches:
             column, key = texts(batch.column(1)), batch.column(0)
             for a, b in slices(column, slice_bytes):
-                raw = state["e"].encode(column.slice(a, b - a).to_pylist())
-                codes.append(np.frombuffer(end.join(raw) + end, "<u4").astype(np.uint16 if end_id < 1 << 16 and state["e"].library.get_vocab_size() <= 1 << 16 else np.uint32))
-                sizes += [len(r) // 4 + 1 for r in raw]
+                got, size = state["e"].encode(column.slice(a, b - a))
+                codes.append(np.insert(got, np.cumsum(size), end_id))
+                sizes.append(size + 1)
             ids.append(key.fill_null(0).to_numpy())
             nulls.append(np.asarray(key.is_null()))
+            marks.append(batch.column(2).to_numpy())
         if not ids:
             return
+        ids, nulls, size, flat = (np.concatenate(x) for x in (ids, nulls, sizes, codes))
+        order = np.lexsort((np.concatenate(marks), ids, ~nulls))
+        begin = (np.cumsum(size) - size)[order]
+        size = size[order]
+        starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        flat = flat[np.repeat(begin - starts[:-1], size) + np.arange(starts[-1])]
         name = f"part-{TaskContext.get().partitionId():06d}.dac"
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        _put(folder, name, TokenFile(Levels.encode(np.concatenate(codes)), np.concatenate(ids), np.concatenate(nulls), starts).dump())
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(sizes)]), pa.array([int(starts[-1])])], ["file", "docs", "tokens"])
+        _put(folder, name, TokenFile(Levels.encode(flat), ids[order], nulls[order], starts).dump())
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(starts) - 1]), pa.array([int(starts[-1])])], ["file", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "t")
-    written = sorted(tuple(r) for r in rows.select("id", "t").mapInArrow(run, "file string, docs long, tokens long").collect())  # one row a file
+    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(n, "id", "h")
+    written = sorted(tuple(r) for r in rows.mapInArrow(run, "file string, docs long, tokens long").collect())  # one row a file
     start, out = 0, []
     for name, count, tokens in written:
         out.append((name, count, tokens, start))
@@ -101,39 +166,59 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: i
     return spark.createDataFrame(out, "file string, docs long, tokens long, start long")
 
 
-def read_tokens(spark, folder: str, files: DataFrame) -> DataFrame:
-    """id, start, ids of each document, read from the files."""
+def _get(folder: str, name: str) -> TokenFile:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{path}/{name}") as f:
+        return TokenFile.load(f.read())
+
+
+def _read(files: DataFrame, folder: str, of_part, kind: str) -> DataFrame:
+    """One task a file; of_part(file, first, end, start of the file) makes the batches of its documents."""
+    spark = files.sparkSession
+    listed = [tuple(r) for r in files.select("file", "start").orderBy("file").collect()]  # one row a file
+    if not listed:
+        return spark.createDataFrame([], kind)
 
     def run(batches):
         for batch in batches:
-            for first, raw in zip(batch.column("start").to_pylist(), batch.column("content"), strict=True):
-                f = TokenFile.load(raw.as_buffer().to_pybytes())
+            for i in batch.column(0).to_pylist():
+                name, start = listed[i]
+                f = _get(folder, name)
                 for a in range(0, len(f), 256):
-                    b = min(len(f), a + 256)
-                    at = f.starts[a : b + 1]
-                    flat = f.levels.slice(int(at[0]), int(at[-1])).astype(np.int64)
-                    ids = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[a:b], mask=f.null_ids[a:b]), pa.array(at[:-1] + first), ids], ["id", "start", "ids"])
+                    yield of_part(f, a, min(len(f), a + 256), start)
 
-    if not files.take(1):
-        return spark.createDataFrame([], "id long, start long, ids array<int>")
-    stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.dac").load(folder)
-    stored = stored.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return stored.join(F.broadcast(files.select("file", "start")), "file").select("start", "content").mapInArrow(run, "id long, start long, ids array<int>")
+    return spark.range(0, len(listed), 1, len(listed)).mapInArrow(run, kind)
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """id, start, n_tokens and the crc32 of the ids as little-endian 32-bit integers."""
+def _doc_ids(f: TokenFile, a: int, b: int) -> pa.Array:
+    return pa.array(f.doc_ids[a:b], mask=f.null_ids[a:b])
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = np.asarray(ids.values).astype("<u4")
-            at = ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+def read_tokens(files: DataFrame, folder: str) -> DataFrame:
+    """id, start, ids of each document, read from the files."""
+
+    def part(f: TokenFile, a: int, b: int, start: int) -> pa.RecordBatch:
+        at = f.starts[a : b + 1]
+        flat = f.levels.slice(int(at[0]), int(at[-1])).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(flat))
+        return pa.RecordBatch.from_arrays([_doc_ids(f, a, b), pa.array(at[:-1] + start), ids], ["id", "start", "ids"])
+
+    return _read(files, folder, part, "id long, start long, ids array<int>")
+
+
+def checksums(files: DataFrame, folder: str) -> DataFrame:
+    """id, start, n_tokens and the crc32 of the ids as little-endian 32-bit integers, of each document in the files."""
+
+    def part(f: TokenFile, a: int, b: int, start: int) -> pa.RecordBatch:
+        at = f.starts[a : b + 1]
+        flat = f.levels.slice(int(at[0]), int(at[-1])).astype("<u4")
+        cut = (at - at[0]).tolist()
+        crc = [zlib.crc32(flat[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([_doc_ids(f, a, b), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+
+    return _read(files, folder, part, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -143,4 +228,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     folder = new_dir(spark, "tokens")
     files = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
-    return checksums(read_tokens(spark, folder, files)).withColumnRenamed("id", "doc_id")
+    return checksums(files, folder).withColumnRenamed("id", "doc_id")

@@ -14,9 +14,8 @@ from veilspark.llm.shared import slices, texts
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _lower_table() -> np.ndarray:
@@ -50,13 +49,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, factor in enumerate((_BASE, _INVERSE)):
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, mod 2**64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        both = []
+        for factor in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, factor, np.uint64)
             p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+            both.append(np.multiply.accumulate(p))
+        _POWERS[base] = both[0], both[1]
+    return _POWERS[base]
+
+
+def run_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A code of the bytes of each run: a polynomial in an odd base, from one running sum."""
+    n = len(data)
+    power, inverse = _powers(n + 1, base)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(data.astype(np.uint64) * power[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +80,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words_of(column: pa.Array) -> Words:
-    """Words of all rows of a column; null counts as empty."""
+def words_of(column: pa.Array, letters: np.ndarray = LOWER) -> Words:
+    """Words of all rows of a column; null counts as empty. letters: what each byte counts as, 0 between words."""
     raw, off = buffers(texts(column))
     n = len(raw)
-    low = LOWER[raw]
+    low = letters[raw]
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none.astype(np.uint64), np.zeros(len(off), np.int64), none, none, low, off)
@@ -90,11 +102,7 @@ def words_of(column: pa.Array) -> Words:
     last = last[(last > 0) & (last <= n)] - 1
     closes[last] = inside[last]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    power, inverse = _powers(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(low.astype(np.uint64) * power[:n], out=sums[1:])
-    codes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    codes = run_codes(low, starts, ends)
     return Words(codes, np.searchsorted(starts, off), starts, ends, low, off)
 
 
