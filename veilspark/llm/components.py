@@ -1,7 +1,10 @@
-"""Connected components of a distributed graph: alternating large-star and small-star steps.
+"""Connected components of a distributed graph by contraction.
 
-Each step is a grouped minimum and a join back, written into the shared folder, so neither links nor components meet in
-one task or on the driver, and a lost executor costs one step at most. Steps grow with the logarithm of the graph."""
+Each round hooks every node to its least neighbour, if that is less, replaces the links' ends by it and drops links that
+became loops; the graph shrinks until none is left, and the rounds' steps are composed. Node names are expected to be
+hashes, as here: in a random order a round removes a constant share of the nodes of any graph, so rounds grow with the
+logarithm of its size. Every round is grouped minima and joins, written into the shared folder: neither links nor
+components meet in one task or on the driver, and a lost executor costs one round at most."""
 
 from __future__ import annotations
 
@@ -11,27 +14,24 @@ from pyspark.sql import functions as F
 from veilspark.llm.shared import materialize
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    rest = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+def _links(e: DataFrame) -> DataFrame:
+    high, low = F.greatest("a", "b"), F.least("a", "b")
+    return materialize(e.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> node, root: the least node of its component. Nodes without links, and roots, have no row."""
-    high, low = F.greatest("a", "b"), F.least("a", "b")
-    e = materialize(links.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "links")
-    state = None
-    while True:
-        e = materialize(_small_star(materialize(_large_star(e), "links")), "links")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if (now.n, now.s) == state:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now.n, now.s
+    """links (a, b) -> node, root, a row for each node with links; equal roots mean one component."""
+    e = _links(links)
+    roots = e.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    first = True
+    while e.take(1):
+        both = e.select(F.col("a").alias("node"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("v")))
+        step = materialize(both.groupBy("node").agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "step")
+        if first:
+            roots, first = step, False
+        else:
+            onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            roots = materialize(roots.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        ends = step.select(F.col("node").alias("a"), F.col("root").alias("pa")), step.select(F.col("node").alias("b"), F.col("root").alias("pb"))
+        e = _links(e.join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    return roots

@@ -8,9 +8,9 @@ share a key are candidates: they are compared by banded alignment of their words
 
 Within a key's bucket, all members are first compared with one of them (a star, so a group of copies costs as many
 comparisons as it has members). Then components are formed, and buckets whose members are still in several components
-are finished exactly: pairs across components are compared inside one task while a bucket is of bounded size; a larger
-one first gives up members of its smallest component, one after another, each compared with all others in parallel.
-So no candidate pair is left undecided, and none is listed twice over.
+are finished exactly: while a bucket is of bounded size, one task compares its members across components, by way of the
+rare words that similar texts must share; a larger one first gives up members of its smallest component, one after
+another, each compared with all others in parallel. So no candidate pair is left undecided, and pairs are not listed.
 
 Cases: a null text is a class of its own; texts without words are copies only of the same string; texts of fewer than
 five words have one window; ids may repeat or be null (the class id is the least id, null if there is none); texts are
@@ -30,7 +30,7 @@ from veilspark.llm.edit_distance import similar
 from veilspark.llm.shared import materialize
 from veilspark.llm.wordcodes import mix, shingles, word_slices
 
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+FULL, LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF), np.iinfo(np.int64).max
 
 
 def occurrences(codes: np.ndarray) -> np.ndarray:
@@ -113,6 +113,8 @@ def _word_rows(batches):
 
 
 def _checker(least: float):
+    """Of pairs with their words, the labels of those that are similar."""
+
     def run(batches):
         for batch in batches:
             wa, wb = batch.column(2), batch.column(3)
@@ -125,31 +127,77 @@ def _checker(least: float):
     return run
 
 
-def _finisher(least: float):
-    """Pairs across components within one bucket of bounded size."""
+def rare_words(words: list[np.ndarray], least: float) -> list[np.ndarray]:
+    """Of each text the rarest distinct words, as many as a similar text can lack and one more.
+
+    A text that is similar to one of n words lacks at most (1 - least) / least * n of its words, so the rarest word that
+    two similar texts share is among these in both."""
+    own = [np.unique(w) for w in words]
+    _, back, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    out, at = [], 0
+    for w, d in zip(words, own, strict=True):
+        ids = back[at : at + len(d)]
+        at += len(d)
+        most = int(np.floor((1 - least) / least * len(w) + 1e-9)) + 1
+        out.append(ids[np.lexsort((ids, count[ids]))[:most]])
+    return out
 
+
+def joined_labels(labels: list, words: list[np.ndarray], keys: np.ndarray, key: int, least: float) -> list[tuple]:
+    """Pairs of labels that similar members connect, found exactly: every pair of members is in one component by now, or
+    left to another of its keys, ruled out (by length, rare words or the number of words in common), or compared.
+
+    keys: all keys of each member, a line a member; a pair is looked at under the least key that it shares."""
+    number = {v: i for i, v in enumerate(dict.fromkeys(labels))}
+    mine = np.array([number[v] for v in labels])
+    up = np.arange(len(number))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return int(x)
+
+    rare = rare_words(words, least)
+    sizes = np.array([len(w) for w in words])
+    begins = np.cumsum(sizes) - sizes
+    labelled = np.concatenate([mix(w.astype(np.uint64) + (occurrences(w).astype(np.uint64) << np.uint64(32))) for w in words])
+    tokens = np.unique(labelled, return_inverse=True)[1]
+    marked = np.zeros(int(tokens.max()) + 1, bool)
+    who = np.repeat(np.arange(len(words)), [len(r) for r in rare])
+    flat = np.concatenate(rare)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    most = np.bincount(mine).argmax()
+    found, names = [], list(number)
+    for i in np.flatnonzero(mine != most).tolist():
+        lo, hi = np.searchsorted(flat, rare[i], "left"), np.searchsorted(flat, rare[i], "right")
+        near = np.unique(np.concatenate([who[a:b] for a, b in zip(lo, hi, strict=True)]))
+        longer = np.maximum(sizes[near], sizes[i])
+        near = near[(np.minimum(sizes[near], sizes[i]) >= least * longer - 1e-9) & (mine[near] != mine[i]) & ((near > i) | (mine[near] == most))]
+        shared = keys[near] == keys[i]
+        near = near[np.where(shared, keys[near], LARGEST).min(axis=1, initial=LARGEST) == key]
+        if not len(near):
+            continue
+        own, size = tokens[begins[i] : begins[i] + sizes[i]], sizes[near]
+        marked[own] = True
+        at = np.repeat(begins[near] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.add.reduceat(marked[tokens[at]].astype(np.int64), np.cumsum(size) - size)
+        marked[own] = False
+        longer = np.maximum(size, sizes[i])
+        near = near[longer - common <= np.floor((1 - least) * longer + 1e-9)]
+        for label in dict.fromkeys(mine[near].tolist()):
+            p, q = root(label), root(int(mine[i]))
+            if p != q and any(similar(words[i], words[j], least) for j in near[mine[near] == label].tolist()):
+                up[p] = q
+                found.append((names[mine[i]], names[label]))
+    return found
+
+
+def _finisher(least: float):
     def run(table: pa.Table) -> pa.Table:
-        nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
-        words = [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()]
-        number = {v: i for i, v in enumerate(dict.fromkeys(labels))}
-        up = list(range(len(number)))
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        order = sorted(range(len(nodes)), key=lambda i: (len(words[i]), nodes[i]))
-        found = []
-        for x, i in enumerate(order):
-            for j in order[x + 1 :]:
-                if len(words[i]) < least * len(words[j]) - 1e-9:
-                    break
-                p, q = root(number[labels[i]]), root(number[labels[j]])
-                if p != q and similar(words[i], words[j], least):
-                    up[p] = q
-                    found.append((nodes[i], nodes[j]))
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        found = joined_labels(table.column("label").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()], keys, table.column("key")[0].as_py(), least)
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return run
@@ -158,7 +206,7 @@ def _finisher(least: float):
 class NearDuplicates:
     """The steps over one table; `rows` (id, k, fp, n, keys), `nodes` and `classes` are tables in the shared folder."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 20, kept: int = 3, in_task: int = 400, in_task_words: int = 4_000_000):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 20, kept: int = 3, in_task: int = 20_000, in_task_words: int = 4_000_000):
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
         self.in_task, self.in_task_words = in_task, in_task_words
         kind = docs.schema[id_col].dataType.simpleString()
@@ -166,7 +214,7 @@ class NearDuplicates:
         sketched = own.mapInArrow(_sketcher(words, sketches, kept), f"id {kind}, k long, fp binary, n int, keys array<long>")
         self.rows = materialize(sketched, "rows")
         self.nodes = materialize(self.rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "k")).alias("rep"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-        self.links = self._links()
+        self._join()
         self.classes = self._classes()
 
     def _key(self):
@@ -176,53 +224,58 @@ class NearDuplicates:
         return F.least(x, y) >= self.similarity * F.greatest(x, y) - 1e-9
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, la, lb), the labels (as a, b) of those that are similar."""
         one = self.words.select(F.col("fp").alias("a"), F.col("words").alias("wa"))
         two = self.words.select(F.col("fp").alias("b"), F.col("words").alias("wb"))
-        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "wa", "wb")
-        return materialize(both.mapInArrow(_checker(self.similarity), "a binary, b binary"), "verified")
+        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("la", "lb", "wa", "wb")
+        return both.mapInArrow(_checker(self.similarity), "a binary, b binary")
 
-    def _links(self) -> DataFrame:
+    def _join(self) -> None:
+        """Fills self.roots: steps (node, root) that lead each node, one after another, to its class."""
         buckets = self.nodes.select("fp", "n", F.explode("keys").alias("key"))
         lead = buckets.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.fp").alias("lfp"), F.col("lead.n").alias("ln"))
         star = materialize(buckets.join(lead, "key").select("key", "fp", "n", "lfp", "ln"), "star")
         wanted = star.select("fp").distinct().join(self.nodes.select("fp", F.col("rep.k").alias("k")), "fp").select("fp", "k")
         texts = self.docs.select(self._key().alias("k"), F.col(self.text_col).cast("string").alias("t")).join(wanted.hint("merge"), "k")
         self.words = materialize(texts.select("fp", "t").mapInArrow(_word_rows, "fp binary, words binary").dropDuplicates(["fp"]), "words")
-        links = self._verified(star.where((F.col("fp") != F.col("lfp")) & self._ratio("n", "ln")).select(F.col("fp").alias("a"), F.col("lfp").alias("b")).distinct())
-        members = star.select("key", F.col("fp").alias("node"), "n")
-        return self._finished(members, links)
+        pairs = star.where((F.col("fp") != F.col("lfp")) & self._ratio("n", "ln")).select(F.col("fp").alias("a"), F.col("lfp").alias("b")).distinct()
+        self.roots = [components(self._verified(pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})))]
+        self._finish(star.select("key", F.col("fp").alias("node"), "n", F.col("fp").alias("label")))
 
-    def _labelled(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
+    def _onward(self, rows: DataFrame, step: DataFrame) -> DataFrame:
+        names = rows.columns
+        return rows.join(step.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label")).select(*names)
 
-    def _finished(self, members: DataFrame, links: DataFrame) -> DataFrame:
+    def _finish(self, members: DataFrame) -> None:
+        """members: key, node, n, label, of which the labels lag one step behind self.roots."""
         while True:
-            labelled = materialize(self._labelled(members, links), "labelled")
+            labelled = self._onward(members, self.roots[-1])
             state = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
-            state = materialize(state.where("x <> y").select("key", ((F.col("c") <= self.in_task) & (F.col("w") <= self.in_task_words)).alias("small")), "open")
-            own = materialize(labelled.join(state, "key"), "open_members")
-            large = own.where("NOT small")
-            if large.take(1):
-                size = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n")).alias("m"))
-                pick = size.groupBy("key").agg(F.min(F.struct("c", "m", "label")).alias("p")).select("key", F.col("p.m.node").alias("lfp"), F.col("p.m.n").alias("ln"), F.col("p.label").alias("ll"))
-                pick = materialize(pick, "picked")
-                pairs = large.join(pick, "key").where((F.col("label") != F.col("ll")) & self._ratio("n", "ln")).select(F.col("node").alias("a"), F.col("lfp").alias("b")).distinct()
-                links = materialize(links.unionByName(self._verified(pairs)), "links")
-                gone = pick.select("key", F.col("lfp").alias("node"))
-                members = materialize(own.select("key", "node", "n").join(gone, ["key", "node"], "left_anti"), "members")
-                continue
-            if own.take(1):
-                wide = own.select("key", "node", "label").join(self.words.select(F.col("fp").alias("node"), "words").hint("merge"), "node")
-                more = wide.groupBy("key").applyInArrow(_finisher(self.similarity), "a binary, b binary")
-                links = materialize(links.unionByName(more.distinct()), "links")
-            return links
+            state = state.where("x <> y").select("key", ((F.col("c") <= self.in_task) & (F.col("w") <= self.in_task_words)).alias("small"))
+            members = materialize(labelled.join(state, "key"), "open")
+            large = members.where("NOT small")
+            if not large.take(1):
+                break
+            size = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n")).alias("m"))
+            pick = size.groupBy("key").agg(F.min(F.struct("c", "m", "label")).alias("p")).select("key", F.col("p.m.node").alias("lfp"), F.col("p.m.n").alias("ln"), F.col("p.label").alias("ll"))
+            pick = materialize(pick, "picked")
+            pairs = large.join(pick, "key").where((F.col("label") != F.col("ll")) & self._ratio("n", "ln"))
+            pairs = pairs.select(F.col("node").alias("a"), F.col("lfp").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
+            self.roots.append(components(self._verified(pairs)))
+            gone = pick.select("key", F.col("lfp").alias("node"))
+            members = members.drop("small").join(gone, ["key", "node"], "left_anti")
+        if members.take(1):
+            own = self.nodes.select(F.col("fp").alias("node"), "keys").join(self.words.select(F.col("fp").alias("node"), "words").hint("merge"), "node")
+            wide = members.select("key", "node", "label").join(own.hint("merge"), "node")
+            self.roots.append(components(wide.groupBy("key").applyInArrow(_finisher(self.similarity), "a binary, b binary")))
 
     def _classes(self) -> DataFrame:
         """fp, class_id, class_size and the key of the class's first row."""
-        rooted = self.nodes.select(F.col("fp").alias("node"), "id", "rep", "copies").join(components(self.links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        total = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("rep").alias("first"))
-        return materialize(rooted.select(F.col("node").alias("fp"), "root").join(total, "root").select("fp", "root", "class_id", "class_size", F.col("first.k").alias("first_k")), "classes")
+        rooted = self.nodes.select("fp", "id", "rep", "copies", F.col("fp").alias("label"))
+        for step in self.roots:
+            rooted = self._onward(rooted, step)
+        total = rooted.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("rep").alias("first"))
+        return materialize(rooted.select("fp", "label").join(total, "label").select("fp", "class_id", "class_size", F.col("first.k").alias("first_k")), "classes")
 
     def members(self) -> DataFrame:
         """id, class_id, class_size, a row for each document; a null text is a class of its own."""
