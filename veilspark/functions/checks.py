@@ -38,7 +38,7 @@ def mod_check(value: Column, weights: list[int], modulus: int, remainder: int =
 
 def luhn(value: Column) -> Column:
     p = F.regexp_replace(value, "[ -]", "")
-    return F.coalesce(value.rlike("^[0-9 -]+$") & p.rlike("[0-9]") & F.luhn_check(p), F.lit(False))
+    return F.coalesce(value.rlike("^[0-9 -]+$") & p.rlike("[0-9]") & F.call_function("luhn_check", p), F.lit(False))
 
 
 def ssn(value: Column) -> Column:
@@ -53,7 +53,7 @@ def aba_routing(value: Column) -> Column:
 
 def npi(value: Column) -> Column:
     p = only_digits(value)
-    return has_digits(p, 10) & ~p.rlike(r"^([0-9])\1{8}") & F.luhn_check(F.concat(F.lit("80840"), p))
+    return has_digits(p, 10) & ~p.rlike(r"^([0-9])\1{8}") & F.call_function("luhn_check", F.concat(F.lit("80840"), p))
 
 
 def nhs(value: Column) -> Column:
@@ -86,7 +86,7 @@ def acn(value: Column) -> Column:
 
 def sin(value: Column) -> Column:
     p = only_digits(value)
-    return has_digits(p, 9) & ~p.rlike("^[08]") & F.luhn_check(p)
+    return has_digits(p, 9) & ~p.rlike("^[08]") & F.call_function("luhn_check", p)
 
 
 def thai_id(value: Column) -> Column:
