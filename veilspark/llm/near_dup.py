@@ -206,7 +206,7 @@ def _finisher(least: float):
 class NearDuplicates:
     """The steps over one table; `rows` (id, k, fp, n, keys), `nodes` and `classes` are tables in the shared folder."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 20, kept: int = 3, in_task: int = 20_000, in_task_words: int = 4_000_000):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 32, kept: int = 3, in_task: int = 20_000, in_task_words: int = 4_000_000):
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
         self.in_task, self.in_task_words = in_task, in_task_words
         kind = docs.schema[id_col].dataType.simpleString()
@@ -285,9 +285,11 @@ class NearDuplicates:
 
     def kept(self) -> DataFrame:
         """The documents' own columns, one row of each class: that with the least id."""
-        first = self.classes.select(F.col("first_k").alias("k_")).distinct()
-        names = self.docs.columns
-        rows = self.docs.where(F.col(self.text_col).isNotNull()).withColumn("k_", self._key()).join(first.hint("merge"), "k_", "left_semi").dropDuplicates(["k_"])
+        names, k = self.docs.columns, "k_"
+        while k in (c.lower() for c in names):
+            k += "_"
+        first = self.classes.select(F.col("first_k").alias(k)).distinct()
+        rows = self.docs.where(F.col(self.text_col).isNotNull()).withColumn(k, self._key()).join(first.hint("merge"), k, "left_semi").dropDuplicates([k])
         return rows.select(*[F.col(f"`{c}`") for c in names]).unionByName(self.docs.where(F.col(self.text_col).isNull()))
 
 

@@ -264,6 +264,8 @@ class Codec:
         upto = np.cumsum(size)
         raw = self.flat[np.repeat(self.begin[ids] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
         ends = np.concatenate([[0], upto])[np.cumsum(counts)].tolist()
+        if not ends:
+            return []
         return [raw[a + (raw[a : a + 1] == b" " and b > a) : b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 

@@ -2,7 +2,7 @@
 
 Features of a url's text alone: length, path depth, digit ratio, character entropy, parameter counts, host shape, and
 smoothed log-odds of its suffixes (last one and two host labels), of its host's words and of its path's words, learned
-from the labelled urls. Rules (host and path prefix) come first; the longest that fits decides.
+from the labelled urls (for a training row, from the other half of them). Rules (host and path prefix) come first; the longest that fits decides.
 
 Labelled urls: pass any table of (url, label) to train(); it learns from at most `most_rows` of them, chosen by hash.
 The shipped default, seed_urls(), is spelled out from word lists, as the tables carry no url labels.
@@ -31,7 +31,7 @@ SEED_LANGS = ["en", "de", "fr", "es"]
 SEED_TAILS = ["", "/", ".html", "?utm_source=feed", "?page=2&ref=x", "#top"]
 
 HOST = re.compile(r"://([^/?#]*)([^?#]*)")
-FEATURES = ["length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "other_signs", "has_fragment", "longest_label", "suffix_odds", "suffix2_odds", "host_word_odds", "path_word_odds"]
+FEATURES = ["length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "other_signs", "has_fragment", "longest_label", "suffix_odds", "suffix2_odds", "host_words_most", "host_words_least", "path_words_most"]
 
 
 def seed_urls() -> list[tuple[str, int]]:
@@ -79,10 +79,23 @@ class UrlModel:
     trees: Boosted = field(default_factory=Boosted)
     odds: dict[str, dict[str, float]] = field(default_factory=dict)
     threshold: float = 0.5
+    automaton: object = None
+
+    def inside(self, name: str) -> list[str]:
+        """Known host words within a run of letters."""
+        import ahocorasick
+
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for w in self.odds.get("host", {}):
+                if len(w) > 2:
+                    self.automaton.add_word(w, w)
+            self.automaton.make_automaton()
+        return [w for _, w in self.automaton.iter(name)] if len(self.automaton) else []
 
     def features(self, urls: list[str | None]) -> np.ndarray:
         out = np.zeros((len(urls), len(FEATURES)))
-        known = lambda kind, names: max((self.odds.get(kind, {}).get(w, 0.0) for w in names), default=0.0, key=abs)
+        known = lambda kind, names, pick=max: pick((v for w in names if (v := self.odds.get(kind, {}).get(w)) is not None), default=0.0)
         for i, url in enumerate(urls):
             url = url or ""
             host, path = split_url(url)
@@ -93,7 +106,7 @@ class UrlModel:
             out[i] = (
                 len(url), len(host), len(path), path.count("/"), host.count(".") + 1 if host else 0, digits / max(1, len(url)), sum(c.isdigit() for c in host) / max(1, len(host)),
                 entropy(url), entropy(host), len([p for p in query.split("&") if p]), len(query), host.count("-"), sum(c in "%_~@!$" for c in url), "#" in url, max(map(len, host.split("."))),
-                known("suffix", [one]), known("suffix2", [two]), known("host", words(name)), known("path", words(path)),
+                known("suffix", [one]), known("suffix2", [two]), known("host", inner := [*words(name), *self.inside(name.lower())]), known("host", inner, min), known("path", words(path)),
             )
         return out
 
@@ -106,8 +119,15 @@ class UrlModel:
             name = host.removesuffix(two) if two != host else host.removesuffix("." + one)
             for k, v in (("suffix", [one]), ("suffix2", [two]), ("host", words(name)), ("path", words(path))):
                 parts[k].append(set(v))
-        self.odds = {k: self._log_odds(sets, y) for k, sets in parts.items()}
-        self.trees.fit(self.features([u for u, _ in rows]), y)
+        x, fold = np.zeros((len(rows), len(FEATURES))), np.arange(len(rows)) % 2
+        for f in (0, 1, None):  # odds for the trees come from the other half, then from all rows for what is to come
+            use = np.flatnonzero(fold != f)
+            self.odds, self.automaton = {k: self._log_odds([sets[i] for i in use], y[use]) for k, sets in parts.items()}, None
+            if f is not None:
+                own = np.flatnonzero(fold == f)
+                x[own] = self.features([rows[i][0] for i in own])
+        self.trees.fit(x, y)
+        self.automaton = None
         return self
 
     @staticmethod
