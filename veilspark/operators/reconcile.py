@@ -235,19 +235,14 @@ def fold(entities: list[Entity], linked: Callable[[Entity, Entity], bool], recon
                     out[i].setdefault("events", []).append((kind, entities[j]["label"]))
                 if kind == "contested" and j not in gone:
                     out[j].setdefault("events", []).append((kind, entities[i]["label"]))
-        into = {i: i for i in group}
         for i, j, score in merges:
-            a, b = into[i], into[j]
-            if a == b or a in gone or b in gone:
-                if a == b:
-                    out[a]["confidence"] = score
+            if i in gone or j in gone:  # taken in by another member, with which the rest is paired too
                 continue
-            keep, drop = (a, b) if out[a]["confidence"] >= out[b]["confidence"] else (b, a)
-            out[keep]["start"], out[keep]["end"] = min(out[a]["start"], out[b]["start"]), max(out[a]["end"], out[b]["end"])
+            keep, drop = (i, j) if out[i]["confidence"] >= out[j]["confidence"] else (j, i)
+            out[keep]["start"], out[keep]["end"] = min(out[i]["start"], out[j]["start"]), max(out[i]["end"], out[j]["end"])
             out[keep]["confidence"] = score
             out[keep].setdefault("events", []).append(("deduplication", out[drop].get("rule")))
             gone.add(drop)
-            into = {k: keep if v in (a, b) else v for k, v in into.items()}
     return [e for i, e in enumerate(out) if i not in gone]
 
 
