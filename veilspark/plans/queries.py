@@ -4,7 +4,7 @@ Patterns of queries that are held against SQL name their characters, so that bot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks, redact
@@ -74,13 +74,21 @@ def _register_families() -> None:
 _register_families()
 
 
+def _named(spans: Column, label: str, score: float) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value"), F.lit(score).cast("float").alias("confidence")))
+
+
 def all_families(docs: DataFrame, *keys: str) -> DataFrame:
-    """Every family's spans in one projection: one scan, one pass over the text."""
-    out = None
-    for label in FAMILIES:
-        part = family(docs, label, *keys)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every family's spans from one scan: arrays of spans side by side, then one row each; texts that no family's
+    cheap test passes make no array."""
+    text, parts = F.col("text"), []
+    for label, (rx, score) in FAMILIES.items():
+        parts.append(F.when(text.rlike(rx), _named(recognize.span_array(text, rx), label, score)).otherwise(F.array().cast("array<struct<label:string,start:int,end:int,value:string,confidence:float>>")))
+    rows = docs.select(*(keys or ("doc_id",)), F.inline(F.concat(*parts)))
+    keep = F.lit(True)
+    for label, check in CHECKS.items():
+        keep = keep & ((F.col("label") != label) | check(F.col("value")))
+    return rows.where(keep)
 
 
 ALL_SQL = " UNION ALL ".join(f"({family_sql(x)})" for x in FAMILIES)
@@ -375,6 +383,131 @@ def mock_model_entities(spark, sf_dir):
     return model.recognize(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", catalog=Catalog.built_in())
 
 
+# Documents of several formats, read, redacted and written back
+
+
+def _documents(rows: DataFrame, key: str, extension: str, content: Column) -> DataFrame:
+    return rows.select(F.col(key).cast("string").alias("path"), F.lit(extension).alias("extension"), content.cast("binary").alias("content"))
+
+
+def _edits(chunks: DataFrame, where: Column, replacement: str) -> DataFrame:
+    return chunks.where(where).select("path", "chunk_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(replacement).alias("replacement"), F.lit(None).cast("string").alias("drop"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS path, '{\"k\": \"[k]\"}' AS text FROM events")
+def json_documents(spark, sf_dir):
+    docs = _documents(table(spark, sf_dir, "events"), "event_id", "json", F.col("props"))
+    done = frames.write_edits(docs, _edits(frames.read_chunks(docs), F.array_contains("hints", "k"), "[k]"))
+    return done.select("path", F.decode("content", "utf-8").alias("text"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS path, 'name,segment' || chr(10) || '***,' || c_mktsegment || chr(10) AS text FROM customer")
+def csv_documents(spark, sf_dir):
+    docs = _documents(table(spark, sf_dir, "customer"), "c_custkey", "csv", F.concat(F.lit("name,segment\n"), "c_name", F.lit(","), "c_mktsegment", F.lit("\n")))
+    done = frames.write_edits(docs, _edits(frames.read_chunks(docs), (F.col("row") == 1) & (F.col("column_name") == "name"), "***"))
+    return done.select("path", F.decode("content", "utf-8").alias("text"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'part' || chr(10) || p_name || chr(10) AS text FROM part")
+def csv_dropped_columns(spark, sf_dir):
+    docs = _documents(table(spark, sf_dir, "part"), "p_partkey", "csv", F.concat(F.lit("part,brand\n"), "p_name", F.lit(","), "p_brand", F.lit("\n")))
+    edits = _edits(frames.read_chunks(docs), (F.col("row") == 0) & (F.col("col") == 1), "").withColumn("drop", F.lit("column"))
+    return frames.write_edits(docs, edits).select("path", F.decode("content", "utf-8").alias("text"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS path, '<supplier id=\"' || s_suppkey || '\"><fullName>[name]</fullName></supplier>' AS text FROM supplier")
+def xml_documents(spark, sf_dir):
+    docs = _documents(table(spark, sf_dir, "supplier"), "s_suppkey", "xml", F.concat(F.lit('<supplier id="'), F.col("s_suppkey").cast("string"), F.lit('"><fullName>'), "s_name", F.lit("</fullName></supplier>")))
+    done = frames.write_edits(docs, _edits(frames.read_chunks(docs), F.array_contains("hints", "full name"), "[name]"))
+    return done.select("path", F.decode("content", "utf-8").alias("text"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def content_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+@query(f"""WITH s AS ({SPANS_SQL}) SELECT chunk, label, start, "end" FROM s""")
+def permissive_keeps_all(spark, sf_dir):
+    kept = reconcile.reconcile(_arrays(spark, sf_dir), [(reconcile.cross_label, reconcile.Permissive())], threshold=None)
+    return kept.select("chunk", F.inline("entities")).select("chunk", "label", "start", "end")
+
+
+@query()
+def noisy_or_merge(spark, sf_dir):
+    kept = reconcile.reconcile(_arrays(spark, sf_dir), [(reconcile.same_label, reconcile.Merging("noisy_or"))], threshold=None)
+    return kept.select("chunk", F.inline("entities")).drop("value", "recognizer")
+
+
+@query(f"SELECT doc_id, label, start, lang AS language FROM ({ALL_SQL}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
+def stamped_languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = all_families(docs, "doc_id", "lang")
+    asserted = F.array(F.struct(F.col("lang").alias("tag"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+    one = F.struct("start", "end", F.lit(None).cast("string").alias("language"))
+    return found.withColumn("e", F.get(recognize.stamp_languages(F.array(one), asserted), 0)).select("doc_id", "label", "start", F.col("e.language").alias("language"))
+
+
+@query(f"SELECT doc_id, start, CASE WHEN least(1.0, 0.3 + boost) >= 0.35 THEN true ELSE false END AS lifted FROM (SELECT doc_id, start, CASE WHEN regexp_matches(lower(text[greatest(1, start - 24):start] || value), '(^|[^a-z0-9])(card|visa|paid|payment)([^a-z0-9]|$)') THEN 0.35 ELSE 0 END AS boost FROM ({family_sql('payment_card')}) JOIN (SELECT doc_id, text FROM documents) USING (doc_id))")
+def context_lift(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = family(docs, "payment_card").join(docs, "doc_id")
+    near = F.lower(F.concat(F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - 24), F.col("start") - F.greatest(F.lit(1), F.col("start") - 24) + 1), F.col("value")))
+    lifted = near.rlike("(^|[^a-z0-9])(card|visa|paid|payment)([^a-z0-9]|$)")
+    return found.select("doc_id", "start", (F.least(F.lit(1.0), F.lit(0.3) + F.when(lifted, 0.35).otherwise(0.0)) >= 0.35).alias("lifted"))
+
+
+@query()
+def context_window(spark, sf_dir):
+    from veilspark.operators import context
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = family(docs, "phone_number").join(docs, "doc_id")
+    words = ["phone", "call", "mobile", "tel", "fax", "contact"]
+    return found.select("doc_id", "start", context.native_lift(F.col("text"), F.col("start"), F.col("end"), F.col("confidence"), words).alias("confidence"))
+
+
+@query()
+def audio_redaction(spark, sf_dir):
+    """Vectors as samples of a clip, its second quarter silenced: what is left of each half."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veilspark.sources import media
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch.column(1).to_pylist():
+                samples = (np.nan_to_num(np.array([x or 0.0 for x in v or ()])) * 1000).astype("<i2").reshape(-1, 1)
+                clip = media.encode_wav(samples, 64, 2)
+                quiet, rate, _ = media.read_wav(media.encode_wav(media.redact_samples(media.read_wav(clip)[0], 64, 250_000, 500_000), 64, 2))
+                out.append((int(np.abs(quiet[16:32]).sum()), int((quiet != samples).sum()), rate))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))]], ["vec_id", "left_in_range", "changed", "rate"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, left_in_range long, changed long, rate long")
+
+
+@query("SELECT vec_id, 0 AS boxed, CAST(0 AS BIGINT) AS mosaic_colors FROM embeddings")
+def picture_redaction(spark, sf_dir):
+    """Vectors as 8 x 8 pictures: what shows within a black box, and how many colors a mosaic of one block keeps beyond one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veilspark.sources import media
+
+    def run(batches):
+        for batch in batches:
+            boxed, colors = [], []
+            for v in batch.column(1).to_pylist():
+                pixels = np.resize((np.nan_to_num(np.array([x or 0.0 for x in v or [0.0]])) * 255).astype(np.uint8), (8, 8, 1))
+                boxed.append(int(media.blackbox(pixels, (2, 2, 6, 6))[2:6, 2:6].max()))
+                colors.append(len(np.unique(media.pixelate(pixels, (0, 0, 8, 8), 8))) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(boxed, pa.int32()), pa.array(colors, pa.int64())], ["vec_id", "boxed", "mosaic_colors"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, boxed int, mosaic_colors long")
+
+
 # Streams
 
 
