@@ -18,7 +18,7 @@ from veilspark.llm import sentencepiece_viterbi as spv
 from veilspark.llm.dac import Levels, TokenFile
 from veilspark.llm.wordcodes import WORD_PATTERN, words_of
 
-ODD = [None, "", " ", "  \n\t ", "a", "É é", "\x00", "x\x00y", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "漢字 😀", "don't. DON'T,", "  lead", "trail  ", "\x1c a\x85b\u2028c", "İx ǅ ß", "a" * 3000, "ab " * 20_000]
+ODD = [None, "", " ", "  \n\t ", "a", "É é", "\x00", "x\x00y", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "漢字 😀", "don't. DON'T,", "  lead", "trail  ", "\x1c a\x85b\u2028c", "İx ǅ ß", "a" * 3000, "ab " * 20_000, "The THE the, the. .. a.. ... a,b a. .a .", "end.", "a.\nb,\tC! d?;", "<|ENDOFTEXT|> The."]
 
 
 def lower(t):
@@ -102,6 +102,8 @@ def test_chat_template_is_reversible(turns):
         ("<body><div class='ad'>Buy</div><main><p>Real text here, long enough.</p><aside>side</aside><form>f</form><div class=comments><p>me too</p></div></main>", "Real text here, long enough."),
         ("<body><script>var t='</p>';</script><style>p{}</style><p>Only <i>this</i>.</p><!-- <p>no</p> -->", "Only this."),
         ("<body><div id=wrap><div class=sidebar><a href=1>x</a></div><div id=content><h2>Head</h2><p>Words, words, and more words.</p><p>Again many words of text.</p></div></div>", "Head\nWords, words, and more words.\nAgain many words of text."),
+        ("<body><div class='page has-sidebar'><div class=sidebar><p>Not this, though it is long enough.</p></div><article><h1>T</h1><p>Text of the article.</p></article></div>", "T\nText of the article."),
+        ("<body><main><article><header><h1>T</h1></header><p>Body text is here.</p><footer>tags</footer></article><section id='comments'><article class='comment'><p>I disagree with all of this, at length and with many words.</p></article></section></main>", "T\nBody text is here."),
         ("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
         ("<article><p>unclosed <a href='x>y'>tag", "unclosed tag"),
     ],
@@ -139,6 +141,16 @@ def test_token_counts_equal_the_library(spark, small):
     assert token_count.count_tokens(df.limit(0), path).collect() == []
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" aBé.,!'sdt\n\t<|endoftxt>12漢\u0300\x1c\u2028"), max_size=24), max_size=5))
+def test_counts_equal_the_library(values):
+    path = P.path("byte_bpe_50k.json")
+    if "count" not in ENCODERS:
+        ENCODERS["count"] = token_count.Counter(path, *token_count.whole_tokens(path))
+    c = ENCODERS["count"]
+    assert c.count(values) == c.by_library(values)
+
+
 def test_whole_tokens_are_proven():
     path = P.path("byte_bpe_50k.json")
     whole, special = token_count.whole_tokens(path)
@@ -186,6 +198,19 @@ def test_token_files_equal_the_library(spark, small):
     assert one.ids[-1] == 2
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBé.,!' \n<|x1"), max_size=20), max_size=6))
+def test_pieces_equal_the_library(values):
+    path = P.path("word_bpe_49k.json")
+    e = ENCODERS.setdefault(path, token_store.Encoder(path))
+    ids, n = e.encode(pa.array(values, pa.string()))
+    ends = np.concatenate([[0], np.cumsum(n)])
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [x.ids for x in e.library.encode_batch(values, add_special_tokens=False)]
+
+
+ENCODERS: dict = {}
+
+
 def test_token_files_with_repeated_and_null_ids(spark):
     path = P.path("word_bpe_49k.json")
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (None, None)], "doc_id long, text string")

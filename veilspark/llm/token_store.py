@@ -1,14 +1,14 @@
 """Token ids of documents as files of directly addressable codes (see dac.py), in ascending id order.
 
 Rows are range-partitioned by (id, hash of the text), so a repeated id can spread over tasks. Each task encodes whole
-texts, puts their ids in order and writes one file into the shared folder, under a name of its own attempt that is then moved into
-place, so a repeated or lost task leaves one whole file. The number of files follows the input. A table of each file's
-documents and tokens (one row a file) gives the position at which each file begins; a task reads one file.
+texts, puts their ids in order and writes one file into the shared folder, under a name of its own attempt that is then
+moved into place, so a repeated or lost task leaves one whole file. The number of files follows the input. A table of
+each file's documents and tokens (one row a file) gives the position at which each file begins; a task reads one file.
 
 Encoding cuts a text at spaces, tabs and line feeds, which the vocabulary's file drops and never merges across; each
-distinct piece of a slice of texts (told apart by 128 bits of its bytes) goes through the tokenizers library once. Plain words go in lower case, without the
-sign after them and many to a call (each one's ids end with a token that closes a word), and stay in a memo of bounded
-size for the texts to come.
+distinct piece (told apart by 128 bits of its bytes) goes through the tokenizers library once and stays in a memo of
+bounded size. Plain words go in lower case, without the sign after them and many to a call: each one's ids end with a
+token that closes a word.
 
 Cases: null texts count as empty and hold the end id alone; null ids come first and stay null; repeated rows each have
 their tokens; an empty table gives no files and no rows; other columns are ignored."""
@@ -38,49 +38,60 @@ SIGNS = ".,;:!?"
 PIECE_BYTES = np.arange(256, dtype=np.uint8)
 PIECE_BYTES[[0x20, 0x09, 0x0A]] = 0
 PIECE_BYTES[0] = 0xFF
+#: The same with A-Z as a-z, which the vocabulary's file does too; not where a special string could arise from it.
+LOWER_BYTES = PIECE_BYTES.copy()
+LOWER_BYTES[0x41:0x5B] += 32
+_SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[[ord(c) for c in SIGNS]] = True
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+
+
+def last_signs(data: np.ndarray) -> np.ndarray:
+    """Signs between a letter and white space: pieces of their own, as the vocabulary's file splits them."""
+    at = np.flatnonzero(_SIGN[data])
+    at = at[(at > 0) & (at < len(data) - 1)]
+    return at[_LETTER[data[at - 1]] & (data[at + 1] == 0)]
 
 
 class Encoder:
-    """Token ids of whole texts; `most` bounds the memo of plain words in lower case."""
+    """Token ids of whole texts; `most` bounds the memo of pieces."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.words = Tokenizer.from_file(path), most, {}
+        self.library, self.most, self.memo = Tokenizer.from_file(path), most, {}
         self.library.no_truncation()
         self.library.no_padding()
         vocab = self.library.get_vocab()
         self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.signs = dict(zip(SIGNS, self._library(list(SIGNS)), strict=True))
 
     def _library(self, values: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(values, add_special_tokens=False)]
 
-    def _words(self, new: list[str], group: int = 500) -> None:
+    def _words(self, new: list[str], group: int = 500) -> dict[str, bytes]:
         """Plain words, many to a call: each ends with the only token of its own that closes a word."""
-        size = self.kind.itemsize
+        size, out = self.kind.itemsize, {}
         for a in range(0, len(new), 40 * group):
             parts = [new[i : i + group] for i in range(a, min(len(new), a + 40 * group), group)]
             for part, raw in zip(parts, self._library([" ".join(p) for p in parts]), strict=True):
                 ends = ((np.flatnonzero(self.closes[np.frombuffer(raw, self.kind)]) + 1) * size).tolist()
                 if len(ends) == len(part) and ends[-1] == len(raw):
-                    self.words.update(zip(part, [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+                    out.update(zip(part, [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
                 else:
-                    self.words.update(zip(part, self._library(part), strict=True))
+                    out.update(zip(part, self._library(part), strict=True))
+        return out
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each of the distinct pieces of a slice."""
-        words = self.words
-        if len(words) > self.most:
-            words.clear()
-        words.update(zip(SIGNS, self._library(list(SIGNS)), strict=True))
-        low = [(p[:-1] if p[-1] in SIGNS else p).lower() for p in pieces]
-        self._words([w for w in set(low).difference(words) if PLAIN.fullmatch(w)])
-        out = list(map(words.get, low))  # only plain words are there, and only theirs are such lower cases
-        for i in [i for i, p in enumerate(pieces) if p[-1] in SIGNS and len(p) > 1 and out[i] is not None]:
-            out[i] += words[pieces[i][-1]]
+        """Ids of distinct pieces."""
+        low = [(p[:-1] if len(p) > 1 and p[-1] in SIGNS else p).lower() for p in pieces]
+        words = self._words([w for w in set(low) if PLAIN.fullmatch(w)])
+        out = [words.get(w) for w in low]  # only plain words are there, and only theirs are such lower cases
+        for i in [i for i, p in enumerate(pieces) if len(p) > 1 and p[-1] in SIGNS and out[i] is not None]:
+            out[i] += self.signs[pieces[i][-1]]
         other = [i for i, ids in enumerate(out) if ids is None]
         for a in range(0, len(other), 20_000):
             part = other[a : a + 20_000]
@@ -92,7 +103,8 @@ class Encoder:
         """Ids of all rows of a text column without nulls, and how many each row has."""
         import pandas as pd
 
-        w = words_of(column, PIECE_BYTES)
+        raw = buffers(column)[0].tobytes()
+        w = words_of(column, PIECE_BYTES if b"<|" in raw else LOWER_BYTES, last_signs)
         kinds, names = pd.factorize(w.codes)
         first = np.empty(len(names), np.int64)
         first[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
@@ -101,9 +113,15 @@ class Encoder:
             kinds, names = pd.factorize(pd.MultiIndex.from_arrays([w.codes, second]))
             first = np.empty(len(names), np.int64)
             first[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
-        raw = buffers(column)[0].tobytes()
-        pieces = [raw[a:b].decode() for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
-        known = self._learn(pieces)
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        memo = self.memo
+        keys = np.stack([w.codes[first], second[first]], axis=1).view("V16").ravel().tolist()
+        known = list(map(memo.get, keys))
+        new = [i for i, ids in enumerate(known) if ids is None]
+        at = first[new]
+        for i, ids in zip(new, self._learn([raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]), strict=True):
+            known[i] = memo[keys[i]] = ids
         flat = np.frombuffer(b"".join(known), self.kind)
         size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
         begin = np.cumsum(size) - size

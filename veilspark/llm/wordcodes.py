@@ -80,8 +80,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words_of(column: pa.Array, letters: np.ndarray = LOWER) -> Words:
-    """Words of all rows of a column; null counts as empty. letters: what each byte counts as, 0 between words."""
+def words_of(column: pa.Array, letters: np.ndarray = LOWER, cut=None) -> Words:
+    """Words of all rows of a column; null counts as empty. letters: what each byte counts as, 0 between words.
+
+    cut: a function of these bytes that gives places (not the first) at which a word ends and another begins."""
     raw, off = buffers(texts(column))
     n = len(raw)
     low = letters[raw]
@@ -101,6 +103,9 @@ def words_of(column: pa.Array, letters: np.ndarray = LOWER) -> Words:
     last = off[1:-1]
     last = last[(last > 0) & (last <= n)] - 1
     closes[last] = inside[last]
+    if cut is not None:
+        more = cut(low)
+        begins[more], closes[more - 1] = True, True
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
     codes = run_codes(low, starts, ends)
     return Words(codes, np.searchsorted(starts, off), starts, ends, low, off)
