@@ -116,11 +116,11 @@ def brute_classes(texts):
     return {frozenset(v) for v in out.values()}
 
 
-@pytest.mark.parametrize("in_task", [20_000, 3])
-def test_near_duplicates_equal_brute_force(spark, in_task):
+@pytest.mark.parametrize(("in_task", "at_once"), [(20_000, 16), (3, 2)])
+def test_near_duplicates_equal_brute_force(spark, in_task, at_once):
     texts = planted(random.Random(5)) + [None, None, "", "", "...", "... ", "...", "One", "one!"]
     df = spark.createDataFrame([(i, t, 1, "f") for i, t in enumerate(texts)], "doc_id long, text string, k_ int, fp string")
-    found = NearDuplicates(df, in_task=in_task)
+    found = NearDuplicates(df, in_task=in_task, at_once=at_once)
     rows = found.members().collect()
     assert len(rows) == len(texts)
     got = collections.defaultdict(set)

@@ -34,7 +34,7 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 # Elements, roles and class words of what is never main text.
 LEFT_OUT = frozenset("head script style noscript template nav aside form button select option input textarea iframe object embed svg canvas dialog menu audio video title link meta".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-LEFT_OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments respond disqus reply replies widget toolbar pagination pager skip".split())
+LEFT_OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments respond disqus reply replies widget toolbar pagination pager".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -45,30 +45,46 @@ SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "out", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag, parent, out=False):
+    def __init__(self, tag, parent, out=0):
         self.tag, self.parent, self.children, self.out = tag, parent, [], out
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def left_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in LEFT_OUT:
-        return True
-    if tag in ("header", "footer") and not inside_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def left_out(tag: str, attributes: str, inside_article: bool) -> int:
+    """0: may be main text; 1: is not; 2: is not by its class or id words, unless the article proves to be inside."""
+    if tag in LEFT_OUT or tag == "footer" or (tag == "header" and not inside_article):
+        return 1
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
+    out = 0
     for m in ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 1
         if name == "role" and value.lower() in LEFT_OUT_ROLES:
-            return True
+            return 1
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return 1
         if name in ("class", "id") and any(w.lower() in LEFT_OUT_WORDS for w in WORD.findall(value)):
-            return True
-    return False
+            out = 2
+    return out
+
+
+def restore(root: Node) -> None:
+    """Takes back what was left out by words alone but holds an article, a main part or a first heading."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        stack.extend(c for c in node.children if isinstance(c, Node))
+        if node.tag in ("article", "main", "h1") and not node.out:
+            up = node.parent
+            while up is not None and up.out != 1:
+                up = up.parent
+            if up is None:
+                up = node.parent
+                while up is not None:
+                    up.out, up = 0, up.parent
 
 
 def parse(page: str) -> Node:
@@ -128,7 +144,7 @@ def parse(page: str) -> Node:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.out = True
+            node.out = 1
             at = end.end() if end else n
             continue
         if tag in ("article", "main"):
@@ -185,13 +201,12 @@ def kernel(nodes: list[Node], body: Node) -> Node:
     while up is not body and up.parent is not None:
         threshold = min(threshold, up.density)
         up = up.parent
+    held = {}
     up = best
     while up is not None:
-        if up.tag in ("article", "main"):
-            top = up
-        up = up.parent
-    if top.tag in ("article", "main"):
-        return top
+        held[up.tag], up = up, up.parent
+    if "article" in held or "main" in held:
+        return held.get("article") or held["main"]
     # without such an element: rise while a sibling of the path reaches the threshold and is text rather than links
     while top is not body and top.parent is not None:
         beside = [c for c in top.parent.children if isinstance(c, Node) and not c.out and c is not top and c.chars and c.link_chars * 2 < c.chars]
@@ -232,6 +247,7 @@ def text_of(top: Node) -> str:
 
 def extract(page: str | None) -> str:
     root = parse(page or "")
+    restore(root)
     nodes = in_order(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     nodes = nodes if body is root else in_order(body)

@@ -9,8 +9,9 @@ share a key are candidates: they are compared by banded alignment of their words
 Within a key's bucket, all members are first compared with one of them (a star, so a group of copies costs as many
 comparisons as it has members). Then components are formed, and buckets whose members are still in several components
 are finished exactly: while a bucket is of bounded size, one task compares its members across components, by way of the
-rare words that similar texts must share; a larger one first gives up members of its smallest component, one after
-another, each compared with all others in parallel. So no candidate pair is left undecided, and pairs are not listed.
+rare words that similar texts must share; larger ones take turns in parallel, in which members outside the largest
+component meet a few of it, or a few of them meet all others and leave. So no candidate pair is left undecided, and the
+pairs of a group are not listed.
 
 Cases: a null text is a class of its own; texts without words are copies only of the same string; texts of fewer than
 five words have one window; ids may repeat or be null (the class id is the least id, null if there is none); texts are
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.components import components
@@ -206,9 +207,9 @@ def _finisher(least: float):
 class NearDuplicates:
     """The steps over one table; `rows` (id, k, fp, n, keys), `nodes` and `classes` are tables in the shared folder."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 32, kept: int = 3, in_task: int = 20_000, in_task_words: int = 4_000_000):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 32, kept: int = 3, in_task: int = 20_000, in_task_words: int = 4_000_000, at_once: int = 16):
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
-        self.in_task, self.in_task_words = in_task, in_task_words
+        self.in_task, self.in_task_words, self.at_once = in_task, in_task_words, at_once
         kind = docs.schema[id_col].dataType.simpleString()
         own = docs.select(F.col(id_col).alias("id"), self._key().alias("k"), F.col(text_col).cast("string").alias("t"))
         sketched = own.mapInArrow(_sketcher(words, sketches, kept), f"id {kind}, k long, fp binary, n int, keys array<long>")
@@ -246,8 +247,18 @@ class NearDuplicates:
         names = rows.columns
         return rows.join(step.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label")).select(*names)
 
+    def _first(self, rows: DataFrame, n: int, turn: int) -> DataFrame:
+        """n rows of each key, in an order that changes with the turn, as lfp, ln and ll."""
+        w = Window.partitionBy("key").orderBy(F.xxhash64("key", "node", F.lit(turn)))
+        return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("key", F.col("node").alias("lfp"), F.col("n").alias("ln"), F.col("label").alias("ll"))
+
     def _finish(self, members: DataFrame) -> None:
-        """members: key, node, n, label, of which the labels lag one step behind self.roots."""
+        """members: key, node, n, label, of which the labels lag one step behind self.roots.
+
+        Buckets too large for one task take turns. In one, members outside the largest component are compared with a
+        few of it, which soon takes in all that belong there. In the next, a few of those outside are compared with all
+        members of other components and leave the bucket; so the turns end, and no pair is left out."""
+        turn = 0
         while True:
             labelled = self._onward(members, self.roots[-1])
             state = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
@@ -256,14 +267,19 @@ class NearDuplicates:
             large = members.where("NOT small")
             if not large.take(1):
                 break
-            size = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n")).alias("m"))
-            pick = size.groupBy("key").agg(F.min(F.struct("c", "m", "label")).alias("p")).select("key", F.col("p.m.node").alias("lfp"), F.col("p.m.n").alias("ln"), F.col("p.label").alias("ll"))
-            pick = materialize(pick, "picked")
-            pairs = large.join(pick, "key").where((F.col("label") != F.col("ll")) & self._ratio("n", "ln"))
+            size = large.groupBy("key", "label").agg(F.count("*").alias("c"))
+            top = size.groupBy("key").agg(F.max(F.struct("c", "label")).alias("t")).select("key", F.col("t.label").alias("top"))
+            split = materialize(large.join(top, "key").withColumn("inside", F.col("label") == F.col("top")).drop("top", "small"), "split")
+            probing = turn % 2 == 1
+            few = materialize(self._first(split.where(F.col("inside") != F.lit(probing)), self.at_once, turn), "few")
+            against = split if probing else split.where("NOT inside")
+            pairs = against.join(few, "key").where((F.col("label") != F.col("ll")) & self._ratio("n", "ln"))
             pairs = pairs.select(F.col("node").alias("a"), F.col("lfp").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
             self.roots.append(components(self._verified(pairs)))
-            gone = pick.select("key", F.col("lfp").alias("node"))
-            members = members.drop("small").join(gone, ["key", "node"], "left_anti")
+            members = members.drop("small")
+            if probing:
+                members = members.join(few.select("key", F.col("lfp").alias("node")), ["key", "node"], "left_anti")
+            turn += 1
         if members.take(1):
             own = self.nodes.select(F.col("fp").alias("node"), "keys").join(self.words.select(F.col("fp").alias("node"), "words").hint("merge"), "node")
             wide = members.select("key", "node", "label").join(own.hint("merge"), "node")

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = part(1, most_toxic).unionByName(part(0, most_clean))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
     rows = rows.select("t", "y", (F.crc32(F.concat(F.lit("c"), F.col("id").cast("string")).cast("binary")) % 4 == 0).alias("c"), F.xxhash64("id").alias("h"))
-    got = sorted(rows.limit(2 * (most_toxic + most_clean)).collect(), key=lambda r: (r.h, r.t or ""))
+    got = rows.orderBy("h", "t").limit(2 * (most_toxic + most_clean)).collect()  # an id can have several rows
     return Toxicity().fit([r.t for r in got], [r.y for r in got], [r.c for r in got])
 
 
