@@ -106,6 +106,20 @@ def test_office():
         write("xlsx", book, [Edit(2, 0, 0, "", "row")])
 
 
+def test_parts():
+    inner = b"note for ann@example.com\n"
+    doc = package({"word/document.xml": "<w:p><w:r><w:t>body</w:t></w:r></w:p>", "word/embeddings/a.txt": inner, "word/media/b.png": b"\x89PNG", "word/embeddings/c.bin": b"z"})
+    f = R.find("docx")
+    got = formats.read_document(R, f, doc)
+    assert [(c.part, c.text) for c in got] == [("word/document.xml", "body"), ("word/embeddings/a.txt", "note for ann@example.com")]
+    new = formats.write_document(R, f, doc, [Edit(0, 0, 4, "B"), Edit(1, 9, 24, "[m]")])
+    assert [c.text for c in formats.read_document(R, f, new)] == ["B", "note for [m]"]
+    book = package({"xl/worksheets/sheet1.xml": '<c r="A1"><v>1</v></c>', "xl/comments1.xml": "<comments><text>call me</text></comments>"})
+    x = R.find("xlsx")
+    assert [(c.part, c.text) for c in formats.read_document(R, x, book)] == [(None, "1"), ("xl/comments1.xml", "call me")]
+    assert b"call you" in zipfile.ZipFile(io.BytesIO(formats.write_document(R, x, book, [Edit(1, 5, 7, "you")]))).read("xl/comments1.xml")
+
+
 def test_sound_and_pictures():
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

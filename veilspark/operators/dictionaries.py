@@ -20,10 +20,6 @@ class Dictionary:
     word_boundary: bool = True
 
 
-def _terms(text: str, score: float = 0.4) -> tuple[tuple[str, float], ...]:
-    return tuple((t.strip(), score) for t in text.split(";") if t.strip())
-
-
 def from_text(name: str, label: str, text: str, score: float, languages: Iterable[str] = ()) -> Dictionary:
     """One term a line; # begins a comment."""
     lines = (x.partition("#")[0].strip() for x in text.splitlines())
@@ -42,12 +38,59 @@ def from_csv(name: str, label: str, text: str, scores: float | list[float], lang
     return Dictionary(name, label, tuple(out), tuple(languages))
 
 
-CURRENCIES = Dictionary("currencies", "currency", _terms("US Dollar; USD; Euro; EUR; British Pound; GBP; Japanese Yen; JPY; Swiss Franc; CHF; Canadian Dollar; CAD; Australian Dollar; AUD; Chinese Yuan; CNY; Indian Rupee; INR; South Korean Won; KRW; Swedish Krona; SEK; Norwegian Krone; NOK; Danish Krone; DKK; Polish Zloty; PLN; Turkish Lira; TRY; Brazilian Real; BRL; Mexican Peso; MXN; Singapore Dollar; SGD; Hong Kong Dollar; HKD; New Zealand Dollar; NZD; South African Rand; ZAR; Thai Baht; THB"), ("en",))
-CRYPTOCURRENCIES = Dictionary("cryptocurrencies", "currency", _terms("Bitcoin; BTC; Ethereum; ETH; Tether; USDT; USD Coin; USDC; Binance Coin; BNB; Solana; SOL; Cardano; ADA; Dogecoin; DOGE; Litecoin; LTC; Polkadot; DOT"))
-RELIGIONS = Dictionary("religions", "religion", _terms("Buddhist; Catholic; Christian; Hindu; Jewish; Muslim; Protestant; Sikh; Orthodox; Mormon; Baptist; Methodist; Lutheran; Anglican; Presbyterian; Evangelical; Jain; Taoist; Shinto; Zoroastrian; Quaker; Atheist; Agnostic"), ("en",))
-NATIONALITIES = Dictionary("nationalities", "nationality", _terms("Afghan; Albanian; Algerian; American; Andorran; Argentine; Armenian; Australian; Austrian; Belgian; Bolivian; Brazilian; British; Bulgarian; Canadian; Chilean; Chinese; Colombian; Croatian; Cuban; Czech; Danish; Dutch; Egyptian; Estonian; Ethiopian; Filipino; Finnish; French; German; Ghanaian; Greek; Hungarian; Icelandic; Indian; Indonesian; Iranian; Iraqi; Irish; Israeli; Italian; Jamaican; Japanese; Jordanian; Kenyan; Korean; Latvian; Lebanese; Lithuanian; Malaysian; Mexican; Moroccan; Nepalese; Nigerian; Norwegian; Pakistani; Peruvian; Polish; Portuguese; Romanian; Russian; Scottish; Serbian; Singaporean; Slovak; Slovenian; Spanish; Swedish; Swiss; Syrian; Thai; Tunisian; Turkish; Ukrainian; Vietnamese; Welsh"), ("en",))
-_LANGUAGES = "Afrikaans af; Albanian sq; Amharic am; Arabic ar; Armenian hy; Basque eu; Bengali bn; Bulgarian bg; Catalan ca; Chinese zh; Croatian hr; Czech cs; Danish da; Dutch nl; English en; Estonian et; Finnish fi; French fr; German de; Greek el; Hebrew he; Hindi hi; Hungarian hu; Icelandic is; Indonesian id; Irish ga; Italian it; Japanese ja; Korean ko; Latvian lv; Lithuanian lt; Malay ms; Norwegian no; Persian fa; Polish pl; Portuguese pt; Romanian ro; Russian ru; Serbian sr; Slovak sk; Slovenian sl; Spanish es; Swahili sw; Swedish sv; Tamil ta; Thai th; Turkish tr; Ukrainian uk; Urdu ur; Vietnamese vi; Welsh cy"
-LANGUAGES = Dictionary("languages", "language", tuple(x for pair in _LANGUAGES.split("; ") for x in ((pair.split()[0], 0.4), (pair.split()[1], 0.2))) + (("Farsi", 0.4), ("Mandarin", 0.4)), ("en",))
+def _rows(name: str, label: str, rows: str, scores: float | list[float], languages: Iterable[str] = ()) -> Dictionary:
+    return from_csv(name, label, rows.replace(";", "\n"), scores, languages)
+
+
+# The terms. Rows are parted by semicolons, the columns of a row by commas.
+CURRENCY_ROWS = (
+    "US Dollar, USD; Euro, EUR; British Pound, GBP; Japanese Yen, JPY; Swiss Franc, CHF; Canadian Dollar, CAD; Australian Dollar, AUD; New Zealand Dollar, "
+    "NZD; Chinese Yuan, CNY, Renminbi, RMB; Indian Rupee, INR; Brazilian Real, BRL; South Korean Won, KRW; Mexican Peso, MXN; Singapore Dollar, SGD; Hong "
+    "Kong Dollar, HKD; Norwegian Krone, NOK; Swedish Krona, SEK; Danish Krone, DKK; South African Rand, ZAR; Russian Ruble, RUB; Turkish Lira, TRY; Israeli "
+    "Shekel, ILS; Saudi Riyal, SAR; UAE Dirham, AED; Thai Baht, THB; Indonesian Rupiah, IDR; Malaysian Ringgit, MYR; Philippine Peso, PHP; Polish Zloty, "
+    "PLN; Czech Koruna, CZK; Hungarian Forint, HUF; Romanian Leu, RON; Colombian Peso, COP; Chilean Peso, CLP; Peruvian Sol, PEN; Argentine Peso, ARS; "
+    "Egyptian Pound, EGP; Nigerian Naira, NGN; Kenyan Shilling, KES; Ghanaian Cedi, GHS"
+)
+CRYPTOCURRENCY_ROWS = (
+    "Bitcoin, BTC; Ethereum, ETH; Tether, USDT; USD Coin, USDC; Binance Coin, BNB; Ripple, XRP; Cardano, ADA; Solana, SOL; Dogecoin, DOGE; Polkadot, DOT; "
+    "Avalanche, AVAX; Chainlink, LINK; Litecoin, LTC; Polygon, MATIC; Stellar, XLM; Monero, XMR; Uniswap, UNI; Cosmos, ATOM; Toncoin, TON"
+)
+RELIGION_ROWS = (
+    "Buddhist; Catholic; Christian; Hindu; Jewish; Mormon; Muslim; Orthodox; Protestant; Sikh; Sunni; Shia; Evangelical; Anglican; Baptist; Methodist; "
+    "Presbyterian; Lutheran; Pentecostal; Adventist; Jehovah's Witness; Quaker; Amish; Mennonite; Baha'i; Jain; Shinto; Taoist; Zoroastrian; Rastafari; "
+    "Wiccan; Pagan; Atheist; Agnostic"
+)
+NATIONALITY_ROWS = (
+    "Afghan; Albanian; Algerian; American; Andorran; Angolan; Argentine; Armenian; Australian; Austrian; Azerbaijani; Bahamian; Bahraini; Bangladeshi; "
+    "Barbadian; Belarusian; Belgian; Belizean; Beninese; Bhutanese; Bolivian; Bosnian; Brazilian; British; Bruneian; Bulgarian; Burkinabe; Burmese; "
+    "Burundian; Cambodian; Cameroonian; Canadian; Chilean; Chinese; Colombian; Congolese; Costa Rican; Croatian; Cuban; Cypriot; Czech; Danish; Dominican; "
+    "Dutch; Ecuadorian; Egyptian; Emirati; Eritrean; Estonian; Ethiopian; Fijian; Filipino; Finnish; French; Gabonese; Georgian; German; Ghanaian; Greek; "
+    "Guatemalan; Guinean; Guyanese; Haitian; Honduran; Hungarian; Icelandic; Indian; Indonesian; Iranian; Iraqi; Irish; Israeli; Italian; Ivorian; "
+    "Jamaican; Japanese; Jordanian; Kazakh; Kenyan; Korean; Kuwaiti; Kyrgyz; Laotian; Latvian; Lebanese; Liberian; Libyan; Lithuanian; Luxembourgish; "
+    "Macedonian; Malagasy; Malawian; Malaysian; Maldivian; Malian; Maltese; Mexican; Moldovan; Mongolian; Montenegrin; Moroccan; Mozambican; Namibian; "
+    "Nepalese; New Zealander; Nicaraguan; Nigerian; Norwegian; Omani; Pakistani; Palestinian; Panamanian; Paraguayan; Peruvian; Polish; Portuguese; Qatari; "
+    "Romanian; Russian; Rwandan; Saudi; Senegalese; Serbian; Singaporean; Slovak; Slovenian; Somali; South African; Spanish; Sri Lankan; Sudanese; Swedish; "
+    "Swiss; Syrian; Taiwanese; Tajik; Tanzanian; Thai; Togolese; Trinidadian; Tunisian; Turkish; Turkmen; Ugandan; Ukrainian; Uruguayan; Uzbek; Venezuelan; "
+    "Vietnamese; Yemeni; Zambian; Zimbabwean"
+)
+LANGUAGE_ROWS = (
+    "Afrikaans, af; Albanian, sq; Amharic, am; Arabic, ar; Armenian, hy; Azerbaijani, az; Basque, eu; Belarusian, be; Bengali, bn; Bosnian, bs; Bulgarian, "
+    "bg; Burmese, my; Cantonese, yue; Catalan, ca; Cebuano, ceb; Croatian, hr; Czech, cs; Danish, da; Dutch, nl; English, en; Esperanto, eo; Estonian, et; "
+    "Filipino, fil; Finnish, fi; French, fr; Galician, gl; Georgian, ka; German, de; Greek, el; Gujarati, gu; Haitian Creole, ht; Hausa, ha; Hebrew, he; "
+    "Hindi, hi; Hmong, hmn; Hungarian, hu; Icelandic, is; Igbo, ig; Indonesian, id; Irish, ga; Italian, it; Japanese, ja; Javanese, jv; Kannada, kn; "
+    "Kazakh, kk; Khmer, km; Korean, ko; Kurdish, ku; Kyrgyz, ky; Lao, lo; Latin, la; Latvian, lv; Lithuanian, lt; Luxembourgish, lb; Macedonian, mk; "
+    "Malagasy, mg; Malay, ms; Malayalam, ml; Maltese, mt; Mandarin, zh; Maori, mi; Marathi, mr; Mongolian, mn; Nepali, ne; Norwegian, no; Odia, or; Pashto, "
+    "ps; Persian, fa, Farsi; Polish, pl; Portuguese, pt; Punjabi, pa; Quechua, qu; Romanian, ro; Russian, ru; Samoan, sm; Serbian, sr; Shona, sn; Sindhi, "
+    "sd; Sinhala, si; Slovak, sk; Slovenian, sl; Somali, so; Spanish, es; Sundanese, su; Swahili, sw; Swedish, sv; Tagalog, tl; Tajik, tg; Tamil, ta; "
+    "Tatar, tt; Telugu, te; Thai, th; Tibetan, bo; Turkish, tr; Turkmen, tk; Ukrainian, uk; Urdu, ur; Uzbek, uz; Vietnamese, vi; Welsh, cy; Xhosa, xh; "
+    "Yiddish, yi; Yoruba, yo; Zulu, zu"
+)  # name, code, other names
+
+CURRENCIES = _rows("currencies", "currency", CURRENCY_ROWS, 0.4, ("en",))
+LANGUAGES = _rows("languages", "language", LANGUAGE_ROWS, [0.4, 0.2, 0.4], ("en",))
+NATIONALITIES = _rows("nationalities", "nationality", NATIONALITY_ROWS, 0.4, ("en",))
+RELIGIONS = _rows("religions", "religion", RELIGION_ROWS, 0.4, ("en",))
+CRYPTOCURRENCIES = _rows("cryptocurrencies", "currency", CRYPTOCURRENCY_ROWS, 0.4)
 
 BUILT_IN = [CURRENCIES, LANGUAGES, NATIONALITIES, RELIGIONS, CRYPTOCURRENCIES]
 

@@ -54,6 +54,10 @@ def enrich_languages(chunks: DataFrame, text_col: str = "text", asserted: list[s
     return chunks.withColumn("languages", detect_language(F.col(text_col), candidates))
 
 
+#: How a backend may join its tokens into spans, and fit spans to words: passed on to it as they are.
+AGGREGATIONS, ALIGNMENTS = ("none", "first", "max", "average", "simple"), ("strict", "contract", "expand")
+
+
 @dataclass
 class Ner:
     """A span model: model(texts) -> for each text a list of (label, start, end, score)."""
@@ -64,6 +68,12 @@ class Ner:
     mapping: dict[str, str] = field(default_factory=dict)
     ignored: tuple[str, ...] = ()
     scales: dict[str, float] = field(default_factory=dict)
+    aggregation: str = "simple"
+    alignment: str = "strict"
+
+    def __post_init__(self):
+        if self.aggregation not in AGGREGATIONS or self.alignment not in ALIGNMENTS:
+            raise ValueError("unknown aggregation or alignment")
 
     def recognize(self, chunks: DataFrame, *keys: str, text_col: str = "text", catalog=None) -> DataFrame:
         """keys and entities, one row a find: labels mapped, culled, scaled; spans outside the text left out."""
@@ -150,7 +160,9 @@ class Llm:
     first: bool = False
 
     def prompt(self, text: str) -> str:
-        return self.template.replace("{labels}", ", ".join(self.labels)).replace("{text}", text)
+        """The template with {labels} and {text}, also in double braces, filled in; the text last, so it fills nothing."""
+        out = re.sub(r"\{\{\s*(labels|text)\s*\}\}", r"{\1}", self.template)
+        return out.replace("{labels}", ", ".join(self.labels)).replace("{text}", text)
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
         out = []

@@ -6,12 +6,13 @@ byte for byte as it was."""
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,8 @@ class Format:
     read: Callable[[bytes], list[Chunk]]
     write: Callable[[bytes, list[Edit]], bytes]
     modality: str = "text"
+    #: Which members of a package are documents of their own: member name -> extension, or None.
+    part: Callable[[str], str | None] | None = None
 
 
 class DecodeError(ValueError):
@@ -443,6 +446,68 @@ def write_xlsx(raw: bytes, edits: list[Edit]) -> bytes:
     return out.getvalue()
 
 
+# Packages with parts
+
+
+def _embedded(*folders: str, xml: str = "") -> Callable[[str], str | None]:
+    """Media and embedded files by their extension; members that match xml as markup."""
+
+    def hint(name: str) -> str | None:
+        if xml and re.fullmatch(xml, name):
+            return "xml"
+        return name.rpartition(".")[2].lower() if any(name.startswith(f) for f in folders) and "." in name else None
+
+    return hint
+
+
+def parts(f: Format, raw: bytes) -> list[tuple[str, str, bytes]]:
+    """(member, extension, content) of a package's own documents."""
+    if f.part is None:
+        return []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        return [(n, x, z.read(n)) for n in sorted(z.namelist()) if (x := f.part(n))]
+
+
+def replace_parts(raw: bytes, new: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(raw)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+        for info in z.infolist():
+            w.writestr(info, new.get(info.filename, z.read(info.filename)))
+    return out.getvalue()
+
+
+def read_document(registry: Registry, f: Format, raw: bytes) -> list[Chunk]:
+    """Chunks of the body, then of each part whose format is known, one level deep; other parts are left alone."""
+    out = list(f.read(raw))
+    for name, x, content in parts(f, raw):
+        inner = registry.find(x)
+        if inner is not None:
+            with contextlib.suppress(DecodeError, NotImplementedError):
+                out += [replace(c, part=name) for c in inner.read(content)]
+    return out
+
+
+def write_document(registry: Registry, f: Format, raw: bytes, edits: list[Edit]) -> bytes:
+    """The document with edits in its body and its parts; chunks count as read_document() lists them."""
+    base = len(f.read(raw))
+    own = [e for e in edits if e.chunk < base]
+    new: dict[str, bytes] = {}
+    for name, x, content in parts(f, raw):
+        inner = registry.find(x)
+        if inner is None:
+            continue
+        try:
+            n = len(inner.read(content))
+        except (DecodeError, NotImplementedError):
+            continue
+        mine = [replace(e, chunk=e.chunk - base) for e in edits if base <= e.chunk < base + n]
+        if mine:
+            new[name] = inner.write(content, mine)
+        base += n
+    out = f.write(raw, own) if own else raw
+    return replace_parts(out, new) if new else out
+
+
 # The registry
 
 
@@ -464,9 +529,9 @@ def built_in() -> list[Format]:
         Format("csv", ("csv",), ("text/csv",), read_csv, write_csv, "tabular"),
         Format("html", ("html", "htm"), ("text/html",), *_markup(True)),
         Format("xml", ("xml",), ("application/xml", "text/xml"), *_markup(False)),
-        Format("docx", ("docx",), (office + "wordprocessingml.document",), *docx),
-        Format("pptx", ("pptx",), (office + "presentationml.presentation",), *pptx),
-        Format("xlsx", ("xlsx",), (office + "spreadsheetml.sheet",), read_xlsx, write_xlsx, "tabular"),
+        Format("docx", ("docx",), (office + "wordprocessingml.document",), *docx, part=_embedded("word/media/", "word/embeddings/")),
+        Format("pptx", ("pptx",), (office + "presentationml.presentation",), *pptx, part=_embedded("ppt/media/", "ppt/embeddings/")),
+        Format("xlsx", ("xlsx",), (office + "spreadsheetml.sheet",), read_xlsx, write_xlsx, "tabular", _embedded("xl/media/", "xl/embeddings/", xml=r"xl/(?:comments\d*|drawings/drawing\d+)\.xml")),
         Format("wav", ("wav",), ("audio/wav", "audio/x-wav"), lambda raw: [], media.write_wav, "audio"),
         Format("rtf", ("rtf",), ("application/rtf", "text/rtf"), lambda raw: [], _missing("writing rtf")),
         Format("pdf", ("pdf",), ("application/pdf",), _missing("reading pdf needs a parser: register one"), _missing("writing pdf")),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators.recognize import span_array
-from veilspark.sources.formats import DecodeError, Edit, Registry
+from veilspark.sources.formats import DecodeError, Edit, Registry, read_document, write_document
 
 CHUNK = "chunk_id int, chunk_start int, row int, col int, sheet string, column_name string, part string, text string, hints array<string>"
 
@@ -62,7 +62,7 @@ def read_chunks(documents: DataFrame, registry: Registry | None = None) -> DataF
                 try:
                     if f is None:
                         raise DecodeError(f"no format for {x!r}")
-                    chunks = f.read(raw or b"")
+                    chunks = read_document(registry, f, raw or b"")
                     out += [(path, x, i, c.start, c.row, c.col, c.sheet, c.column_name, c.part, c.text, list(c.hints), None) for i, c in enumerate(chunks)]
                 except (DecodeError, NotImplementedError, OSError, KeyError) as e:
                     out.append((path, x, None, None, None, None, None, None, None, None, None, str(e)))
@@ -85,7 +85,7 @@ def write_edits(documents: DataFrame, edits: DataFrame, registry: Registry | Non
             for x, raw, own in zip(batch.column("extension").to_pylist(), batch.column("content").to_pylist(), batch.column("edits").to_pylist(), strict=True):
                 f = registry.find(x)
                 todo = [Edit(e["chunk_id"], e["start"], e["end"], e["replacement"] or "", e["drop"]) for e in own or ()]
-                out.append(f.write(raw, todo) if f and todo else raw)
+                out.append(write_document(registry, f, raw, todo) if f and todo else raw)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
     both = documents.select("path", "extension", "content").join(grouped, "path", "left")
