@@ -242,12 +242,12 @@ def encode(codec, values):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(" abthein.\n\té漢😀'-()1_/\x00▁"), max_size=40).filter(lambda t: "▁" not in t), max_size=5))
+@given(st.lists(st.text(alphabet=st.sampled_from(" abthein.\n\té漢😀'-()1_/\x00▁"), max_size=40), max_size=5))
 def test_piece_ids_equal_the_library(pieces, values):
     library, codec = pieces
     ids, back = encode(codec, values)
     assert ids == [library.encode(v) for v in values]
-    assert back == values
+    assert back == [v.replace("▁", " ") for v in values]
 
 
 def test_piece_ids_of_documents(spark, small, pieces):

@@ -13,7 +13,8 @@ are. Either way the cells depend on the prefix alone, and ids equal the library'
 Decoding joins the pieces, bytes for byte pieces, and takes the mark before the text away again.
 
 Cases: null and empty texts have no ids and decode to the empty string; characters without a piece become byte pieces,
-or the unknown id where the model has none (only then does a text not return whole); texts are encoded whole, however
+or the unknown id where the model has none; a mark in a text is taken for a space (in these two cases alone a text does
+not return whole); texts are encoded whole, however
 long; repeated rows are alike; an empty table gives no rows; kept columns may have any names."""
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,6 +223,8 @@ class Codec:
         """Ids of all rows of a text column without nulls, and how many each row has."""
         import pandas as pd
 
+        if MARK.encode() in buffers(column)[0].tobytes():
+            column = pc.replace_substring(column, MARK, " ")  # the library cannot tell the two apart either
         w = words_of(column, WORD_BYTES)
         codes, second, starts, ends, splits = w.codes, run_codes(w.data, w.starts, w.ends, SECOND_BASE), w.starts, w.ends, w.splits
         row = np.repeat(np.arange(len(column)), np.diff(splits))
