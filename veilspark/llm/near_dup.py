@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.components import components
 from veilspark.llm.edit_distance import similar
-from veilspark.llm.shared import materialize
+from veilspark.llm.shared import materialize, new_dir, remove
 from veilspark.llm.wordcodes import mix, shingles, word_slices
 
 FULL, LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF), np.iinfo(np.int64).max
@@ -205,18 +205,28 @@ def _finisher(least: float):
 
 
 class NearDuplicates:
-    """The steps over one table; `rows` (id, k, fp, n, keys), `nodes` and `classes` are tables in the shared folder."""
+    """The steps over one table; `rows` (id, k, fp, n, keys) and `classes` are tables in the shared folder.
+
+    All other tables of the steps are deleted once the classes are written."""
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 32, kept: int = 3, in_task: int = 20_000, in_task_words: int = 4_000_000, at_once: int = 16):
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
+        self.folder = new_dir(docs.sparkSession, "near_dup")
         self.in_task, self.in_task_words, self.at_once = in_task, in_task_words, at_once
         kind = docs.schema[id_col].dataType.simpleString()
         own = docs.select(F.col(id_col).alias("id"), self._key().alias("k"), F.col(text_col).cast("string").alias("t"))
         sketched = own.mapInArrow(_sketcher(words, sketches, kept), f"id {kind}, k long, fp binary, n int, keys array<long>")
         self.rows = materialize(sketched, "rows")
-        self.nodes = materialize(self.rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "k")).alias("rep"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+        self.nodes = self._keep(self.rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "k")).alias("rep"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
         self._join()
         self.classes = self._classes()
+        remove(docs.sparkSession, self.folder)
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self.folder)
+
+    def _components(self, links: DataFrame) -> DataFrame:
+        return components(links, self.folder)
 
     def _key(self):
         return F.xxhash64(F.col(self.id_col), F.col(self.text_col))
@@ -235,12 +245,12 @@ class NearDuplicates:
         """Fills self.roots: steps (node, root) that lead each node, one after another, to its class."""
         buckets = self.nodes.select("fp", "n", F.explode("keys").alias("key"))
         lead = buckets.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.fp").alias("lfp"), F.col("lead.n").alias("ln"))
-        star = materialize(buckets.join(lead, "key").select("key", "fp", "n", "lfp", "ln"), "star")
+        star = self._keep(buckets.join(lead, "key").select("key", "fp", "n", "lfp", "ln"), "star")
         wanted = star.select("fp").distinct().join(self.nodes.select("fp", F.col("rep.k").alias("k")), "fp").select("fp", "k")
         texts = self.docs.select(self._key().alias("k"), F.col(self.text_col).cast("string").alias("t")).join(wanted.hint("merge"), "k")
-        self.words = materialize(texts.select("fp", "t").mapInArrow(_word_rows, "fp binary, words binary").dropDuplicates(["fp"]), "words")
+        self.words = self._keep(texts.select("fp", "t").mapInArrow(_word_rows, "fp binary, words binary").dropDuplicates(["fp"]), "words")
         pairs = star.where((F.col("fp") != F.col("lfp")) & self._ratio("n", "ln")).select(F.col("fp").alias("a"), F.col("lfp").alias("b")).distinct()
-        self.roots = [components(self._verified(pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})))]
+        self.roots = [self._components(self._verified(pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})))]
         self._finish(star.select("key", F.col("fp").alias("node"), "n", F.col("fp").alias("label")))
 
     def _onward(self, rows: DataFrame, step: DataFrame) -> DataFrame:
@@ -263,19 +273,19 @@ class NearDuplicates:
             labelled = self._onward(members, self.roots[-1])
             state = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
             state = state.where("x <> y").select("key", ((F.col("c") <= self.in_task) & (F.col("w") <= self.in_task_words)).alias("small"))
-            members = materialize(labelled.join(state, "key"), "open")
+            members = self._keep(labelled.join(state, "key"), "open")
             large = members.where("NOT small")
             if not large.take(1):
                 break
             size = large.groupBy("key", "label").agg(F.count("*").alias("c"))
             top = size.groupBy("key").agg(F.max(F.struct("c", "label")).alias("t")).select("key", F.col("t.label").alias("top"))
-            split = materialize(large.join(top, "key").withColumn("inside", F.col("label") == F.col("top")).drop("top", "small"), "split")
+            split = self._keep(large.join(top, "key").withColumn("inside", F.col("label") == F.col("top")).drop("top", "small"), "split")
             probing = turn % 2 == 1
-            few = materialize(self._first(split.where(F.col("inside") != F.lit(probing)), self.at_once, turn), "few")
+            few = self._keep(self._first(split.where(F.col("inside") != F.lit(probing)), self.at_once, turn), "few")
             against = split if probing else split.where("NOT inside")
             pairs = against.join(few, "key").where((F.col("label") != F.col("ll")) & self._ratio("n", "ln"))
             pairs = pairs.select(F.col("node").alias("a"), F.col("lfp").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
-            self.roots.append(components(self._verified(pairs)))
+            self.roots.append(self._components(self._verified(pairs)))
             members = members.drop("small")
             if probing:
                 members = members.join(few.select("key", F.col("lfp").alias("node")), ["key", "node"], "left_anti")
@@ -283,7 +293,7 @@ class NearDuplicates:
         if members.take(1):
             own = self.nodes.select(F.col("fp").alias("node"), "keys").join(self.words.select(F.col("fp").alias("node"), "words").hint("merge"), "node")
             wide = members.select("key", "node", "label").join(own.hint("merge"), "node")
-            self.roots.append(components(wide.groupBy("key").applyInArrow(_finisher(self.similarity), "a binary, b binary")))
+            self.roots.append(self._components(wide.groupBy("key").applyInArrow(_finisher(self.similarity), "a binary, b binary")))
 
     def _classes(self) -> DataFrame:
         """fp, class_id, class_size and the key of the class's first row."""

@@ -26,14 +26,20 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes a table into the shared folder and reads it again: this cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = new_dir(spark, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}" if folder else new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(column: pa.Array) -> pa.Array:
     """A string column with empty strings for nulls."""
     return pc.fill_null(column, "") if column.null_count else column
