@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.fm_index import FmIndex
-from veilspark.llm.shared import texts
+from veilspark.llm.shared import texts, trimmed
 from veilspark.llm.wordcodes import word_slices, words_of
 
 
@@ -184,7 +184,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str
         own = items if groups == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)
         phrases = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in own.collect()], window))  # about most_bytes of items
         last = g == groups - 1
-        now = now.mapInArrow(_pass(phrases, len(keep), last, cut), kinds + ("n_words long, n_hit long, item_ids array<string>, " + ("cut string" if cut else "spans array<struct<begin: long, end: long>>") if last else "text_ string, hits binary, items array<string>"))
+        now = now.mapInArrow(trimmed(_pass(phrases, len(keep), last, cut)), kinds + ("n_words long, n_hit long, item_ids array<string>, " + ("cut string" if cut else "spans array<struct<begin: long, end: long>>") if last else "text_ string, hits binary, items array<string>"))
     return now
 
 

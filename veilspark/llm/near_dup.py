@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.components import components
 from veilspark.llm.edit_distance import similar
-from veilspark.llm.shared import materialize, new_dir, remove
+from veilspark.llm.shared import materialize, new_dir, remove, trimmed
 from veilspark.llm.wordcodes import mix, shingles, word_slices
 
 FULL, LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF), np.iinfo(np.int64).max
@@ -215,7 +215,7 @@ class NearDuplicates:
         self.in_task, self.in_task_words, self.at_once = in_task, in_task_words, at_once
         kind = docs.schema[id_col].dataType.simpleString()
         own = docs.select(F.col(id_col).alias("id"), self._key().alias("k"), F.col(text_col).cast("string").alias("t"))
-        sketched = own.mapInArrow(_sketcher(words, sketches, kept), f"id {kind}, k long, fp binary, n int, keys array<long>")
+        sketched = own.mapInArrow(trimmed(_sketcher(words, sketches, kept)), f"id {kind}, k long, fp binary, n int, keys array<long>")
         self.rows = materialize(sketched, "rows")
         self.nodes = self._keep(self.rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "k")).alias("rep"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
         self._join()
@@ -239,7 +239,7 @@ class NearDuplicates:
         one = self.words.select(F.col("fp").alias("a"), F.col("words").alias("wa"))
         two = self.words.select(F.col("fp").alias("b"), F.col("words").alias("wb"))
         both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("la", "lb", "wa", "wb")
-        return both.mapInArrow(_checker(self.similarity), "a binary, b binary")
+        return both.mapInArrow(trimmed(_checker(self.similarity)), "a binary, b binary")
 
     def _join(self) -> None:
         """Fills self.roots: steps (node, root) that lead each node, one after another, to its class."""

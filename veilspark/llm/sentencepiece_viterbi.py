@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import slices, texts
+from veilspark.llm.shared import slices, texts, trimmed
 from veilspark.llm.wordcodes import SECOND_BASE, buffers, mix, run_codes, words_of
 
 MARK = "▁"
@@ -294,7 +294,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), lists, pa.array(codec.decode(ids, n), pa.string())], [*batch.schema.names[:-1], "ids", "decoded"])
 
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t")).mapInArrow(run, kinds + "ids array<int>, decoded string")
+    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t")).mapInArrow(trimmed(run), kinds + "ids array<int>, decoded string")
 
 
 def digest_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
@@ -314,7 +314,7 @@ def digest_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(crc, pa.int64()), pa.array(same)], ["id", "n_tokens", "ids_crc32", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(trimmed(run), f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -40,6 +40,20 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(run):
+    """run, after which a worker gives freed memory back to the system: workers live on between tasks and stages."""
+
+    def kept_small(batches):
+        yield from run(batches)
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return kept_small
+
+
 def texts(column: pa.Array) -> pa.Array:
     """A string column with empty strings for nulls."""
     return pc.fill_null(column, "") if column.null_count else column

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.text_cnn import TextCnn
+from veilspark.llm.shared import trimmed
 from veilspark.llm.wordcodes import shingles, word_slices, words_of
 
 # Frequent function words, by which a text's language is guessed.
@@ -143,7 +144,7 @@ def score_texts(docs: DataFrame, model: Toxicity, *, keep: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], "score"])
 
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t")).mapInArrow(run, kinds + "score double")
+    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t")).mapInArrow(trimmed(run), kinds + "score double")
 
 
 def reject_toxic(docs: DataFrame, model: Toxicity, *, text_col: str = "text") -> DataFrame:
@@ -156,7 +157,7 @@ def reject_toxic(docs: DataFrame, model: Toxicity, *, text_col: str = "text") ->
             yield batch.filter(pa.array((np.concatenate(scores) if scores else np.zeros(0)) < model_cut))
 
     model_cut = model.cut
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
