@@ -1,6 +1,9 @@
 import re
+from dataclasses import replace
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks
@@ -158,6 +161,30 @@ def test_world_rules(text, label):
     assert label in {e["label"] for e in Scanner(BUILT_IN, dicts.BUILT_IN, Scope()).entities(text)}
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["created 2024-05-06 10:11:12", "at fe:dc:ba:fe:dc:ba:fe:dc there", "codice fiscale MRARSSURTALSRFOV", "a@b.example 10.0.0.1 ::1 HRB 12 bearer abcdefghijklmnopqrstuvwxyz"],
+)
+def test_cheap_tests_lose_nothing(text):
+    bare = [replace(r, variants=tuple(replace(v, needs=None) for v in r.variants)) for r in BUILT_IN]
+    order = lambda found: sorted(found, key=lambda e: (e["start"], e["end"], e["rule"], e["confidence"]))
+    assert order(Scanner(BUILT_IN, [], Scope()).entities(text)) == order(Scanner(bare, [], Scope()).entities(text))
+
+
+def test_timestamps_and_addresses_without_digits_are_found():
+    found = lambda text: {(e["label"], e["value"]) for e in Scanner(BUILT_IN, [], Scope()).entities(text)}
+    assert ("date_time", "2024-05-06 10:11:12") in found("created 2024-05-06 10:11:12")
+    assert ("ip_address", "fe:dc:ba:fe:dc:ba:fe:dc") in found("at fe:dc:ba:fe:dc:ba:fe:dc there")
+
+
+@pytest.mark.parametrize("v", [v for r in BUILT_IN for v in r.variants if v.needs], ids=lambda v: v.regex[:40])
+@settings(max_examples=25, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+@given(data=st.data())
+def test_every_match_holds_what_its_variant_needs(v, data):
+    value = data.draw(st.from_regex(v.regex))
+    assert re.search(v.needs, value) or not re.search(v.regex, value)
+
+
 def test_dictionary_is_leftmost_longest_and_case_sensitive():
     d = dicts.from_text("d", "x", "New\nNew York\nYork City\nart", 0.4)
     found = [(a, b) for a, b, _, _ in dicts.Terms([d]).find("New York City art part art_x Art")]

@@ -42,20 +42,6 @@ def native_spans(chunks: DataFrame, regex: str, label: str, score: float, *, key
     return hits.select(*keys, F.lit(label).alias("label"), "start", (F.col("start") + F.length("value")).alias("end"), "value", F.lit(score).cast("float").alias("confidence"))
 
 
-def _needs(regex: str) -> re.Pattern | None:
-    """A cheap test that every match of the pattern passes, by its kind; None where none is known."""
-    if "@" in regex:
-        return re.compile("@")
-    for literal in ("https?://", "PRIVATE KEY", "Private-MAC", "gh[pousr]_", "github_pat_", "sk_", "bc1", "0x", "::", "HR[AB]"):
-        if literal in regex:
-            return re.compile(literal)
-    if "[_\\-\\s]?" in regex or "bearer" in regex:
-        return re.compile("(?i)key|secret|token|bearer")
-    if r"\d" in regex or "[0-9]" in regex:
-        return re.compile(r"\d")
-    return None
-
-
 class Scanner:
     """All rules and dictionaries of a call, over single texts."""
 
@@ -64,8 +50,7 @@ class Scanner:
         settled = in_scope(rules, scope)
         self.groups: dict[str, tuple[re.Pattern | None, list]] = {}
         for r, v, rx in compiled(settled):
-            need = _needs(v.regex)
-            self.groups.setdefault(need.pattern if need else "", (need, []))[1].append((r, v, rx, VALIDATORS.get(v.validator) if v.validator else None))
+            self.groups.setdefault(v.needs or "", (re.compile(v.needs) if v.needs else None, []))[1].append((r, v, rx, VALIDATORS.get(v.validator) if v.validator else None))
         asserted = {primary(x) for x in scope.languages}
         chosen = [d for d in terms if (not asserted or not d.languages or {*map(primary, d.languages)} & asserted) and scope.catalog.declares(d.label)]
         self.terms = dicts.Terms(chosen)

@@ -19,9 +19,12 @@ BASELINE = 0.35
 
 @dataclass(frozen=True)
 class Variant:
+    """needs: a pattern that is found in every text with a match, a cheap test before the search; None if there is none."""
+
     regex: str
     score: float = 1.0
     validator: str | None = None
+    needs: str | None = None
 
 
 @dataclass(frozen=True)
@@ -65,12 +68,13 @@ def digits(*sizes: int, sep: str = "", first: str = "") -> str:
     return r"\b" + sep.join(out) + r"\b"
 
 
-def _rule(name: str, label: str, variants: list[tuple], where: str = "", context: str | dict[str, str] = "", dictionaries: str = "") -> Rule:
-    """where: "DE de", "CA en,fr" or "US -"; context: words, or words by language."""
+def _rule(name: str, label: str, variants: list[tuple], where: str = "", context: str | dict[str, str] = "", dictionaries: str = "", needs: str | None | tuple[str | None, ...] = r"\d") -> Rule:
+    """where: "DE de", "CA en,fr" or "US -"; context: words, or words by language; needs: of all variants, or of each."""
     countries, _, languages = where.partition(" ")
     words = lambda s: tuple(w.strip() for w in s.split(";") if w.strip())
     ctx = tuple(Context(words(v), k) for k, v in context.items()) if isinstance(context, dict) else ((Context(words(context)),) if context else ())
-    return Rule(name, (label,), tuple(Variant(v[1], v[0], v[2] if len(v) > 2 else None) for v in variants), (countries,) if countries else (), tuple(x for x in languages.split(",") if x and x != "-"), ctx, words(dictionaries))
+    needs = needs if isinstance(needs, tuple) else (needs,) * len(variants)
+    return Rule(name, (label,), tuple(Variant(v[1], v[0], v[2] if len(v) > 2 else None, n) for v, n in zip(variants, needs, strict=True)), (countries,) if countries else (), tuple(x for x in languages.split(",") if x and x != "-"), ctx, words(dictionaries))
 
 
 S, H = r"\s", "-"
@@ -91,7 +95,7 @@ CANADA = [
 _DE_SERIAL = r"\b[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7}\d\b"
 GERMANY = [
     _rule("de-plz", "postal_code", [(0.2, r"\b(?:0[1-9]|[1-9]\d)\d{3}\b", "de.plz")], "DE de", "postleitzahl; plz; postanschrift; anschrift; lieferadresse; rechnungsadresse; postfach"),
-    _rule("de-handelsregister", "company_id", [(0.5, r"\bHR[AB]\s*\d{1,6}\b")], "DE de", "handelsregister; handelsregisternummer; registernummer; registergericht; amtsgericht; hrb; hra; handelsregister-nr; hr-nummer"),
+    _rule("de-handelsregister", "company_id", [(0.5, r"\bHR[AB]\s*\d{1,6}\b")], "DE de", "handelsregister; handelsregisternummer; registernummer; registergericht; amtsgericht; hrb; hra; handelsregister-nr; hr-nummer", needs="HR[AB]"),
     _rule("de-bsnr", "medical_id", [(0.2, digits(9), "de.bsnr")], "DE de", "betriebsstättennummer; betriebsstätten-nummer; bsnr; betriebsstätte; praxisnummer; arztpraxis; praxis; kassenärztliche vereinigung; kv-nummer; kv nummer; praxisadresse; praxisstandort; behandlungsort; vertragsarztpraxis"),
     _rule("de-health-insurance", "insurance_id", [(0.3, r"\b[A-Z]\d{9}\b", "de.health_insurance")], "DE de", "krankenversicherungsnummer; krankenversichertennummer; versichertennummer; kvnr; krankenkasse; krankenversicherung; gesundheitskarte; egk; elektronische gesundheitskarte; gkv; gesetzliche krankenversicherung; krankenversicherungsausweis; versichertenausweis; versichertenkarte; aok; tkk; barmer; dak"),
     _rule("de-lanr", "medical_id", [(0.3, digits(9), "de.lanr")], "DE de", "arztnummer; lanr; lebenslange arztnummer; arzt-nr; arzt nr; arzt-nummer; vertragsarzt; kassenarzt; niedergelassener arzt; kbv; rezept; verschreibung; behandelnder arzt; hausarzt; facharzt"),
@@ -130,7 +134,7 @@ _IT_PLACE = r"(?:[A-MZ][1-9MNP-V][\dLMNP-V]{2}|[A-M][0L](?:[1-9MNP-V][\dLMNP-V]|
 ITALY = [
     _rule("it-vat-code", "tax_id", [(0.3, digits(11), "it.vat_code")], "IT it", "partita iva; piva; p.iva; p. iva; numero iva; agenzia delle entrate"),
     _rule("it-driving-licence", "drivers_license", [(0.2, r"(?i)\b[A-Z]{2}\d{7}[A-Z]\b"), (0.3, r"(?i)\bU1[A-HJ-NP-Z0-9]{7}[A-Z]\b")], "IT it", "patente di guida; patente; motorizzazione civile; numero patente"),
-    _rule("it-fiscal-code", "tax_id", [(0.4, rf"(?i)\b{_IT_NAME}{{2}}(?:[\dLMNP-V]{{2}}{_IT_DAYS}|{_IT_LEAP}){_IT_PLACE}[A-Z]\b", "it.fiscal_code")], "IT it", "codice fiscale; cf; c.f.; tessera sanitaria; agenzia delle entrate"),
+    _rule("it-fiscal-code", "tax_id", [(0.4, rf"(?i)\b{_IT_NAME}{{2}}(?:[\dLMNP-V]{{2}}{_IT_DAYS}|{_IT_LEAP}){_IT_PLACE}[A-Z]\b", "it.fiscal_code")], "IT it", "codice fiscale; cf; c.f.; tessera sanitaria; agenzia delle entrate", needs=None),
     _rule("it-identity-card", "government_id", [(0.05, r"(?i)\b[A-Z]{2}\s?\d{7}\b"), (0.05, r"(?i)\b\d{7}[A-Z]{2}\b"), (0.05, r"(?i)\b[A-Z]{2}\d{5}[A-Z]{2}\b")], "IT it", "carta d'identità; carta di identità; carta identità; cie; documento di identità; documento di riconoscimento; espatrio"),
     _rule("it-passport", "passport_number", [(0.05, r"(?i)\b[A-Z]{2}\d{7}\b")], "IT it", "passaporto; passaporto italiano; passaporto elettronico; documento di viaggio; polizia di stato; dogana"),
 ]
@@ -205,23 +209,23 @@ _KEY_KIND = r"(?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED|PGP) )?PRIVATE KEY(?: BLOCK)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 _HEX = "[0-9A-Fa-f]"
 WORLD = [
-    _rule("email", "email_address", [(0.5, rf"\b(?:{_MAIL}[!#$%&'*+\-/=?^_`{{|}}~.\w]*)?{_MAIL}@{_HOST}\.{_HOST}\b")]),
+    _rule("email", "email_address", [(0.5, rf"\b(?:{_MAIL}[!#$%&'*+\-/=?^_`{{|}}~.\w]*)?{_MAIL}@{_HOST}\.{_HOST}\b")], needs="@"),
     _rule("phone", "phone_number", [(0.4, r"(?:\+\d{1,3}[\s.\-]?)?\(?\d{2,4}\)?[\s.\-]?\d{3,4}[\s.\-]?\d{4}\b", "phone")], context={"en": "phone; call; mobile; tel; fax; contact", "es": "teléfono; telefono; llamar; móvil; movil; celular; tel; fax; contacto", "de": "telefon; anruf; mobil; handy; tel; fax; kontakt", "fr": "téléphone; telephone; appel; mobile; portable; tel; fax; contact"}),
-    _rule("url", "url", [(0.5, r"\bhttps?://[^\s/$.?#]\S*\b")]),
-    _rule("aws-key", "api_key", [(0.95, r"\b(?:AKIA|ASIA|AIDA|AROA|ANPA|AGPA|AIPA)[0-9A-Z]{16}\b"), (0.3, r"\b[A-Za-z0-9/+=]{40}\b")], context="aws; amazon; access key; secret access key; aws_access_key_id; aws_secret_access_key"),
-    _rule("generic-api-key", "api_key", [(0.5, rf"(?i){_SECRET_NAME}\s*[:=]\s*{_SECRET}"), (0.5, rf"(?i)bearer\s+{_SECRET}"), (0.4, rf"(?i){_SECRET_NAME}\s+{_SECRET}")]),
-    _rule("github-token", "auth_token", [(0.95, r"\bgh[pousr]_[a-zA-Z0-9]{36}\b"), (0.95, r"\bgithub_pat_[A-Z0-9_]{82}\b")]),
-    _rule("private-key", "private_key", [(0.98, rf"-----BEGIN {_KEY_KIND}-----[\s\S]*?-----END {_KEY_KIND}-----"), (0.98, r"---- BEGIN SSH2 ENCRYPTED PRIVATE KEY ----[\s\S]*?---- END SSH2 ENCRYPTED PRIVATE KEY ----"), (0.98, r"PuTTY-User-Key-File-[23]:[\s\S]*?Private-MAC: [0-9a-f]+")]),
-    _rule("stripe-key", "api_key", [(0.95, r"\bsk_(?:live|test)_[a-zA-Z0-9]{24,}\b")]),
-    _rule("bitcoin-address", "crypto_address", [(0.5, r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b", "crypto.btc"), (0.5, r"\bbc1[a-z0-9]{25,59}\b")]),
+    _rule("url", "url", [(0.5, r"\bhttps?://[^\s/$.?#]\S*\b")], needs="https?://"),
+    _rule("aws-key", "api_key", [(0.95, r"\b(?:AKIA|ASIA|AIDA|AROA|ANPA|AGPA|AIPA)[0-9A-Z]{16}\b"), (0.3, r"\b[A-Za-z0-9/+=]{40}\b")], context="aws; amazon; access key; secret access key; aws_access_key_id; aws_secret_access_key", needs=(None, None)),
+    _rule("generic-api-key", "api_key", [(0.5, rf"(?i){_SECRET_NAME}\s*[:=]\s*{_SECRET}"), (0.5, rf"(?i)bearer\s+{_SECRET}"), (0.4, rf"(?i){_SECRET_NAME}\s+{_SECRET}")], needs=("(?i)key|secret|token", "(?i)bearer", "(?i)key|secret|token")),
+    _rule("github-token", "auth_token", [(0.95, r"\bgh[pousr]_[a-zA-Z0-9]{36}\b"), (0.95, r"\bgithub_pat_[A-Z0-9_]{82}\b")], needs=("gh[pousr]_", "github_pat_")),
+    _rule("private-key", "private_key", [(0.98, rf"-----BEGIN {_KEY_KIND}-----[\s\S]*?-----END {_KEY_KIND}-----"), (0.98, r"---- BEGIN SSH2 ENCRYPTED PRIVATE KEY ----[\s\S]*?---- END SSH2 ENCRYPTED PRIVATE KEY ----"), (0.98, r"PuTTY-User-Key-File-[23]:[\s\S]*?Private-MAC: [0-9a-f]+")], needs=("PRIVATE KEY", "PRIVATE KEY", "Private-MAC")),
+    _rule("stripe-key", "api_key", [(0.95, r"\bsk_(?:live|test)_[a-zA-Z0-9]{24,}\b")], needs="sk_"),
+    _rule("bitcoin-address", "crypto_address", [(0.5, r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b", "crypto.btc"), (0.5, r"\bbc1[a-z0-9]{25,59}\b")], needs=("[13]", "bc1")),
     _rule("credit-card", "payment_card", [(0.3, r"\b(?:5[0-5]\d{2}|2[2-7]\d{2}|[1346]\d{3})[- ]?\d{3,4}[- ]?\d{3,4}[- ]?\d{3,5}\b", "luhn")], context={"en": "card; credit; debit; payment; visa; mastercard; amex", "es": "tarjeta; crédito; credito; débito; debito; pago; visa; mastercard; amex", "de": "karte; kredit; kreditkarte; debit; zahlung; visa; mastercard; amex", "fr": "carte; crédit; credit; débit; debit; paiement; visa; mastercard; amex"}),
-    _rule("ethereum-address", "crypto_address", [(0.5, rf"\b0x{_HEX}{{40}}\b")]),
+    _rule("ethereum-address", "crypto_address", [(0.5, rf"\b0x{_HEX}{{40}}\b")], needs="0x"),
     _rule("iban", "iban", [(0.5, r"\b[A-Z]{2}\d{2}[\s\-]?[A-Z0-9]{4}[\s\-]?(?:[A-Z0-9]{4}[\s\-]?){2,7}[A-Z0-9]{1,4}\b", "iban")], context="iban; bank; account; transfer; swift"),
     _rule("monetary-amount", "monetary_amount", [(0.3, r"\b\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\b"), (0.2, r"\b\d+\.\d{2}\b"), (0.2, r"\b\d+,\d{2}\b"), (0.1, r"\b\d+\b")], dictionaries="currencies; cryptocurrencies"),
-    _rule("swift-code", "swift_code", [(0.5, r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b")]),
+    _rule("swift-code", "swift_code", [(0.5, r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b")], needs=None),
     _rule("ipv4", "ip_address", [(0.6, rf"\b(?:{_OCTET}\.){{3}}{_OCTET}(?:/(?:[0-2]?\d|3[0-2]))?\b")]),
-    _rule("ipv6", "ip_address", [(0.6, rf"\b(?:{_HEX}{{0,4}}:){{2,7}}[0-9A-Fa-f.]{{0,4}}(?:%[0-9A-Za-z]+)?(?:/\d{{1,3}})?", "ipv6"), (0.6, rf"::(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}})*(?:\.\d{{1,3}}){{0,3}})?(?:%[0-9A-Za-z]+)?(?:/\d{{1,3}})?", "ipv6")]),
-    _rule("mac-address", "mac_address", [(0.5, rf"\b(?:{_HEX}{{2}}[:\-]){{5}}{_HEX}{{2}}\b"), (0.5, rf"\b{_HEX}{{4}}(?:\.{_HEX}{{4}}){{2}}\b")]),
+    _rule("ipv6", "ip_address", [(0.6, rf"\b(?:{_HEX}{{0,4}}:){{2,7}}[0-9A-Fa-f.]{{0,4}}(?:%[0-9A-Za-z]+)?(?:/\d{{1,3}})?", "ipv6"), (0.6, rf"::(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}})*(?:\.\d{{1,3}}){{0,3}})?(?:%[0-9A-Za-z]+)?(?:/\d{{1,3}})?", "ipv6")], needs=(rf":{_HEX}{{0,4}}:", "::")),
+    _rule("mac-address", "mac_address", [(0.5, rf"\b(?:{_HEX}{{2}}[:\-]){{5}}{_HEX}{{2}}\b"), (0.5, rf"\b{_HEX}{{4}}(?:\.{_HEX}{{4}}){{2}}\b")], needs=None),
     _rule("date_of_birth", "date_of_birth", [(0.1, rf"\b(?:(?:0[1-9]|1[0-2]|[1-9])[/\-](?:0[1-9]|[12]\d|3[01]|[1-9])[/\-](?:19|20)\d{{2}}|(?:19|20)\d{{2}}[/\-]{MONTH}[/\-]{DAY})\b", "date")], context={"en": "birth; born; dob; birthday; date of birth", "es": "nacimiento; nacido; nacida; fecha de nacimiento; cumpleaños; cumpleanos", "de": "geburt; geboren; geburtsdatum; geburtstag", "fr": "naissance; né; nee; née; date de naissance; anniversaire"}),
     _rule("datetime", "date_time", [(0.1, rf"\b(?:19|20)\d{{2}}[/\-]{MONTH}[/\-]{DAY}[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:Z|[+\-]\d{{2}}:?\d{{2}})?\b")], context={"en": "timestamp; created; modified; logged; at; time", "es": "marca de tiempo; creado; creada; modificado; modificada; registrado; a las; hora; fecha", "de": "zeitstempel; erstellt; geändert; geandert; protokolliert; um; uhrzeit; zeit", "fr": "horodatage; créé; cree; créée; creee; modifié; modifie; à; heure; date"}),
 ]
