@@ -112,6 +112,26 @@ def test_html_cases(page, text):
     assert html_density.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><form id=aspnetForm><div class=top><a href=x>Menu</a></div><div id=content><h2>Head</h2><p>Words, words, and more words.</p><p>Again many words of text.</p></div></form></body>", "Head\nWords, words, and more words.\nAgain many words of text."),
+        ("<form><input><article><h1>T</h1><p>Text of the article.</p></article></form>", "T\nText of the article."),
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>Only this.</p></body></html>", "Only this."),
+        ("<html><head><title>t</title><p>Only this.</p></html>", "Only this."),
+        ("<html><head><title>t</title>First<body><p>Then this.</p></body>", "First\nThen this."),
+        ("<body><p>One part of it.</p></body></html><p>The other part.</p>", "One part of it.\nThe other part."),
+        ("<article><h1>T</h1><div class='elementor-widget'><p>First words here.</p></div><div class='elementor-widget'><p>Second words here.</p></div></article>", "T\nFirst words here.\nSecond words here."),
+        ("<article><h1>T</h1><p>Long enough a text to be most of it all.</p><div class='alert'><p>Mind this.</p></div></article>", "T\nLong enough a text to be most of it all.\nMind this."),
+        ("<article><h1>T</h1><div class='social'><p>Half of the text.</p></div><div class='social'><p>And the other half.</p></div></article>", "T\nHalf of the text.\nAnd the other half."),
+        ("<body><div class='page has-sidebar'><div class=sidebar><p>Not this.</p></div><div id=content><p>Words, words, and more words.</p><p>Again many words of text.</p></div></div>", "Words, words, and more words.\nAgain many words of text."),
+        ("<body><form><h1>Log in</h1><p>Name</p></form><div><p>Words, words, and more words.</p><p>Again many words of text.</p></div>", "Words, words, and more words.\nAgain many words of text."),
+    ],
+)
+def test_html_takes_back_what_holds_most_text(page, text):
+    assert html_density.extract(page) == text
+
+
 def test_html_on_pages(spark, medium):
     pages = spark.read.parquet(f"{medium}/pages.parquet")
     import html

@@ -1,8 +1,10 @@
 """Main text of HTML pages by composite text density.
 
-The page becomes a tree (a tolerant reader: raw text elements, implied end tags, unclosed and stray tags). Subtrees that
-are never main text are left out by their element, role or class words: menus, headers and footers of the page,
-sidebars, notices, adverts, forms, scripts, styles, reader comments. Every node then has C characters, T tags, and LC
+The page becomes a tree (a tolerant reader: raw text elements, implied end tags, unclosed and stray tags; the head ends
+where content begins, and what follows the body belongs to it). Subtrees that are never main text are left out by their
+element, role or class words: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
+reader comments. Forms and what class words leave out are taken back where they hold most of the text outside links, of
+the article or main part they are in or else of the page. Every node then has C characters, T tags, and LC
 and LT, those inside links; its composite density is
 
     C / T * log base ln(C / nLC * LC + LCb / Cb * C + e) of (C / max(LC, 1) * T / max(LT, 1))
@@ -32,10 +34,14 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog div
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "thead", "tbody"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 # Elements, roles and class words of what is never main text.
-LEFT_OUT = frozenset("head script style noscript template nav aside form button select option input textarea iframe object embed svg canvas dialog menu audio video title link meta".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+LEFT_OUT = frozenset("head script style noscript template nav aside button select option input textarea iframe object embed svg canvas dialog menu audio video title link meta".split())
+LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes template".split())
 LEFT_OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments respond disqus reply replies widget toolbar pagination pager".split())
 
+# Of these, what may be text inside an article or a main part: blocks of page builders and hints to the reader.
+TEXT_INSIDE = frozenset("widget alert notice notices".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -43,32 +49,38 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "out", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "out", "parent", "tag", "tags", "total", "words")
 
-    def __init__(self, tag, parent, out=0):
-        self.tag, self.parent, self.children, self.out = tag, parent, [], out
+    def __init__(self, tag, parent, out=0, words=frozenset()):
+        self.tag, self.parent, self.children, self.out, self.words = tag, parent, [], out, words
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def left_out(tag: str, attributes: str, inside_article: bool) -> int:
-    """0: may be main text; 1: is not; 2: is not by its class or id words, unless the article proves to be inside."""
+def left_out(tag: str, attributes: str, inside_article: bool) -> tuple[int, frozenset]:
+    """0: may be main text; 1: is not; 2: is not by its class or id words (these come too), 3: is a form; the latter two
+    unless the main text proves to be inside."""
+    none = frozenset()
     if tag in LEFT_OUT or tag == "footer" or (tag == "header" and not inside_article):
-        return 1
+        return 1, none
+    out, words = 3 if tag == "form" else 0, set()
     if not attributes or tag in ("html", "body", "main"):
-        return 0
-    out = 0
+        return out, none
     for m in ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return 1
+            return 1, none
         if name == "role" and value.lower() in LEFT_OUT_ROLES:
-            return 1
+            return 1, none
+        if name == "role" and value.lower() == "form":
+            out = 3
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return 1
-        if name in ("class", "id") and any(w.lower() in LEFT_OUT_WORDS for w in WORD.findall(value)):
-            out = 2
-    return out
+            return 1, none
+        if name in ("class", "id"):
+            words |= {w.lower() for w in WORD.findall(value)} & LEFT_OUT_WORDS
+    if inside_article:
+        words -= TEXT_INSIDE
+    return out or (2 if words else 0), frozenset(words)
 
 
 def restore(root: Node) -> None:
@@ -78,8 +90,8 @@ def restore(root: Node) -> None:
         node = stack.pop()
         stack.extend(c for c in node.children if isinstance(c, Node))
         if node.tag in ("article", "main", "h1") and not node.out:
-            up = node.parent
-            while up is not None and up.out != 1:
+            up, never = node.parent, (1, 3) if node.tag == "h1" else (1,)
+            while up is not None and up.out not in never:
                 up = up.parent
             if up is None:
                 up = node.parent
@@ -87,13 +99,59 @@ def restore(root: Node) -> None:
                     up.out, up = 0, up.parent
 
 
+def take_back(root: Node) -> None:
+    """Takes back forms, and subtrees left out by the same words, that hold most of the text outside links of the article
+    or main part they are in, or else of the page. Words stand if another article or main part there has text."""
+    every, stack = [], [(root, False)]
+    weight: dict[int, int] = {}
+    while stack:
+        node, linked = stack.pop()
+        every.append(node)
+        linked = linked or node.tag == "a"
+        weight[id(node)] = 0 if linked else sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        stack.extend((c, linked) for c in node.children if isinstance(c, Node) and c.out != 1)
+    for node in reversed(every):
+        if node.parent is not None:
+            weight[id(node.parent)] += weight[id(node)]
+    changed = True
+    while changed:
+        changed = False
+        groups: dict[tuple, list[Node]] = {}
+        parts: dict[int, int] = {}  # text of the articles and main parts directly within each
+        walk = [(root, root)]
+        while walk:
+            node, within = walk.pop()
+            if node.out:
+                groups.setdefault((id(within), node.out, node.words), [within]).append(node)
+                continue
+            if node.tag in ("article", "main") and weight[id(node)]:
+                parts[id(within)] = parts.get(id(within), 0) + weight[id(node)]
+                within = node
+            walk.extend((c, within) for c in node.children if isinstance(c, Node) and c.out != 1)
+        for (_, out, _), (within, *nodes) in groups.items():
+            if out == 2 and parts.get(id(within)):
+                continue
+            if 2 * sum(weight[id(x)] for x in nodes) > weight[id(within)]:
+                for x in nodes:
+                    x.out = 0
+                changed, heavy = True, nodes
+                while heavy and heavy[0].tag not in ("article", "main"):  # down to where the text parts, at once
+                    heavy = [c for c in heavy[0].children if isinstance(c, Node) and c.out != 1 and 2 * weight[id(c)] > weight[id(within)]]
+                    for x in heavy:
+                        x.out = 0
+
+
 def parse(page: str) -> Node:
     """The tree; children are nodes and strings (character references decoded)."""
     root = Node("#root", None)
-    now, at, n, article = root, 0, len(page), 0
+    now, at, n, article, begun = root, 0, len(page), 0, False
 
     def text(s: str) -> None:
+        nonlocal now, begun
         if s:
+            if s.strip():
+                now = close(now) if now.tag == "head" else now
+                begun = begun or now.tag in ("#root", "html")
             now.children.append(_html.unescape(s) if "&" in s else s)
 
     def close(node: Node) -> Node:
@@ -114,6 +172,8 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
+            if tag in ("html", "body"):
+                continue
             up = now
             while up is not root and up.tag != tag:
                 up = up.parent
@@ -126,6 +186,12 @@ def parse(page: str) -> Node:
             elif tag == "br":
                 now.children.append(Node("br", now))
             continue
+        if now.tag == "head" and tag not in HEAD:
+            now = close(now)
+        if tag == "body" or tag not in HEAD:
+            if tag == "body" and begun:
+                continue
+            begun = True
         if tag in CLOSES_P or tag in SIBLINGS:
             ends, stop = (("p",), ("article", "main", "td", "th", "li", "div", "section", "body", "table", "blockquote", "button")) if tag in CLOSES_P else (SIBLINGS[tag], SCOPE[tag])
             up, last = now, None
@@ -138,7 +204,7 @@ def parse(page: str) -> Node:
                     now = close(now)
                 now = close(now)
         attributes = m[3]
-        node = Node(tag, now, left_out(tag, attributes, article > 0))
+        node = Node(tag, now, *left_out(tag, attributes, article > 0))
         now.children.append(node)
         if tag in VOID or attributes.endswith("/"):
             continue
@@ -248,6 +314,7 @@ def text_of(top: Node) -> str:
 def extract(page: str | None) -> str:
     root = parse(page or "")
     restore(root)
+    take_back(root)
     nodes = in_order(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     nodes = nodes if body is root else in_order(body)
