@@ -132,6 +132,20 @@ def test_html_takes_back_what_holds_most_text(page, text):
     assert html_density.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><nav><a href=x>Menu</a></nav><main><h1>T</h1><p>lead</p><article><p>First words of it.</p><p>Second words of it.</p></article></main>", "T\nlead\nFirst words of it.\nSecond words of it."),
+        ("<main><article><p>First words of it, the longest of all.</p></article><article><p>Second words.</p></article></main>", "First words of it, the longest of all.\nSecond words."),
+        ("<body><div><div><article><p>First words of it, the longest of all.</p></article></div><div><article><p>Second words, nearly as many as there.</p></article></div></div><footer>f</footer>", "First words of it, the longest of all.\nSecond words, nearly as many as there."),
+        ("<body><h1>T</h1><article><p>First words of it, the longest of all.</p><p>Second words of it, nearly as long.</p></article><ul><li><a href=x>Other</a></ul>", "T\nFirst words of it, the longest of all.\nSecond words of it, nearly as long."),
+        ("<body><main><article><h1>T</h1><p>Text of it.</p></article><ul><li><a href=x>Other</a></ul></main><div><p>Call</p></div>", "T\nText of it."),
+    ],
+)
+def test_html_rises_from_the_article(page, text):
+    assert html_density.extract(page) == text
+
+
 def test_html_on_pages(spark, medium):
     pages = spark.read.parquet(f"{medium}/pages.parquet")
     import html

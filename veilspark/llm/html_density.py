@@ -11,7 +11,7 @@ and LT, those inside links; its composite density is
 
 with nLC the characters outside links and b the body. A node's density sum is that of its children. The node with the
 largest sum is the kernel; the smallest density on its path to the body is the threshold, and of the nodes that reach
-it, the topmost that hold the kernel or stand beside it within the same article are kept whole.
+it, the topmost that hold the kernel or stand beside it, up to the main part or the body, are kept whole.
 
 Cases: null html counts as empty; a page without text gives an empty string; pages are read whole, however long or
 deep (no recursion); repeated rows give alike results; an empty table gives no rows; other columns are ignored."""
@@ -260,6 +260,31 @@ def densities(nodes: list[Node], body: Node) -> None:
         x.total = own + sum(c.density for c in x.children if isinstance(c, Node) and not c.out)
 
 
+def beside(node: Node) -> list[Node]:
+    """Its siblings that are text rather than links."""
+    return [c for c in node.parent.children if isinstance(c, Node) and not c.out and c is not node and c.chars and c.link_chars * 2 < c.chars]
+
+
+def risen(article: Node, threshold: float, body: Node) -> Node:
+    """The article, or the highest part up to main or body in which text beside it reaches the threshold.
+
+    Blocks on the way that are links for the most part stay out."""
+    top, node, path = article, article, []
+    while node is not body and node.parent is not None and node.tag != "main":
+        path.append(node)
+        loose = any(isinstance(c, str) and c.strip() for c in node.parent.children)
+        if loose or any(c.density >= threshold or c.tag in ("article", "p", "h1", "h2", "h3") for c in beside(node)):
+            top = node.parent
+        node = node.parent
+    for x in path:
+        if x is top:
+            break
+        for c in x.parent.children:
+            if isinstance(c, Node) and c is not x and c.tag in BLOCK and c.link_chars * 2 >= c.chars > 0:
+                c.out = 1
+    return top
+
+
 def kernel(nodes: list[Node], body: Node) -> Node:
     """The subtree that holds the main text."""
     best = max(nodes, key=lambda x: x.total)
@@ -267,17 +292,20 @@ def kernel(nodes: list[Node], body: Node) -> Node:
     while up is not body and up.parent is not None:
         threshold = min(threshold, up.density)
         up = up.parent
-    held = {}
+    article = main = None
     up = best
     while up is not None:
-        held[up.tag], up = up, up.parent
-    if "article" in held or "main" in held:
-        return held.get("article") or held["main"]
+        article = up if up.tag == "article" else article
+        main = up if up.tag == "main" else main
+        up = up.parent
+    if article is not None:
+        return risen(article, min(threshold, body.density), body)
+    if main is not None:
+        return main
     # without such an element: rise while a sibling of the path reaches the threshold and is text rather than links
     while top is not body and top.parent is not None:
-        beside = [c for c in top.parent.children if isinstance(c, Node) and not c.out and c is not top and c.chars and c.link_chars * 2 < c.chars]
         loose = any(isinstance(c, str) and c.strip() for c in top.parent.children)
-        if top.tag not in BLOCK or loose or any(c.density >= threshold or c.tag in ("p", "h1", "h2", "h3") for c in beside):
+        if top.tag not in BLOCK or loose or any(c.density >= threshold or c.tag in ("p", "h1", "h2", "h3") for c in beside(top)):
             top = top.parent
         else:
             break
