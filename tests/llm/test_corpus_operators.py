@@ -144,6 +144,24 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert NearDuplicates(df.limit(0)).kept().collect() == []
 
 
+def test_near_duplicates_at_the_edit_threshold(spark):
+    """Copies with 10 to 20 % of the words changed, single words all over the text."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for n in [5] * 10 + [12] * 10 + [30] * 20 + [41] * 20 + [100] * 20 + [300] * 20 + [1000] * 5:
+        one = make(n)
+        other = list(one)
+        for at in rng.sample(range(n), max(1, int(n * rng.uniform(0.1, 0.2)))):
+            other[at] = make(1)[0]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(one), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.class_id for r in NearDuplicates(df).members().collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert len(set(found.values())) >= len(pairs)
+
+
 def test_order_matters_to_the_sketch():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, 200).astype(np.uint64)

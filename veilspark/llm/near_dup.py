@@ -1,8 +1,10 @@
 """Near-duplicate classes by Order MinHash with verification by banded alignment.
 
-A text is its sequence of words (wordcodes.py). Texts with the same sequence are one node. A node's five-word windows,
+A text is its sequence of words (wordcodes.py). Texts with the same sequence are one node. A node's three-word windows,
 each labelled with its occurrence number, are ranked by `sketches` hash functions; the `kept` least windows of each,
-in the order they have in the text, form one key, so keys agree where texts agree in content and in order. Nodes that
+in the order they have in the text, form one key, so keys agree where texts agree in content and in order. A changed word costs
+a window for each word in it, so windows and keys are small: for pairs at the threshold a key holds two windows, and
+texts of at most `short` words have further keys of one two-word window each. Nodes that
 share a key are candidates: they are compared by banded alignment of their words, and linked if
 1 - edit distance / longer length reaches `similarity` (0.8). Classes are the connected components of the links.
 
@@ -13,8 +15,8 @@ rare words that similar texts must share; larger ones take turns in parallel, in
 component meet a few of it, or a few of them meet all others and leave. So no candidate pair is left undecided, and the
 pairs of a group are not listed.
 
-Cases: a null text is a class of its own; texts without words are copies only of the same string; texts of fewer than
-five words have one window; ids may repeat or be null (the class id is the least id, null if there is none); texts are
+Cases: a null text is a class of its own; texts without words are copies only of the same string; texts of at
+most three words have one window; ids may repeat or be null (the class id is the least id, null if there is none); texts are
 read whole, however long; an empty table gives no rows; other columns, whatever their names, are not touched."""
 
 from __future__ import annotations
@@ -45,14 +47,15 @@ def occurrences(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketches(windows: list[np.ndarray], sketches: int, kept: int) -> np.ndarray:
-    """Keys of several texts' labelled windows (none empty): one line a text, one column a hash function."""
+def order_sketches(windows: list[np.ndarray], sketches: int, kept: int, first: int = 0) -> np.ndarray:
+    """Keys of several texts' labelled windows (none empty): one line a text, one column a hash function, from the first
+    on."""
     size = np.array([len(w) for w in windows], np.int64)
     begin = np.cumsum(size) - size
     flat = np.concatenate(windows)
     out = np.empty((len(windows), sketches), np.uint64)
     rows = np.arange(len(windows))
-    for i in range(sketches):
+    for i in range(first, first + sketches):
         rank = mix(flat ^ np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF))
         rank[rank == FULL] -= np.uint64(1)
         place = np.full((len(windows), kept), np.iinfo(np.int64).max)
@@ -60,8 +63,8 @@ def order_sketches(windows: list[np.ndarray], sketches: int, kept: int) -> np.nd
             least = np.minimum.reduceat(rank, begin)
             at = np.flatnonzero((rank == np.repeat(least, size)) & (rank != FULL))
             row = np.searchsorted(begin, at, side="right") - 1
-            first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-            at, row = at[first], row[first]
+            new = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+            at, row = at[new], row[new]
             place[row, k] = at
             rank[at] = FULL
         place.sort(axis=1)
@@ -69,7 +72,7 @@ def order_sketches(windows: list[np.ndarray], sketches: int, kept: int) -> np.nd
         for k in range(kept):
             have = place[:, k] < len(flat)
             key[rows[have]] = mix(key[have] * np.uint64(0x2545F4914F6CDD1D) + flat[place[have, k]])
-        out[:, i] = key
+        out[:, i - first] = key
     return out
 
 
@@ -78,14 +81,29 @@ def fingerprint(kind: bytes, raw: bytes) -> bytes:
 
 
 
+def labelled_windows(codes: np.ndarray, words: int) -> np.ndarray:
+    s = shingles(codes, words)
+    return mix(s + occurrences(s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-def _sketcher(words: int, sketches: int, kept: int):
+
+def keys_of(texts: list[np.ndarray], words: int, sketches: int, kept: int, short: int) -> list[list[int]]:
+    """Keys of texts, given as codes of their words (none empty); those of at most `short` words have more of them."""
+    out = order_sketches([labelled_windows(x, words) for x in texts], sketches, kept).view(np.int64).tolist()
+    few = [i for i, x in enumerate(texts) if len(x) <= short]
+    if few:
+        more = order_sketches([labelled_windows(texts[i], 2) for i in few], sketches, 1, sketches).view(np.int64).tolist()
+        for i, line in zip(few, more, strict=True):
+            out[i] += line
+    return out
+
+
+def _sketcher(words: int, sketches: int, kept: int, short: int):
     def run(batches):
         for batch in batches:
             column = batch.column(2)
             valid = np.asarray(column.is_valid())
             for a, b, w in word_slices(column):
-                fps, n, windows, at, keys = [], np.diff(w.splits), [], [], [[] for _ in range(b - a)]
+                fps, n, texts, at, keys = [], np.diff(w.splits), [], [], [[] for _ in range(b - a)]
                 for r in range(b - a):
                     own = w.codes[w.splits[r] : w.splits[r + 1]]
                     if not valid[a + r]:
@@ -94,11 +112,10 @@ def _sketcher(words: int, sketches: int, kept: int):
                         fps.append(fingerprint(b"text", column[a + r].as_py().encode("utf-8", "surrogatepass")))
                     else:
                         fps.append(fingerprint(b"words", own.tobytes()))
-                        s = shingles(own, words)
-                        windows.append(mix(s + occurrences(s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                        texts.append(own)
                         at.append(r)
-                if windows:
-                    for r, line in zip(at, order_sketches(windows, sketches, kept).view(np.int64).tolist(), strict=True):
+                if texts:
+                    for r, line in zip(at, keys_of(texts, words, sketches, kept, short), strict=True):
                         keys[r] = line
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(fps, pa.binary()), pa.array(n.astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))], ["id", "k", "fp", "n", "keys"])
 
@@ -197,7 +214,9 @@ def joined_labels(labels: list, words: list[np.ndarray], keys: np.ndarray, key:
 
 def _finisher(least: float):
     def run(table: pa.Table) -> pa.Table:
-        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        listed = table.column("keys").to_pylist()
+        wide = max(map(len, listed))
+        keys = np.array([x + [LARGEST] * (wide - len(x)) for x in listed], np.int64)
         found = joined_labels(table.column("label").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()], keys, table.column("key")[0].as_py(), least)
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
@@ -209,13 +228,13 @@ class NearDuplicates:
 
     All other tables of the steps are deleted once the classes are written."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketches: int = 32, kept: int = 3, in_task: int = 20_000, in_task_words: int = 4_000_000, at_once: int = 16):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float = 0.8, sketches: int = 32, kept: int = 2, short: int = 40, in_task: int = 20_000, in_task_words: int = 4_000_000, at_once: int = 16):
         self.docs, self.id_col, self.text_col, self.similarity = docs, id_col, text_col, similarity
         self.folder = new_dir(docs.sparkSession, "near_dup")
         self.in_task, self.in_task_words, self.at_once = in_task, in_task_words, at_once
         kind = docs.schema[id_col].dataType.simpleString()
         own = docs.select(F.col(id_col).alias("id"), self._key().alias("k"), F.col(text_col).cast("string").alias("t"))
-        sketched = own.mapInArrow(trimmed(_sketcher(words, sketches, kept)), f"id {kind}, k long, fp binary, n int, keys array<long>")
+        sketched = own.mapInArrow(trimmed(_sketcher(words, sketches, kept, short)), f"id {kind}, k long, fp binary, n int, keys array<long>")
         self.rows = materialize(sketched, "rows")
         self.nodes = self._keep(self.rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "k")).alias("rep"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
         self._join()
