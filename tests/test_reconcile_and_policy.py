@@ -195,3 +195,9 @@ def test_native_spans_equal_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = sorted((r.doc_id, r.start, r.end, r.value) for r in recognize.native_spans(df, "[0-9]+", "n", 0.5).collect())
     assert got == sorted((i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) if t for m in re.finditer("[0-9]+", t))
+
+
+def test_rows_refuse_predicate_rules(spark):
+    rules = policy.Policy().predicate(F.col("confidence") > 0.5, policy.ERASE)
+    with pytest.raises(ValueError, match="predicate"):
+        policy.redact_rows(spark.createDataFrame([], "text string"), rules)

@@ -172,9 +172,13 @@ def apply_selections(texts: DataFrame, selections: DataFrame, *keys: str, text_c
 
 
 def redact_rows(scanned: DataFrame, policy: Policy, *, text_col: str = "text") -> DataFrame:
-    """The same on each row's own entity array, without a shuffle: clusters by a fold over sorted entities."""
+    """The same on each row's own entity array, without a shuffle: clusters by a fold over sorted entities.
+
+    A predicate reads columns of a frame of entities, which a row's array has not: such a policy is an error here."""
+    if any(k == "predicate" for k, *_ in policy.rules):
+        raise ValueError("a policy with predicate rules needs select() and apply_selections()")
     spans = F.array_sort(F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"))))
-    fits = [(i, k, w, use) for i, (k, w, use, _) in enumerate(policy.rules) if k != "predicate"]
+    fits = [(i, k, w, use) for i, (k, w, use, _) in enumerate(policy.rules)]
 
     def rank(label: Column, start: Column, end: Column) -> Column:
         at = F.lit(None).cast("int")
