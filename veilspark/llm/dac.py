@@ -9,6 +9,7 @@ document directory: document ids, a bitmap of null ids, and the token position a
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 
@@ -81,6 +82,42 @@ class Levels:
         return out
 
 
+def _header(f) -> tuple[dict, int]:
+    """The header of an open file, and where the parts begin."""
+    f.seek(0)
+    if f.read(len(MAGIC)) != MAGIC:
+        raise ValueError("not a token file")
+    (size,) = struct.unpack("<I", f.read(4))
+    return json.loads(f.read(size)), len(MAGIC) + 4 + size
+
+
+def stored_token(f, position: int) -> int:
+    """The value at a position of an open file, of which it reads the header and, for each level, one directory entry and
+    at most a block of the bitmap."""
+    head, base = _header(f)
+    place = {name: (np.dtype(kind), at) for name, kind, at, _ in head["parts"]}
+    if not 0 <= position < head["n"]:
+        raise IndexError("position outside the codes")
+
+    def read(name: str, first: int, count: int) -> np.ndarray:
+        kind, at = place[name]
+        f.seek(base + at + first * kind.itemsize)
+        return np.frombuffer(f.read(count * kind.itemsize), kind)
+
+    out = level = 0
+    while True:
+        out |= int(read(f"chunk{level}", position, 1)[0]) << 8 * level
+        if f"bits{level}" not in place:
+            return out
+        block = position // BLOCK_BITS
+        first, bit = block * (BLOCK_BITS // 8), position & 7
+        bits = read(f"bits{level}", first, (position >> 3) - first + 1)
+        if not bits[-1] >> bit & 1:
+            return out
+        position = int(read(f"rank{level}", block, 1)[0]) + int(_ONES[bits[:-1]].sum()) + int(_ONES[bits[-1] & ((1 << bit) - 1)])
+        level += 1
+
+
 class TokenFile:
     """One file: codes of many documents' tokens, one after another."""
 
@@ -115,11 +152,7 @@ class TokenFile:
 
     @classmethod
     def load(cls, raw: bytes) -> TokenFile:
-        if raw[: len(MAGIC)] != MAGIC:
-            raise ValueError("not a token file")
-        (size,) = struct.unpack_from("<I", raw, len(MAGIC))
-        base = len(MAGIC) + 4 + size
-        head = json.loads(raw[len(MAGIC) + 4 : base])
+        head, base = _header(io.BytesIO(raw))
         part = {name: np.frombuffer(raw, np.dtype(kind), length // np.dtype(kind).itemsize, base + at) for name, kind, at, length in head["parts"]}
         many = lambda p: [part[f"{p}{i}"] for i in range(sum(k.startswith(p) and k[len(p) :].isdigit() for k in part))]
         nulls = np.unpackbits(part["null_ids"], bitorder="little")[: head["docs"]].astype(bool)

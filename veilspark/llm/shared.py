@@ -40,6 +40,24 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Memo:
+    """Values by key, of bounded number: those used last, at least half of `most`."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def get_all(self, keys: list) -> list:
+        """The values, None where there is none."""
+        if 2 * len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        found = list(map(self.now.get, keys))
+        if self.before:
+            for i, v in enumerate(found):
+                if v is None and (v := self.before.get(keys[i])) is not None:
+                    found[i] = self.now[keys[i]] = v
+        return found
+
+
 def trimmed(run):
     """run, after which a worker gives freed memory back to the system: workers live on between tasks and stages."""
 

@@ -5,6 +5,7 @@ UTF-8 character beyond ASCII are 0x80 or more, so runs of bytes are runs of char
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -14,8 +15,10 @@ from veilspark.llm.shared import slices, texts
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words of more bytes than this are rare, and coded one by one.
+LONG_WORD = 64
+#: Masks of the lowest 0 to 8 bytes of a number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _lower_table() -> np.ndarray:
@@ -32,7 +35,7 @@ LOWER = _lower_table()
 
 
 class Words(NamedTuple):
-    codes: np.ndarray  # uint64, one for each word
+    codes: np.ndarray  # uint64, one for each word; equal words have equal codes
     splits: np.ndarray  # words of row r: splits[r] to splits[r + 1]
     starts: np.ndarray  # byte offsets into data
     ends: np.ndarray
@@ -49,43 +52,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, mod 2**64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        both = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, factor, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS[base] = both[0], both[1]
-    return _POWERS[base]
-
-
-def _codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    n = len(data)
-    power, inverse = _powers(n + 1, base)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.multiply(data, power[:n], out=sums[1:])
-    np.cumsum(sums, out=sums)
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
-
-
-def run_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE, block: int = 1 << 16) -> np.ndarray:
-    """A code of the bytes of each run: a polynomial in an odd base, from running sums over blocks of whole runs.
-
-    A code does not depend on where its run lies; blocks stay in the processor's cache."""
-    if len(data) <= block:
-        return _codes(data, starts, ends, base)
-    out = np.empty(len(starts), np.uint64)
-    cuts = np.searchsorted(starts, np.arange(0, len(data) + block, block)).tolist()
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        if j > i:
-            first = starts[i]
-            out[i:j] = _codes(data[first : ends[j - 1]], starts[i:j] - first, ends[i:j] - first, base)
+def _wide(data: np.ndarray) -> np.ndarray:
+    """The bytes as whole 64-bit numbers, with zeros after them."""
+    out = np.zeros((len(data) >> 3) + 2, "<u8")
+    out.view(np.uint8)[: len(data)] = data
     return out
 
 
+def _eights(wide: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The bytes from each place on, `left` or 8 of them, as a number."""
+    word, bits = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    both = wide[word] >> bits | (wide[word + 1] << (np.uint64(63) - bits)) << np.uint64(1)
+    return both & _LOWEST[np.minimum(left, 8)]
+
+
+def run_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A code of the bytes of each run, which hold no zero; it does not depend on where the run lies.
+
+    Runs of at most 8 bytes have codes of their own; longer ones can share one, so compare them (see same_runs)."""
+    size, wide = ends - starts, _wide(data)
+    out = mix(_eights(wide, starts, size))
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(at):
+        out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + _eights(wide, starts[at] + done, size[at] - done))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each run has the bytes of the run beside it (from_ to `to` in others), given that their codes agree."""
+    size = ends - starts
+    out = size == to - from_
+    at, done = np.flatnonzero(out & (size > 8)), 0
+    if not len(at):
+        return out
+    one, two = _wide(data), _wide(others)
+    for i in at[size[at] > LONG_WORD].tolist():
+        out[i] = data[starts[i] : ends[i]].tobytes() == others[from_[i] : to[i]].tobytes()
+    at = at[size[at] <= LONG_WORD]
+    while len(at):
+        left = size[at] - done
+        same = _eights(one, starts[at] + done, left) == _eights(two, from_[at] + done, left)
+        out[at[~same]] = False
+        done += 8
+        at = at[same & (left > 8)]
+    return out
+
+
+def distinct_runs(codes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, beside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each run and the first run of each kind; runs are of one kind if their bytes (and beside) are equal."""
+    import pandas as pd
+
+    kinds, names = pd.factorize(codes)
+    first = np.empty(len(names), np.int64)
+    first[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
+    like = first[kinds]
+    same = same_runs(data, starts, ends, data, starts[like], ends[like])
+    if beside is not None:
+        same &= beside == beside[like]
+    if not same.all():  # two of them share a code
+        raw = data.tobytes()
+        values = [(raw[a:b], c) for a, b, c in zip(starts.tolist(), ends.tolist(), beside.tolist() if beside is not None else [0] * len(starts), strict=True)]
+        number = {v: i for i, v in enumerate(dict.fromkeys(values))}
+        kinds = np.fromiter(map(number.__getitem__, values), np.int64, len(values))
+        first = np.empty(len(number), np.int64)
+        first[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
+    return kinds, first
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The text bytes of a column without nulls, and each row's offset in them."""
     wide = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
