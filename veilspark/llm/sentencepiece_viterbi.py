@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import slices, texts, trimmed
-from veilspark.llm.wordcodes import SECOND_BASE, buffers, mix, run_codes, words_of
+from veilspark.llm.shared import Memo, slices, texts, trimmed
+from veilspark.llm.wordcodes import LONG_WORD, buffers, distinct_runs, mix, words_of
 
 MARK = "▁"
 #: Every byte but the space is part of a word; NUL counts as the byte that UTF-8 never has.
@@ -103,6 +103,10 @@ class Model:
         self.bytes = [byte[f"<0x{b:02X}>"] for b in range(256)] if len(byte) == 256 else None
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: the longest piece that ends with three characters
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         self.cut_at_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
 
     def id_list(self, piece: str) -> list[int]:
@@ -144,7 +148,7 @@ class SharedPrefix:
 
     def segment(self, words: list[str]):
         """(word, its pieces) for distinct words, in sorted order."""
-        ids, longest, unigram = self.model.ids, self.model.longest, self.model.type == UNIGRAM
+        unigram = self.model.type == UNIGRAM
         last: list[str] = [""]  # the forward column: last piece of each prefix
         best: list[float] = [0.0]
         before = ""
@@ -154,17 +158,11 @@ class SharedPrefix:
             while same < n and word[same] == before[same]:
                 same += 1
             del last[same + 1 :], best[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                if unigram:
+            if unigram:
+                for end in range(same + 1, len(word) + 1):
                     self._best(word, end, last, best)
-                else:
-                    for begin in range(max(0, end - longest), end):
-                        piece = word[begin:end]
-                        if (piece in ids or begin == end - 1) and self.follows(last[begin], piece):
-                            last.append(piece)
-                            break
-                    else:
-                        raise ValueError(f"no piece ends {word[:end]!r}")
+            else:
+                self._follow(word, same, last)
             out, end = [], len(word)
             while end:
                 out.append(last[end])
@@ -172,6 +170,20 @@ class SharedPrefix:
             before = word
             yield word, out[::-1]
 
+    def _follow(self, word: str, done: int, last: list[str]) -> None:
+        ids, reach, fits = self.model.ids, self.model.reach, self.fits
+        for end in range(done + 1, len(word) + 1):
+            most = reach.get(word[end - 3 : end], 2) if end > 2 else end
+            for begin in range(end - most if end > most else 0, end):
+                piece = word[begin:end]
+                if piece in ids or begin == end - 1:
+                    fit = fits.get((last[begin], piece))
+                    if fit or (fit is None and self.follows(last[begin], piece)):
+                        last.append(piece)
+                        break
+            else:
+                raise ValueError(f"no piece ends {word[:end]!r}")
+
     def _best(self, word: str, end: int, last: list[str], best: list[float]) -> None:
         score, top, pick = self.model.score, None, ""
         for begin in range(max(0, end - self.model.longest), end):
@@ -187,11 +199,12 @@ class SharedPrefix:
 class Codec:
     """Encodes columns of texts; `most` bounds the memo of words."""
 
-    def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.most, self.search, self.known = model, most, SharedPrefix(model), {}
+    def __init__(self, model: Model, most: int = 900_000):
+        self.model, self.search, self.known = model, SharedPrefix(model), Memo(most)
         if not model.cut_at_marks or not model.dummy or model.strip:
             raise ValueError("the model must mark word beginnings, add one mark before a text and keep white space")
         self.kind = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
+        self.codes = {p: np.array([i], self.kind).tobytes() for p, i in model.ids.items()}
         out = [bytes([model.bytes.index(i)]) if t == BYTE and model.bytes else p.replace(MARK, " ").encode() if t == NORMAL else b"" for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True))]
         out[model.unknown] = " ⁇ ".encode()
         self.size = np.array([len(x) for x in out], np.int64)
@@ -201,6 +214,8 @@ class Codec:
     def parts(self, unit: str) -> list[str]:
         """A marked word, cut where no piece holds both neighbours."""
         pairs, at, out = self.model.pairs, 0, []
+        if all(map(pairs.__contains__, map(str.__add__, unit, unit[1:]))):
+            return [unit]
         for i in range(1, len(unit)):
             if unit[i - 1 : i + 1] not in pairs:
                 out.append(unit[at:i])
@@ -211,22 +226,20 @@ class Codec:
     def units(self, units: list[str]) -> list[bytes]:
         """Ids of distinct marked words."""
         cut = [self.parts(u) for u in units]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = {p for ps in cut for p in ps if p not in known}
-        for word, pieces in self.search.segment(list(new)):
-            known[word] = np.array([i for p in pieces for i in self.model.id_list(p)], self.kind).tobytes()
+        known, codes = {}, self.codes
+        for word, pieces in self.search.segment(list({p for ps in cut for p in ps})):
+            try:
+                known[word] = b"".join([codes[p] for p in pieces])
+            except KeyError:  # a character without a piece
+                known[word] = np.array([i for p in pieces for i in self.model.id_list(p)], self.kind).tobytes()
         return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a text column without nulls, and how many each row has."""
-        import pandas as pd
-
         if MARK.encode() in buffers(column)[0].tobytes():
             column = pc.replace_substring(column, MARK, " ")  # the library cannot tell the two apart either
         w = words_of(column, WORD_BYTES)
-        codes, second, starts, ends, splits = w.codes, run_codes(w.data, w.starts, w.ends, SECOND_BASE), w.starts, w.ends, w.splits
+        codes, starts, ends, splits = w.codes, w.starts, w.ends, w.splits
         row = np.repeat(np.arange(len(column)), np.diff(splits))
         previous = np.concatenate([[0], ends[:-1]])
         first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
@@ -237,23 +250,23 @@ class Codec:
         if len(tail):
             more = last[tail]
             marks = w.rows[1:][tail] - more + ~filled[tail]
-            codes, second = (np.concatenate([x, np.zeros(len(tail), np.uint64)]) for x in (codes, second))
+            codes = np.concatenate([codes, np.zeros(len(tail), np.uint64)])
             starts, ends, gap = np.concatenate([starts, more]), np.concatenate([ends, more]), np.concatenate([gap, marks])
             row = np.concatenate([row, tail])
             order = np.lexsort((starts, row))
-            codes, second, starts, ends, gap, row = (x[order] for x in (codes, second, starts, ends, gap, row))
+            codes, starts, ends, gap, row = (x[order] for x in (codes, starts, ends, gap, row))
         odd = np.flatnonzero(gap != 1)
         codes[odd] = mix(codes[odd] + gap[odd].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        kinds, names = pd.factorize(codes)
-        at = np.empty(len(names), np.int64)
-        at[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
-        if len(kinds) and not ((second == second[at[kinds]]) & (gap == gap[at[kinds]])).all():
-            kinds, names = pd.factorize(pd.MultiIndex.from_arrays([codes, second, gap]))
-            at = np.empty(len(names), np.int64)
-            at[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
+        kinds, at = distinct_runs(codes, w.data, starts, ends, gap)
         raw = buffers(column)[0].tobytes()
-        distinct = [MARK * g + raw[a:b].decode("utf-8", "surrogatepass") for a, b, g in zip(starts[at].tolist(), ends[at].tolist(), gap[at].tolist(), strict=True)]
-        found = self.units(distinct)
+        spans = list(zip(starts[at].tolist(), ends[at].tolist(), gap[at].tolist(), strict=True))
+        keys = [raw[a:b] if g == 1 else (g, raw[a:b]) for a, b, g in spans]
+        found = self.known.get_all(keys)
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self.units([MARK * g + raw[a:b].decode("utf-8", "surrogatepass") for a, b, g in (spans[i] for i in new)]), strict=True):
+            found[i] = ids
+            if spans[i][1] - spans[i][0] + spans[i][2] <= LONG_WORD:
+                self.known.now[keys[i]] = ids
         flat = np.frombuffer(b"".join(found), self.kind)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         begin = np.cumsum(size) - size
@@ -273,22 +286,25 @@ class Codec:
         return [raw[a + (raw[a : a + 1] == b" " and b > a) : b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _codec(path: str, state: dict) -> Codec:
-    if "codec" not in state:
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """The worker's codec of a model file: workers live on between tasks, and so do its memos."""
+    if path not in _CODECS:
         with open(path, "rb") as f:
-            state["codec"] = Codec(Model(f.read()))
-    return state["codec"]
+            _CODECS[path] = Codec(Model(f.read()))
+    return _CODECS[path]
 
 
 def encode_texts(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
     """The kept columns (as k0, k1, ...), ids, and decoded: the text that the ids give back."""
-    state: dict = {}
 
     def run(batches):
+        codec = codec_of(model_path)
         for batch in batches:
             column = texts(batch.column(batch.num_columns - 1))
             for a, b in slices(column, slice_bytes):
-                codec = _codec(model_path, state)
                 ids, n = codec.encode(column.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), lists, pa.array(codec.decode(ids, n), pa.string())], [*batch.schema.names[:-1], "ids", "decoded"])
@@ -299,13 +315,13 @@ def encode_texts(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("
 
 def digest_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
     """id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip: the ids give the text back."""
-    state: dict = {}
 
     def run(batches):
+        codec = codec_of(model_path)
         for batch in batches:
             column = texts(batch.column(1))
             for a, b in slices(column, slice_bytes):
-                codec, own = _codec(model_path, state), column.slice(a, b - a)
+                own = column.slice(a, b - a)
                 ids, n = codec.encode(own)
                 ends = np.concatenate([[0], np.cumsum(n)]).tolist()
                 wide = ids.astype("<u4")
