@@ -16,7 +16,7 @@ component meet a few of it, or a few of them meet all others and leave. So no ca
 pairs of a group are not listed.
 
 Cases: a null text is a class of its own; texts without words are copies only of the same string; texts of at
-most three words have one window; ids may repeat or be null (the class id is the least id, null if there is none); texts are
+most three words have one window; ids may repeat or be null (the class id is the least id, null if there is none, and its row is kept); texts are
 read whole, however long; an empty table gives no rows; other columns, whatever their names, are not touched."""
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.components import components
 from veilspark.llm.edit_distance import similar
 from veilspark.llm.shared import materialize, new_dir, remove, trimmed
-from veilspark.llm.wordcodes import mix, shingles, word_slices
+from veilspark.llm.wordcodes import Words, mix, shingles, word_slices
 
+KEY = "struct<x: long, y: long>"
 FULL, LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF), np.iinfo(np.int64).max
 
 
@@ -97,6 +98,15 @@ def keys_of(texts: list[np.ndarray], words: int, sketches: int, kept: int, short
     return out
 
 
+def spellings(w: Words) -> list[bytes]:
+    """The words of each row, one zero byte between two."""
+    inside = w.data != 0
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    raw, at = w.data[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[w.rows].tolist()
+    return [raw[a:b].strip(b"\0") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _sketcher(words: int, sketches: int, kept: int, short: int):
     def run(batches):
         for batch in batches:
@@ -104,6 +114,7 @@ def _sketcher(words: int, sketches: int, kept: int, short: int):
             valid = np.asarray(column.is_valid())
             for a, b, w in word_slices(column):
                 fps, n, texts, at, keys = [], np.diff(w.splits), [], [], [[] for _ in range(b - a)]
+                spelled = spellings(w)
                 for r in range(b - a):
                     own = w.codes[w.splits[r] : w.splits[r + 1]]
                     if not valid[a + r]:
@@ -111,7 +122,7 @@ def _sketcher(words: int, sketches: int, kept: int, short: int):
                     elif not len(own):
                         fps.append(fingerprint(b"text", column[a + r].as_py().encode("utf-8", "surrogatepass")))
                     else:
-                        fps.append(fingerprint(b"words", own.tobytes()))
+                        fps.append(fingerprint(b"words", spelled[r]))
                         texts.append(own)
                         at.append(r)
                 if texts:
@@ -234,9 +245,9 @@ class NearDuplicates:
         self.in_task, self.in_task_words, self.at_once = in_task, in_task_words, at_once
         kind = docs.schema[id_col].dataType.simpleString()
         own = docs.select(F.col(id_col).alias("id"), self._key().alias("k"), F.col(text_col).cast("string").alias("t"))
-        sketched = own.mapInArrow(trimmed(_sketcher(words, sketches, kept, short)), f"id {kind}, k long, fp binary, n int, keys array<long>")
+        sketched = own.mapInArrow(trimmed(_sketcher(words, sketches, kept, short)), f"id {kind}, k {KEY}, fp binary, n int, keys array<long>")
         self.rows = materialize(sketched, "rows")
-        self.nodes = self._keep(self.rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "k")).alias("rep"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+        self.nodes = self._keep(self.rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("rep"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
         self._join()
         self.classes = self._classes()
         remove(docs.sparkSession, self.folder)
@@ -248,7 +259,9 @@ class NearDuplicates:
         return components(links, self.folder)
 
     def _key(self):
-        return F.xxhash64(F.col(self.id_col), F.col(self.text_col))
+        """128 bits of a row's id and text."""
+        own = F.col(self.id_col), F.col(self.text_col)
+        return F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit("y"), *own).alias("y"))
 
     def _ratio(self, x: str, y: str):
         return F.least(x, y) >= self.similarity * F.greatest(x, y) - 1e-9
@@ -319,13 +332,16 @@ class NearDuplicates:
         rooted = self.nodes.select("fp", "id", "rep", "copies", F.col("fp").alias("label"))
         for step in self.roots:
             rooted = self._onward(rooted, step)
-        total = rooted.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("rep").alias("first"))
+        total = self._keep(rooted.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("rep").alias("first")), "total")
         return materialize(rooted.select("fp", "label").join(total, "label").select("fp", "class_id", "class_size", F.col("first.k").alias("first_k")), "classes")
 
     def members(self) -> DataFrame:
-        """id, class_id, class_size, a row for each document; a null text is a class of its own."""
-        known = self.rows.where("fp IS NOT NULL").select("id", "fp").join(self.classes, "fp").select("id", "class_id", "class_size")
-        alone = self.rows.where("fp IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+        """id, class_id, class_size and kept, a row for each document; a null text is a class of its own.
+
+        The row with the least id is kept, one without id only if none has any; rows that are alike in id and text are
+        marked alike."""
+        known = self.rows.where("fp IS NOT NULL").select("id", "k", "fp").join(self.classes, "fp").select("id", "class_id", "class_size", (F.col("k") == F.col("first_k")).alias("kept"))
+        alone = self.rows.where("fp IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
         return known.unionByName(alone)
 
     def kept(self) -> DataFrame:
@@ -342,4 +358,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     from veilspark.llm.shared import table
 
     found = NearDuplicates(table(spark, sf_dir, "documents")).members()
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
