@@ -1,6 +1,8 @@
+import collections
 import hashlib
 import itertools
 import json
+import os
 import random
 import zlib
 
@@ -9,13 +11,15 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import regex
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from veilspark.llm import chat_format, html_density, token_count, token_store
+from veilspark.llm import chat_format, decontaminate, html_density, near_dup, token_count, token_store, wordcodes
 from veilspark.llm import sentencepiece_viterbi as spv
 from veilspark.llm.dac import Levels, TokenFile
+from veilspark.llm.shared import Memo
 from veilspark.llm.wordcodes import WORD_PATTERN, words_of
 
 ODD = [None, "", " ", "  \n\t ", "a", "É é", "\x00", "x\x00y", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "漢字 😀", "don't. DON'T,", "  lead", "trail  ", "\x1c a\x85b\u2028c", "İx ǅ ß", "a" * 3000, "ab " * 20_000, "The THE the, the. .. a.. ... a,b a. .a .", "end.", "a.\nb,\tC! d?;", "<|ENDOFTEXT|> The."]
@@ -39,6 +43,42 @@ def test_word_codes_follow_the_pattern(values):
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n: int, first: int) -> str:
+    """Letters a and b, by the parity of ones in their place: power sums of such words agree mod 2**64."""
+    return "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(n))
+
+
+ALIKE = [f"{thue_morse(n, 0)} {thue_morse(n, 1)}  {thue_morse(n, 0)}" for n in (64, 1024, 2048)] + ["", "x" * 70 + " " + "x" * 69 + "y"]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_words_that_share_a_code_are_told_apart(monkeypatch, weak):
+    """Weak: all words of more than 8 bytes share one code."""
+    if weak:
+        real = wordcodes.run_codes
+        monkeypatch.setattr(wordcodes, "run_codes", lambda data, starts, ends: np.where(ends - starts > 8, np.uint64(1 << 60), real(data, starts, ends)))
+    values = [*ALIKE, "ab cd ab, cd. Ab", "the cat sat on the mat and the dog ran off remarkably undeterred remarkable"]
+    column = pa.array(values, pa.string())
+    path = P.path("word_bpe_49k.json")
+    ids, n = token_store.Encoder(path).encode(column)
+    ends = np.cumsum(n)
+    assert [ids[b - k : b].tolist() for b, k in zip(ends, n, strict=True)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(values, add_special_tokens=False)]
+    path = P.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        codec = spv.Codec(spv.Model(f.read()))
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for _ in range(2):  # the second time from the memo
+        ids, n = codec.encode(column)
+        ends = np.cumsum(n)
+        assert [ids[b - k : b].tolist() for b, k in zip(ends, n, strict=True)] == [library.encode(v) for v in values]
+    assert codec.decode(ids, n) == values
+    items = [("i", thue_morse(1024, 0)), ("j", "the cat sat on the dog"), ("k", "dog ran off remarkably undeterred")]
+    splits, hit, found = decontaminate.scan(pa.array([thue_morse(1024, 1), values[-1], "cat dog"]), decontaminate.Phrases(items))
+    assert found == {1: {"k"}} and hit.sum() == 5 and len(splits) == 4
+    spelled = near_dup.spellings(wordcodes.words_of(pa.array(["a  B c", " A b-C ", "a bc", "", "--"])))
+    assert spelled[0] == spelled[1] != spelled[2] and spelled[3] == spelled[4] == b""
+
+
 # Chat
 
 
@@ -70,13 +110,48 @@ def test_chat_examples_have_all_preceding_turns(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     examples = chat_format.prefix_targets(df)
     whole = chat_format.expand(examples).orderBy("example").collect()
-    assert len(whole) == 2
-    for e, upto in zip(whole, (3, 5), strict=True):
+    assert [e.loss_start is None for e in whole] == [False, False, True]
+    for e, upto in zip(whole[:2], (3, 5), strict=True):
         assert chat_format.parse_turns(e.text) == [(r, t) for _, _, r, t in rows[:upto]]
         assert chat_format.unescape(e.text[e.loss_start : e.loss_end]) == rows[upto - 1][3]
     assert sum(r.n_turns for r in examples.collect()) == 6
     total = chat_format.digests(examples).first().formatted_chars
-    assert total == sum(len(e.text) for e in whole) + len(chat_format.format_turn(*rows[5][2:])[0])
+    assert total == sum(len(e.text) for e in whole[:2]) + len(chat_format.format_turn(*rows[5][2:])[0])
+
+
+@pytest.mark.parametrize("most", [1, 7, 256])
+def test_chat_digests_come_from_whole_examples(spark, most):
+    """300 and 1,000 turns without a reply, replies all along, none at all: read from the examples spelled out."""
+    rows = [(1, t, "user", f"say {t} [x]") for t in range(300)] + [(1, 300, "assistant", "at last & more")]
+    rows += [(2, t, "user" if t < 1000 or t % 2 else "assistant", f"t{t}") for t in range(1009)]
+    rows += [(3, t, "user", "alone") for t in range(520)] + [(4, t, "assistant", f"a{t}<") for t in range(40)]
+    examples = chat_format.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most_turns=most)
+    plain, chars = plain_digest(rows), collections.Counter()
+    loss = collections.defaultdict(str)
+    before: dict = {}
+    for e in sorted(chat_format.expand(examples).collect(), key=lambda e: (e.conv_id, e.example)):
+        if e.loss_start is not None:
+            chars[e.conv_id] += len(e.text)
+            loss[e.conv_id] += chat_format.unescape(e.text[e.loss_start : e.loss_end])
+            assert e.text.startswith(before.get(e.conv_id, ""))
+            before[e.conv_id] = e.text
+        else:
+            chars[e.conv_id] += len(e.text) - len(before.get(e.conv_id, ""))
+    got = chat_format.digests(examples).collect()
+    assert {r.conv_id: r.formatted_chars for r in got} == chars
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == plain
+    assert all(r.loss_sha256 == hashlib.sha256(loss[r.conv_id].encode()).hexdigest() for r in got)
+
+
+def test_chat_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, t, "user", f"say {t} [x]") for t in range(300)] + [(1, 300, "assistant", "at last & more")] + [(5, 0, "assistant", "r"), (5, 1, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = duckdb.sql(chat_format.ORACLE)
+    names = [c for c in expected.columns]
+    assert sorted(tuple(r[c] for c in names) for r in chat_format.query(spark, str(tmp_path)).collect()) == sorted(expected.fetchall())
 
 
 @settings(max_examples=200, deadline=None)
@@ -221,7 +296,8 @@ def test_token_files_equal_the_library(spark, small):
     rows = [(i - 3, v) for i, v in enumerate(ODD)] + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     df = spark.createDataFrame([(i, v, "s", 1) for i, v in rows], "doc_id long, text string, start string, id int")
     folder = token_store.new_dir(spark, "tokens")
-    files = token_store.write_tokens(df, path, folder, end_id=2, files=5)
+    files = token_store.write_tokens(df, path, folder, end_id=2, ranges=5, slice_bytes=1 << 12, file_tokens=3000)
+    assert files.count() > 20
     library, at, expected = Tokenizer.from_file(path), 0, []
     for i, v in sorted(rows, key=lambda r: r[0]):
         ids = [*library.encode(v or "", add_special_tokens=False).ids, 2]
@@ -230,6 +306,26 @@ def test_token_files_equal_the_library(spark, small):
     assert sorted(tuple(r) for r in token_store.checksums(files, folder).collect()) == expected
     one = token_store.read_tokens(files, folder).where("id = 103").first()
     assert one.ids[-1] == 2
+    for k in (0, 1, len(one.ids) // 2, len(one.ids) - 1):
+        assert token_store.read_token(files, folder, one.start + k) == one.ids[k]
+    with pytest.raises(IndexError):
+        token_store.read_token(files, folder, at)
+
+
+def test_a_file_written_twice_is_whole(tmp_path):
+    folder = f"file://{tmp_path}/store"
+    for _ in range(2):
+        token_store._put(folder, "part-0.dac", b"the same bytes")
+    assert os.listdir(tmp_path / "store") == ["part-0.dac"]
+
+
+def test_memo_is_bounded():
+    memo = Memo(10)
+    for i in range(100):
+        assert memo.get_all([i]) == [None]
+        memo.now[i] = i
+        assert memo.get_all([i, i - 3])[0] == i
+        assert len(memo.now) + len(memo.before) <= 13
 
 
 @settings(max_examples=150, deadline=None)

@@ -6,7 +6,7 @@ than the shortest window, which hold no occurrence, are left out (an exact reduc
 of a shard form an FM-index; every window is searched backwards through wavelet-tree ranks and its occurrences located
 from sampled suffix positions. The word spans of a document's occurrences are merged into removal spans.
 
-Words are compared by 64-bit code and length. The benchmark is held whole only up to `most_bytes` of text; a larger one
+Words are looked up by code and compared by their bytes. The benchmark is held whole only up to `most_bytes` of text; a larger one
 is dealt by item into groups of about that size, and the documents pass through one scan after another, without a
 shuffle in either case.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.fm_index import FmIndex
 from veilspark.llm.shared import texts, trimmed
-from veilspark.llm.wordcodes import word_slices, words_of
+from veilspark.llm.wordcodes import Words, same_runs, word_slices, words_of
 
 
 class Phrases:
@@ -33,16 +33,25 @@ class Phrases:
     def __init__(self, items: list[tuple[str, str | None]], size: int = 13):
         self.names = sorted({name for name, _ in items})
         number = {n: i for i, n in enumerate(self.names)}
-        rows = [(number[n], w.codes, w.ends - w.starts) for n, t in items if len((w := words_of(pa.array([t or ""], pa.string()))).codes)]
-        codes = np.concatenate([c for _, c, _ in rows]) if rows else np.zeros(0, np.uint64)
-        lengths = np.concatenate([x for _, _, x in rows]) if rows else np.zeros(0, np.int64)
-        self.codes, at = np.unique(codes, return_index=True)
-        self.lengths = lengths[at]
+        rows, code = [], {}
+        for n, t in items:
+            w = words_of(pa.array([t or ""], pa.string()))
+            raw = w.data.tobytes()
+            own = [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+            code.update(zip(own, w.codes.tolist(), strict=True))
+            if own:
+                rows.append((number[n], own))
+        words = sorted(code, key=lambda w: (code[w], w))
+        self.codes = np.array([code[w] for w in words], np.uint64)
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        self.ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.codes >> np.uint64(44)).astype(np.int64)] = True
+        symbol = {w: i for i, w in enumerate(words, 1)}
         found: dict[tuple[int, ...], set[int]] = {}
-        for item, c, _ in rows:
-            s = (np.searchsorted(self.codes, c) + 1).tolist()
+        for item, own in rows:
+            s = [symbol[w] for w in own]
             for i in range(max(1, len(s) - size + 1)):
                 found.setdefault(tuple(s[i : i + size]), set()).add(item)
         self.by_length = {}
@@ -51,14 +60,18 @@ class Phrases:
             self.by_length[n] = (np.array(keys, np.int64), [sorted(found[k]) for k in keys])
         self.least = min(self.by_length, default=0)
 
-    def numbers(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def numbers(self, w: Words) -> np.ndarray:
         """Vocabulary number of each word, from 1; 0 outside."""
-        out = np.zeros(len(codes), np.int32)
-        at = np.flatnonzero(self.maybe[(codes >> np.uint64(44)).astype(np.int64)])
-        if len(at) and len(self.codes):
-            i = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
-            same = (self.codes[i] == codes[at]) & (self.lengths[i] == lengths[at])
+        out = np.zeros(len(w.codes), np.int32)
+        at = np.flatnonzero(self.maybe[(w.codes >> np.uint64(44)).astype(np.int64)])
+        i = np.searchsorted(self.codes, w.codes[at])
+        while len(at):  # more than once only where words of the benchmark share a code
+            j = np.minimum(i, len(self.codes) - 1)
+            near = (i < len(self.codes)) & (self.codes[j] == w.codes[at])
+            at, i = at[near], i[near]
+            same = same_runs(w.data, w.starts[at], w.ends[at], self.data, self.starts[i], self.ends[i])
             out[at[same]] = i[same] + 1
+            at, i = at[~same], i[~same] + 1
         return out
 
 
@@ -71,7 +84,7 @@ class Shard:
         for _, _, w in word_slices(column):
             rows += (w.splits[1:] + base).tolist()
             if len(w.codes) and phrases.least:
-                self._runs(phrases.numbers(w.codes, w.ends - w.starts), w.splits, base, runs, begins)
+                self._runs(phrases.numbers(w), w.splits, base, runs, begins)
             base += len(w.codes)
         self.splits = np.array(rows, np.int64)
         self.runs = np.concatenate(runs) if runs else np.zeros(0, np.int32)

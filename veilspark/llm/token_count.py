@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import texts
+from veilspark.llm.shared import slices, texts, trimmed
 
 # Fixed value: the pre-token pattern of byte-level BPE files with use_regex.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -131,25 +131,31 @@ class Counter:
         return out
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter_of(path: str, proven) -> Counter:
+    """The worker's counter of a tokenizer file, from its broadcast proof: workers live on between tasks, and so does its memo."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path, *proven.value)
+    return _COUNTERS[path]
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
     """id, n_bytes and n_tokens of each text."""
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer_path))  # as many entries as the vocabulary has, at most
-    state: dict = {}
 
     def run(batches):
-        from veilspark.llm.shared import slices
-
-        if "c" not in state:
-            state["c"] = Counter(tokenizer_path, *whole.value)
+        counter = counter_of(tokenizer_path, whole)
         for batch in batches:
             column = texts(batch.column(1))
             counts = np.zeros(len(column), np.int64)
             for a, b in slices(column, slice_bytes):
-                counts[a:b] = state["c"].count(column.slice(a, b - a).to_pylist())
+                counts[a:b] = counter.count(column.slice(a, b - a).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(column), pa.int64()), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
     ids = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {ids}, n_bytes long, n_tokens long")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(trimmed(run), f"id {ids}, n_bytes long, n_tokens long")
     return found.withColumnRenamed("id", id_col)
 
 
