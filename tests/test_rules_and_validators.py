@@ -1,3 +1,4 @@
+import random
 import re
 from dataclasses import replace
 
@@ -12,8 +13,11 @@ from veilspark.labels import Catalog
 from veilspark.operators import dictionaries as dicts
 from veilspark.operators.context import Boost, Booster, holds, merged, window
 from veilspark.operators.recognize import Scanner
+from veilspark.plans import rule_queries
 from veilspark.operators.rules import BUILT_IN, Context, Rule, Scope, Variant, compiled, digits, from_toml, in_scope
 
+BUILT_IN_BY_NAME = {r.name: r for r in BUILT_IN}
+
 VECTORS = {
     "luhn": (["4111 1111 1111 1111", "5555-5555-5555-4444", "378282246310005"], ["4111 1111 1111 1112", "", "4111x"]),
     "iban": (["GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000"], ["GB29 NWBK 6016 1331 9268 18", "XX00", "DE8937040044053201300"]),
@@ -220,3 +224,63 @@ def test_catalog():
     assert c.category("iban") == "financial" and "payment_card" in c.tagged("pci")
     assert Catalog().declares("anything") and not c.declares("anything")
     assert c.resolve(["nope", "iban"]) == "iban" and c.resolve(["a", "b"]) == "a"
+
+
+def plain_matches(text):
+    """All matches of all patterns, without any test before the search."""
+    out = []
+    for r in BUILT_IN:
+        for v in r.variants:
+            for m in re.finditer(v.regex, text):
+                if m[0] and (v.validator is None or VALIDATORS[v.validator](m[0], ())):
+                    out.append((r.name, v.score, m.start(), m.end(), m[0]))
+    return sorted(out)
+
+
+def scanned(text):
+    found = Scanner(BUILT_IN, [], Scope(), boost=False).entities(text)
+    return sorted((e["rule"], e["confidence"], e["start"], e["end"], e["value"]) for e in found)
+
+
+def test_parts_around_digits_hold_all_matches():
+    """Long prose between the finds, finds at both ends, finds one after another, nothing but digits, no digits."""
+    rng = random.Random(9)
+    known = [s for r in BUILT_IN for v in r.variants for s in rule_queries.examples(v.regex, 2)]
+    gap = lambda: "".join(rng.choice("abcdefg hijk. ABC") for _ in range(rng.choice([0, 1, 40, 94, 95, 96, 97, 98, 190, 193, 194, 400])))
+    texts = ["".join(gap() + rng.choice([" ", ""]) + s for s in rng.sample(known, 12)) for _ in range(40)] + ["7" * 700, "7 " * 300, "x" * 500, "1" + "x" * 200 + "2", ""]
+    for t in texts:
+        assert scanned(t) == plain_matches(t)
+
+
+@pytest.mark.parametrize("rule", BUILT_IN, ids=lambda r: r.name)
+def test_each_variant_finds_its_examples_alone_in_a_text(rule):
+    bare = [replace(rule, variants=tuple(replace(v, validator=None) for v in rule.variants))]
+    scanner = Scanner(bare, [], Scope(), boost=False)
+    for v in rule.variants:
+        own = rule_queries.examples(v.regex)
+        assert len(own) >= 3
+        for s in own:
+            assert any(e["value"] == s and e["base"] == v.score for e in scanner.entities(s)), s
+
+
+def test_omocodic_code_and_address_without_digits():
+    assert ("ipv6", "dead:beef::cafe") in {(r, s) for r, *_, s in scanned("host dead:beef::cafe up")}
+    rule = BUILT_IN_BY_NAME["it-fiscal-code"]
+    bare = replace(rule, variants=tuple(replace(v, validator=None) for v in rule.variants))
+    code = "RSSMRA" + "UM" + "T" + "LM" + "H" + "RLM" + "X"
+    assert not any(c.isdigit() for c in code) and re.fullmatch(rule.variants[0].regex, code)
+    assert [e["value"] for e in Scanner([bare], [], Scope(), boost=False).entities(f"codice {code} ok")] == [code]
+
+
+@pytest.mark.parametrize("size", [10, 4096, 100_000])
+def test_window_reaches_whole_words_however_far(size):
+    blob = "x" * size
+    for gap in (" " * size, f" {blob} "):
+        text = f"card two{gap}4111 and{gap}then visa"
+        at = text.index("4111")
+        near = window(text, at, at + 4, 5, 5)
+        assert near.startswith("card two") and near.endswith("then visa")
+    text = f"far one two {blob} three four 4111 a {blob} b c d beyond"
+    at = text.index("4111")
+    assert window(text, at, at + 4, 5, 5) == text[4 : text.index(" beyond")]
+    assert window(text, at, at + 4, 0, 0) == "4111"

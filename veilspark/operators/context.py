@@ -52,19 +52,23 @@ def holds(text: str, keyword: str, boundary: bool) -> bool:
     return False
 
 
-def window(text: str, start: int, end: int, before: int, after: int, reach: int = 4096) -> str:
-    """The text from `before` words ahead of the entity to `after` words behind it."""
+def window(text: str, start: int, end: int, before: int, after: int, step: int = 256) -> str:
+    """The text from `before` words ahead of the entity to `after` words behind it.
+
+    Words are looked for in a stretch of text that doubles until it holds enough whole ones or meets the text's end."""
     a, b = start, end
     if before:
-        left = text[max(0, start - reach) : start]
-        words = [m.start() for m in WORD.finditer(left)]
-        a = start - len(left) + words[-before] if len(words) >= before else start - len(left) if words else start
+        reach = step
+        while True:
+            lo = max(0, start - reach)
+            words = [m.start() for m in WORD.finditer(text, lo, start)]
+            if lo == 0 or len(words) > before:  # the first one may have begun before the stretch
+                break
+            reach *= 2
+        a = words[-before] if len(words) >= before else lo if words else start
     if after:
-        right = text[end : end + reach]
-        n = 0
-        for m in WORD.finditer(right):
-            n += 1
-            b = end + m.end()
+        for n, m in enumerate(WORD.finditer(text, end), 1):
+            b = m.end()
             if n == after:
                 break
     return text[a:b]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,17 +28,24 @@ LANGUAGE = "struct<tag: string, confidence: float, provenance: string, start: in
 
 
 def detect_language(text: Column, candidates: list[str] | None = None) -> Column:
-    """Ranked languages by the share of function words, natively; empty where no word tells."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-
-    def known(names: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*names)))
+    """Ranked languages by the share of function words; empty where no word tells.
 
+    Words are runs of letters; each text is read once, in Arrow batches, as counting in lambdas of columns is interpreted."""
     chosen = [(t, w.split()) for t, w in FUNCTION_WORDS.items() if not candidates or t in candidates]
-    hits = [F.struct(known(names).alias("n"), F.lit(tag).alias("tag")) for tag, names in chosen]
-    total = F.aggregate(F.array(*hits), F.lit(0), lambda a, h: a + h["n"])
-    ranked = F.reverse(F.array_sort(F.filter(F.array(*hits), lambda h: h["n"] > 0)))
-    return F.transform(ranked, lambda h: F.struct(h["tag"].alias("tag"), (h["n"] / total).cast("float").alias("confidence"), F.lit("detected").alias("provenance"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+
+    @pandas_udf(f"array<{LANGUAGE}>")
+    def ranked(texts: pd.Series) -> pd.Series:
+        import regex
+
+        word, out = regex.compile(r"\p{L}+"), []
+        for t in texts:
+            seen = Counter(word.findall(t.lower())) if t else {}
+            found = sorted(((sum(seen.get(w, 0) for w in names), tag) for tag, names in chosen), reverse=True)
+            total = sum(n for n, _ in found)
+            out.append([{"tag": tag, "confidence": n / total, "provenance": "detected", "start": None, "end": None} for n, tag in found if n])
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return ranked(text)
 
 
 def rank_languages(languages: Column) -> Column:

@@ -29,10 +29,16 @@ _ENTITY_TYPE = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32())
 def span_array(text: Column, regex: str, group: int = 0) -> Column:
     """array<struct<start,value>> of a pattern's matches; the pattern must not match the empty string."""
     m, g = F.regexp_extract_all(text, F.lit(regex), group), F.split(text, regex, -1)
-    before = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    each = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.struct((before(g, i + 1) + before(m, i)).alias("start"), F.get(m, i).alias("value")))
-    empty = F.array().cast("array<struct<start:int,value:string>>")
-    return F.when(F.size(m) > 0, each).otherwise(empty)
+    kind = "array<struct<start:int,value:string>>"
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["gap"])
+        found = F.array(F.struct(start.alias("start"), x["value"].alias("value"))).cast(kind)
+        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(a["out"], found).alias("out"))
+
+    pairs = F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda gap, value: F.struct(F.coalesce(gap, F.lit("")).alias("gap"), F.coalesce(value, F.lit("")).alias("value")))
+    return F.when(F.size(m) > 0, F.aggregate(pairs, state, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
 
 
 def native_spans(chunks: DataFrame, regex: str, label: str, score: float, *, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", check: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -42,6 +48,31 @@ def native_spans(chunks: DataFrame, regex: str, label: str, score: float, *, key
     return hits.select(*keys, F.lit(label).alias("label"), "start", (F.col("start") + F.length("value")).alias("end"), "value", F.lit(score).cast("float").alias("confidence"))
 
 
+DIGIT, DIGITS = re.compile(r"\d"), re.compile(r"\d+")
+#: A match of at most so many characters that holds a digit lies within so many of one.
+NEAR = 96
+
+
+def longest(rx: re.Pattern) -> int:
+    """Characters of the longest match."""
+    from re import _parser
+
+    return _parser.parse(rx.pattern).getwidth()[1]
+
+
+def around_digits(text: str) -> list[tuple[int, int]]:
+    """The parts of a text in which every match lies that holds a digit and has at most NEAR characters, with a character
+    to spare at each end, so that word ends are seen; parts do not touch."""
+    out: list[tuple[int, int]] = []
+    for m in DIGITS.finditer(text):
+        begin, end = max(0, m.start() - NEAR), m.end() + NEAR
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], end
+        else:
+            out.append((begin, end))
+    return [(a, min(b, len(text))) for a, b in out]
+
+
 class Scanner:
     """All rules and dictionaries of a call, over single texts."""
 
@@ -49,23 +80,34 @@ class Scanner:
         self.scope = scope
         settled = in_scope(rules, scope)
         self.groups: dict[str, tuple[re.Pattern | None, list]] = {}
-        for r, v, rx in compiled(settled):
-            self.groups.setdefault(v.needs or "", (re.compile(v.needs) if v.needs else None, []))[1].append((r, v, rx, VALIDATORS.get(v.validator) if v.validator else None))
+        self.near: list[tuple] = []
+        for place, (r, v, rx) in enumerate(compiled(settled)):
+            valid = VALIDATORS.get(v.validator) if v.validator else None
+            if v.needs == DIGIT.pattern and longest(rx) <= NEAR:
+                self.near.append((place, r, v, rx, valid))
+                continue
+            self.groups.setdefault(v.needs or "", (re.compile(v.needs) if v.needs else None, []))[1].append((place, r, v, rx, valid))
         asserted = {primary(x) for x in scope.languages}
         chosen = [d for d in terms if (not asserted or not d.languages or {*map(primary, d.languages)} & asserted) and scope.catalog.declares(d.label)]
         self.terms = dicts.Terms(chosen)
         self.booster = Booster.of(settled, scope, terms) if boost else None
 
     def entities(self, text: str, hints: list[str] = (), language: str | None = None) -> list[dict]:
-        out = []
-        for need, members in self.groups.values():
-            if need is not None and not need.search(text):
-                continue
-            for r, v, rx, valid in members:
-                for m in rx.finditer(text):
+        hits = []
+
+        def look(members: list, begin: int, end: int) -> None:
+            for place, r, v, rx, valid in members:
+                for m in rx.finditer(text, begin, end):
                     value = m[0]
                     if value and (valid is None or valid(value, self.scope.countries)):
-                        out.append({"label": r.labels[0], "start": m.start(), "end": m.end(), "value": value, "confidence": v.score, "recognizer": "pattern", "rule": r.name, "validator": v.validator, "base": v.score, "keyword": None, "language": language})
+                        hits.append((place, m.start(), {"label": r.labels[0], "start": m.start(), "end": m.end(), "value": value, "confidence": v.score, "recognizer": "pattern", "rule": r.name, "validator": v.validator, "base": v.score, "keyword": None, "language": language}))
+
+        for begin, end in around_digits(text) if self.near else ():
+            look(self.near, begin, end)
+        for need, members in self.groups.values():
+            if need is None or need.search(text):
+                look(members, 0, len(text))
+        out = [e for _, _, e in sorted(hits, key=lambda h: h[:2])]
         for start, end, d, score in self.terms.find(text):
             out.append({"label": d.label, "start": start, "end": end, "value": text[start:end], "confidence": score, "recognizer": "pattern", "rule": d.name, "validator": None, "base": score, "keyword": None, "language": language})
         if self.booster:

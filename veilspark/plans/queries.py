@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import checks, redact
 from veilspark.labels import Catalog
 from veilspark.operators import audit, enrich, policy, recognize, reconcile, rules, vault
+from veilspark.plans import check_queries, rule_queries
 from veilspark.plans.engine import Analyzer, Anonymizer, Orchestrator, core_rules, label_report, usage
 from veilspark.sources import frames
 from veilspark.streaming import detect as streams
@@ -64,11 +65,21 @@ def family_sql(label: str, key: str = "doc_id", source: str = "documents") -> st
 ) WHERE {CHECKS_SQL.get(label, "true")}"""
 
 
+#: Families of which the documents have few or none: table, key and text, in both languages alike.
+MADE = {
+    "government_id": ("customer", "c_custkey", "concat('ssn ', lpad(cast(c_custkey * 7919 % 1000 AS string), 3, '0'), '-', lpad(cast(c_custkey % 100 AS string), 2, '0'), '-', lpad(cast(c_custkey * 31 % 10000 AS string), 4, '0'), ' or 123-45-6789.')"),
+    "api_key": ("customer", "c_custkey", "concat('key AKIA', upper(substring(md5(c_name), 1, 16)), ', then ASIA', upper(substring(md5(c_mktsegment), 1, cast(14 + c_custkey % 4 AS int))))"),
+    "url": ("supplier", "s_suppkey", "concat('see https://example.org/', lower(s_name), '?id=', cast(s_suppkey AS string), ' and http:// or ftp://x, http://b.example')"),
+    "date_time": ("orders", "o_orderkey", "concat('from ', cast(cast(o_orderdate AS date) AS string), ' to 2024-02-30, 1815-06-18')"),
+}
+
+
 def _register_families() -> None:
     for label in FAMILIES:
         name = f"spans_{label}"
-        QUERIES[name] = lambda spark, sf_dir, label=label: family(table(spark, sf_dir, "documents"), label)
-        ORACLE[name] = family_sql(label)
+        source, key, text = MADE.get(label, ("documents", "doc_id", "text"))
+        QUERIES[name] = lambda spark, sf_dir, label=label, source=source, key=key, text=text: family(table(spark, sf_dir, source).selectExpr(key, f"{text} AS text"), label, key)
+        ORACLE[name] = family_sql(label, key, f"(SELECT {key}, {text} AS text FROM {source})")
 
 
 _register_families()
@@ -217,9 +228,15 @@ def encrypt_round_trip(spark, sf_dir):
     return rows.select("c_custkey", redact.decrypt(F.col("secret"), KEY).alias("back"), (~F.col("secret").contains("Customer")).alias("hidden"), redact.decrypt(F.col("secret"), KEY[::-1]).alias("wrong_key"))
 
 
-@query()
+def _hmac_sql(value: str, key: bytes) -> str:
+    """HMAC with SHA-256, for keys of 64 bytes at most."""
+    inner, outer = ("unhex('" + bytes(b ^ x for b in key.ljust(64, b"\0")).hex() + "')" for x in (0x36, 0x5C))
+    return f"sha256({outer} || unhex(sha256({inner} || encode({value}))))"
+
+
+@query(f"SELECT c_custkey, {_hmac_sql('c_name', b'key')} AS h256, {_hmac_sql('c_mktsegment', KEY)} AS by_key FROM customer")
 def hmac_names(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", redact.hmac(F.col("c_name"), b"key").alias("h256"), redact.hmac(F.col("c_name"), b"key" * 60, 512).alias("h512"))
+    return table(spark, sf_dir, "customer").select("c_custkey", redact.hmac(F.col("c_name"), b"key").alias("h256"), redact.hmac(F.col("c_mktsegment"), KEY).alias("by_key"))
 
 
 @query("SELECT c_mktsegment, count(DISTINCT c_name) AS people, count(DISTINCT c_name) AS surrogates FROM customer GROUP BY c_mktsegment")
@@ -251,6 +268,10 @@ def checksum_validators(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", checks.aba_routing(a).alias("aba"), checks.tfn(a).alias("tfn"), checks.acn(a).alias("acn"), checks.nhs(b).alias("nhs"), checks.nip(b).alias("nip"), checks.pesel(c).alias("pesel"))
 
 
+rule_queries.register(QUERIES, ORACLE)
+QUERIES["identifier_checks"], ORACLE["identifier_checks"] = check_queries.query, check_queries.ORACLE
+
+
 # Chunks, hints and sources
 
 
@@ -457,7 +478,9 @@ def context_lift(spark, sf_dir):
     return found.select("doc_id", "start", (F.least(F.lit(1.0), F.lit(0.3) + F.when(lifted, 0.35).otherwise(0.0)) >= 0.35).alias("lifted"))
 
 
-@query()
+@query(f"""SELECT doc_id, start, CAST(CASE WHEN regexp_matches(near, '(^|[^\\p{{L}}\\p{{N}}])(phone|call|mobile|tel|fax|contact)([^\\p{{L}}\\p{{N}}]|$)') THEN least(1.0, CAST(confidence AS DOUBLE) + 0.35) ELSE confidence END AS FLOAT) AS confidence
+  FROM (SELECT doc_id, start, confidence, lower(regexp_extract(text[1:start], '(?:\\w+\\W*){{0,5}}$') || value || regexp_extract(text["end" + 1:], '^\\W*(?:\\w+\\W*){{0,5}}')) AS near
+        FROM ({family_sql('phone_number')}) JOIN (SELECT doc_id, text FROM documents) USING (doc_id))""")
 def context_window(spark, sf_dir):
     from veilspark.operators import context
 
