@@ -4,11 +4,14 @@ import itertools
 import json
 import os
 import random
+import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import sentencepiece
@@ -221,6 +224,22 @@ def test_html_rises_from_the_article(page, text):
     assert html_density.extract(page) == text
 
 
+def test_html_needs_no_article_tag(medium):
+    """The same text where the article is a plain block; mostly so where nothing but blocks and paragraphs is there."""
+    pages = [r["html"] for r in pq.read_table(f"{medium}/pages.parquet").to_pylist()]
+    texts = [html_density.extract(h) for h in pages]
+    assert [html_density.extract(re.sub(r"<(/?)article", r"<\1div", h)) for h in pages] == texts
+    bare = [html_density.extract(re.sub(r"<(/?)(article|nav|footer|h1)", r"<\1div", h)) for h in pages]
+    assert sum(a == b for a, b in zip(bare, texts, strict=True)) > 0.75 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</p></span>" * 30_000 + "x", '<a b="' * 60_000, '<a b="' * 60_000 + ">", "<b>" * 60_000 + "<p>" * 60_000 + "t", "< " * 60_000 + ">", "<div class=ad>" * 9_000 + "<h1>x</h1>" * 9_000, "<!--" * 60_000, "<li>" * 60_000], ids=range(8))
+def test_html_is_linear(page):
+    began = time.process_time()
+    html_density.extract(page)
+    assert time.process_time() - began < 20  # quadratic reading takes minutes
+
+
 def test_html_on_pages(spark, medium):
     pages = spark.read.parquet(f"{medium}/pages.parquet")
     import html

@@ -4,14 +4,14 @@ The page becomes a tree (a tolerant reader: raw text elements, implied end tags,
 where content begins, and what follows the body belongs to it). Subtrees that are never main text are left out by their
 element, role or class words: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
 reader comments. Forms and what class words leave out are taken back where they hold most of the text outside links, of
-the article or main part they are in or else of the page. Every node then has C characters, T tags, and LC
+the article or main part they are in or else of the page; adverts only where they hold all of it. Every node then has C characters, T tags, and LC
 and LT, those inside links; its composite density is
 
     C / T * log base ln(C / nLC * LC + LCb / Cb * C + e) of (C / max(LC, 1) * T / max(LT, 1))
 
 with nLC the characters outside links and b the body. A node's density sum is that of its children. The node with the
-largest sum is the kernel; the smallest density on its path to the body is the threshold, and of the nodes that reach
-it, the topmost that hold the kernel or stand beside it, up to the main part or the body, are kept whole.
+largest sum is the kernel; the smallest density on its path below the body is the threshold, and the kernel rises, to an
+article or main part around it at least, while text beside it reaches the threshold.
 
 Cases: null html counts as empty; a page without text gives an empty string; pages are read whole, however long or
 deep (no recursion); repeated rows give alike results; an empty table gives no rows; other columns are ignored."""
@@ -21,17 +21,21 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.shared import slices
+
 # Fixed values of HTML: elements without content, with raw text, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "thead", "tbody"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
+P_SCOPE = ("article", "main", "td", "th", "li", "div", "section", "body", "table", "blockquote", "button")
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 # Elements, roles and class words of what is never main text.
 LEFT_OUT = frozenset("head script style noscript template nav aside button select option input textarea iframe object embed svg canvas dialog menu audio video title link meta".split())
@@ -39,10 +43,15 @@ LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search d
 HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes template".split())
 LEFT_OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments respond disqus reply replies widget toolbar pagination pager".split())
 
+# Of these, what names adverts and consent: taken back only where nothing else is text.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored cookie cookies consent gdpr".split())
+TEXT_TAGS = frozenset("article p h1 h2 h3".split())
 # Of these, what may be text inside an article or a main part: blocks of page builders and hints to the reader.
 TEXT_INSIDE = frozenset("widget alert notice notices".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S)
+#: A tag with a quote that never closes ends at the first >; after `ODD_TAGS` such tags, every tag of the page does.
+PLAIN_TAG, ODD_TAGS = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"), 8
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
@@ -85,18 +94,18 @@ def left_out(tag: str, attributes: str, inside_article: bool) -> tuple[int, froz
 
 def restore(root: Node) -> None:
     """Takes back what was left out by words alone but holds an article, a main part or a first heading."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        stack.extend(c for c in node.children if isinstance(c, Node))
-        if node.tag in ("article", "main", "h1") and not node.out:
-            up, never = node.parent, (1, 3) if node.tag == "h1" else (1,)
-            while up is not None and up.out not in never:
-                up = up.parent
-            if up is None:
+    for tags, never in ((("article", "main"), (1,)), (("h1",), (1, 3))):
+        free = set()
+        stack = [(root, False)]
+        while stack:
+            node, shut = stack.pop()
+            if node.tag in tags and not node.out and not shut:
                 up = node.parent
-                while up is not None:
+                while up is not None and id(up) not in free:
+                    free.add(id(up))
                     up.out, up = 0, up.parent
+            shut = shut or node.out in never
+            stack.extend((c, shut) for c in node.children if isinstance(c, Node))
 
 
 def take_back(root: Node) -> None:
@@ -128,10 +137,11 @@ def take_back(root: Node) -> None:
                 parts[id(within)] = parts.get(id(within), 0) + weight[id(node)]
                 within = node
             walk.extend((c, within) for c in node.children if isinstance(c, Node) and c.out != 1)
-        for (_, out, _), (within, *nodes) in groups.items():
+        for (_, out, words), (within, *nodes) in groups.items():
             if out == 2 and parts.get(id(within)):
                 continue
-            if 2 * sum(weight[id(x)] for x in nodes) > weight[id(within)]:
+            most = 1 if words & ADVERT_WORDS else 2
+            if most * sum(weight[id(x)] for x in nodes) > weight[id(within)] - (most == 1):
                 for x in nodes:
                     x.out = 0
                 changed, heavy = True, nodes
@@ -142,69 +152,67 @@ def take_back(root: Node) -> None:
 
 
 def parse(page: str) -> Node:
-    """The tree; children are nodes and strings (character references decoded)."""
+    """The tree; children are nodes and strings (character references decoded). Linear in the page: open elements are
+    found by their tag's depths, not by walking up."""
     root = Node("#root", None)
-    now, at, n, article, begun = root, 0, len(page), 0, False
+    stack, depths = [root], {}  # the open elements, and by tag the depths at which it is open
+    at, n, begun, odd = 0, len(page), False, 0
+    last = page.rfind(">")
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
 
     def text(s: str) -> None:
-        nonlocal now, begun
+        nonlocal begun
         if s:
             if s.strip():
-                now = close(now) if now.tag == "head" else now
-                begun = begun or now.tag in ("#root", "html")
-            now.children.append(_html.unescape(s) if "&" in s else s)
-
-    def close(node: Node) -> Node:
-        nonlocal article
-        if node.tag in ("article", "main"):
-            article -= 1
-        return node.parent
+                if stack[-1].tag == "head":
+                    close(len(stack) - 1)
+                begun = begun or stack[-1].tag in ("#root", "html")
+            stack[-1].children.append(_html.unescape(s) if "&" in s else s)
 
     while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            text(page[at:] if not page.startswith("<!--", begin) or begin < 0 else page[at:begin])
             break
-        text(page[at : m.start()])
+        m = TOKEN.match(page, begin) if odd < ODD_TAGS else None
+        if m is None:
+            m = PLAIN_TAG.match(page, begin) or TOKEN.match(page, begin)
+            if m is None:
+                text(page[at : begin + 1])
+                at = begin + 1
+                continue
+            odd += 1
+        text(page[at:begin])
         at = m.end()
         tag = m[2]
         if not tag:
             continue
-        tag = tag.lower()
+        tag, now = tag.lower(), stack[-1]
         if m[1]:
             if tag in ("html", "body"):
                 continue
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                while now is not up:
-                    now = close(now)
-                now = close(now)
-            elif tag == "p":
-                now.children.append(Node("p", now))
-            elif tag == "br":
-                now.children.append(Node("br", now))
+            if depths.get(tag):
+                close(depths[tag][-1])
+            elif tag in ("p", "br"):
+                now.children.append(Node(tag, now))
             continue
         if now.tag == "head" and tag not in HEAD:
-            now = close(now)
+            close(len(stack) - 1)
         if tag == "body" or tag not in HEAD:
             if tag == "body" and begun:
                 continue
             begun = True
         if tag in CLOSES_P or tag in SIBLINGS:
-            ends, stop = (("p",), ("article", "main", "td", "th", "li", "div", "section", "body", "table", "blockquote", "button")) if tag in CLOSES_P else (SIBLINGS[tag], SCOPE[tag])
-            up, last = now, None
-            while up is not root and up.tag not in stop:
-                if up.tag in ends:
-                    last = up
-                up = up.parent
-            if last is not None:
-                while now is not last:
-                    now = close(now)
-                now = close(now)
-        attributes = m[3]
-        node = Node(tag, now, *left_out(tag, attributes, article > 0))
+            ends, stop = (("p",), P_SCOPE) if tag in CLOSES_P else (SIBLINGS[tag], SCOPE[tag])
+            bound = max((depths[t][-1] for t in stop if depths.get(t)), default=0)
+            first = [d[i] for t in ends if (d := depths.get(t)) and (i := bisect_right(d, bound)) < len(d)]
+            if first:
+                close(min(first))
+        now, attributes = stack[-1], m[3]
+        node = Node(tag, now, *left_out(tag, attributes, bool(depths.get("article") or depths.get("main"))))
         now.children.append(node)
         if tag in VOID or attributes.endswith("/"):
             continue
@@ -213,9 +221,8 @@ def parse(page: str) -> Node:
             node.out = 1
             at = end.end() if end else n
             continue
-        if tag in ("article", "main"):
-            article += 1
-        now = node
+        depths.setdefault(tag, []).append(len(stack))
+        stack.append(node)
     return root
 
 
@@ -265,51 +272,34 @@ def beside(node: Node) -> list[Node]:
     return [c for c in node.parent.children if isinstance(c, Node) and not c.out and c is not node and c.chars and c.link_chars * 2 < c.chars]
 
 
-def risen(article: Node, threshold: float, body: Node) -> Node:
-    """The article, or the highest part up to main or body in which text beside it reaches the threshold.
+def kernel(nodes: list[Node], body: Node) -> Node:
+    """The subtree that holds the main text: the node with the largest density sum, raised while what stands beside it
+    reaches the threshold, the least density on its path below the body.
 
-    Blocks on the way that are links for the most part stay out."""
-    top, node, path = article, article, []
-    while node is not body and node.parent is not None and node.tag != "main":
-        path.append(node)
-        loose = any(isinstance(c, str) and c.strip() for c in node.parent.children)
-        if loose or any(c.density >= threshold or c.tag in ("article", "p", "h1", "h2", "h3") for c in beside(node)):
-            top = node.parent
-        node = node.parent
-    for x in path:
-        if x is top:
+    An article or a main part around it is kept whole, and nothing rises out of a main part. Text beside it that falls
+    short ends the rise; blocks on the way that are links for the most part stay out."""
+    best = max(nodes, key=lambda x: x.total)
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(x.density for x in path[:-1] or path)
+    marks = [i for i, x in enumerate(path) if x.tag == "article"] or [i for i, x in enumerate(path) if x.tag == "main"]
+    first = top = marks[-1] if marks else 0
+    for i in range(first, len(path) - 1):
+        node, parent = path[i], path[i + 1]
+        if node.tag == "main":
+            break
+        near = beside(node)
+        loose = any(isinstance(c, str) and c.strip() for c in parent.children)
+        if loose or node.tag not in BLOCK or any(c.density >= threshold or c.tag in TEXT_TAGS for c in near):
+            top = i + 1
+        elif near:
             break
+    for x in path[first:top]:
         for c in x.parent.children:
             if isinstance(c, Node) and c is not x and c.tag in BLOCK and c.link_chars * 2 >= c.chars > 0:
                 c.out = 1
-    return top
-
-
-def kernel(nodes: list[Node], body: Node) -> Node:
-    """The subtree that holds the main text."""
-    best = max(nodes, key=lambda x: x.total)
-    threshold, up, top = best.density, best, best
-    while up is not body and up.parent is not None:
-        threshold = min(threshold, up.density)
-        up = up.parent
-    article = main = None
-    up = best
-    while up is not None:
-        article = up if up.tag == "article" else article
-        main = up if up.tag == "main" else main
-        up = up.parent
-    if article is not None:
-        return risen(article, min(threshold, body.density), body)
-    if main is not None:
-        return main
-    # without such an element: rise while a sibling of the path reaches the threshold and is text rather than links
-    while top is not body and top.parent is not None:
-        loose = any(isinstance(c, str) and c.strip() for c in top.parent.children)
-        if top.tag not in BLOCK or loose or any(c.density >= threshold or c.tag in ("p", "h1", "h2", "h3") for c in beside(top)):
-            top = top.parent
-        else:
-            break
-    return top
+    return path[top]
 
 
 def text_of(top: Node) -> str:
@@ -355,13 +345,13 @@ def extract(page: str | None) -> str:
     return text_of(kernel(nodes, body))
 
 
-def extract_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extract_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), slice_bytes: int = 1 << 20) -> DataFrame:
     """The kept columns and text, one row a page."""
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, b in slices(batch.column(batch.num_columns - 1), slice_bytes):
+                part = batch.slice(a, b - a)
                 out = [extract(h) for h in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.string())], [*keep, "text"])
 
