@@ -5,17 +5,21 @@ proven whole. A text is then cut into pre-tokens as the vocabulary's file prescr
 counts one, and only the others are merged (each distinct one once, in a memo of bounded size). A special string in a
 text counts one token, as the library has it by default.
 
-A text that holds a character on whose class the two regular-expression engines could differ (newly assigned ones) is
-counted by the library itself, so counts equal the library's everywhere.
+Engines of regular expressions can differ on characters that Unicode assigned or moved lately. A character is sure if
+Unicode 3.2 had it in the same class (letter, number, space, other) as now, or if it is in a block of later pictures that
+is listed here. A text is cut at single spaces between sure characters, where a pre-token always begins; only stretches
+that hold an unsure character are counted by the library itself. So counts equal the library's everywhere.
 
 Cases: null and empty texts count 0 bytes and 0 tokens; texts are counted whole, however long; repeated rows count
 alike; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,22 @@ from veilspark.llm.shared import slices, texts, trimmed
 
 # Fixed value: the pre-token pattern of byte-level BPE files with use_regex.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Long-established blocks, in which every engine agrees on letters, numbers and spaces.
-UNSURE = r"[^\t\n\r\x20-\x7E\xA1-ɏΑ-ΡΣ-ϿЀ-џא-תء-غ‐-‧‰-⁞₠-€←-⇿ぁ-ゖァ-ヺ一-龥가-힣\U0001F600-\U0001F64F]"
+#: What texts mostly consist of; anything else is looked up.
+COMMON = r"[^\t\n\r\x20-\x7E\xA1-ɏΑ-ΡΣ-ϿЀ-џא-תء-غ‐-‧‰-⁞₠-€←-⇿ぁ-ゖァ-ヺ一-龥가-힣]"
+#: Later pictures, all of one class: first and last of each range.
+PICTURES = ((0x1F300, 0x1F320), (0x1F330, 0x1F335), (0x1F337, 0x1F37C), (0x1F380, 0x1F393), (0x1F3A0, 0x1F3C4), (0x1F3C6, 0x1F3CA), (0x1F3E0, 0x1F3F0), (0x1F400, 0x1F43E), (0x1F442, 0x1F4F7), (0x1F4F9, 0x1F4FC), (0x1F500, 0x1F53D), (0x1F550, 0x1F567), (0x1F600, 0x1F64F), (0x1F680, 0x1F6C5))
+
+
+@functools.lru_cache(1 << 16)
+def is_sure(c: str) -> bool:
+    """Whether every engine has the character in the same class."""
+    kind = lambda data: {"L": "L", "N": "N", "Z": "Z"}.get(data.category(c)[0], "" if data.category(c) != "Cn" else None)
+    now, then = kind(unicodedata), kind(unicodedata.ucd_3_2_0)
+    if any(a <= ord(c) <= b for a, b in PICTURES):
+        return now == ""
+    if c.isspace() and c not in "\t\n\r \x0b\x0c\u00a0\u3000":  # which of the rarer ones are spaces, engines differ on
+        return False
+    return now is not None and now == then and unicodedata.category(c) not in ("Cf", "Cc", "Co", "Cs")
 
 
 def byte_letters() -> list[str]:
@@ -96,7 +114,7 @@ class Counter:
         self.library, self.whole, self.most, self.memo = Tokenizer.from_file(path), whole, most, dict(whole)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cut, self.unsure = regex.compile(PRE_TOKEN), regex.compile(UNSURE)
+        self.cut, self.odd = regex.compile(PRE_TOKEN), regex.compile(COMMON)
         self.special = special
         self.parts = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
@@ -110,13 +128,41 @@ class Counter:
         runs = self.parts.split(text)
         return [p for r in runs for p in self.cut.findall(r)], len(runs) - 1
 
+    def stretches(self, text: str) -> tuple[list[str], list[str]]:
+        """Parts of a text that hold sure characters alone, and parts that the library has to count."""
+        unsure = {c for c in set(self.odd.findall(text)) if not is_sure(c)}
+        if not unsure:
+            return [text], []
+        held = "".join(map(regex.escape, sorted(unsure)))
+        # to the last single space between sure characters before it, and to the first one after it
+        seam = rf"(?<=[^\s{held}]) (?=[^\s{held}])"
+        edges = [m.start() for m in regex.finditer(seam, text)]
+        at = [0, *edges, len(text)]
+        sure, odd, begin = [], [], 0
+        marked = regex.compile(f"[{held}]")
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if marked.search(text, a, b):
+                if a > begin:
+                    sure.append(text[begin:a])
+                odd.append(text[a:b])
+                begin = b
+        if begin < len(text):
+            sure.append(text[begin:])
+        return sure, odd
+
     def count(self, values: list[str]) -> list[int]:
         out, cut, odd = [0] * len(values), [], []
         for i, t in enumerate(values):
-            if self.unsure.search(t):
-                odd.append(i)
-            elif t:
+            if not t:
+                continue
+            if t.isascii() or not self.odd.search(t):
                 cut.append((i, *self.pieces(t)))
+            elif self.parts and any(s in t for s in self.special):
+                odd.append((i, t))
+            else:
+                sure, rest = self.stretches(t)
+                cut += [(i, *self.pieces(x)) for x in sure]
+                odd += [(i, x) for x in rest]
         if len(self.memo) > self.most + len(self.whole):
             self.memo = dict(self.whole)
         memo = self.memo
@@ -125,9 +171,9 @@ class Counter:
             part = rest[a : a + 20_000]
             memo.update(zip(part, self.by_library(part), strict=True))
         for i, ps, n in cut:
-            out[i] = n + sum(map(memo.__getitem__, ps))
-        for i, n in zip(odd, self.by_library([values[i] for i in odd]), strict=True):
-            out[i] = n
+            out[i] += n + sum(map(memo.__getitem__, ps))
+        for (i, _), n in zip(odd, self.by_library([x for _, x in odd]), strict=True):
+            out[i] += n
         return out
 
 
