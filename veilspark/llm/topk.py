@@ -22,8 +22,8 @@ LONG = np.iinfo(np.int64)
 #: Up to this weight, products of up to 2**6 terms and more are exact in 64 bits.
 SAFE_WEIGHT = 1 << 26
 
-_BLOCK = pa.schema([("ids", pa.binary()), ("ptr", pa.binary()), ("terms", pa.binary()), ("kind", pa.string()), ("weights", pa.binary())])
-_BLOCK_DDL = "ids binary, ptr binary, terms binary, kind string, weights binary"
+_BLOCK = pa.schema([("no", pa.int64()), ("ids", pa.binary()), ("ptr", pa.binary()), ("terms", pa.binary()), ("kind", pa.string()), ("weights", pa.binary())])
+_BLOCK_DDL = "no long, ids binary, ptr binary, terms binary, kind string, weights binary"
 
 
 def weights_of(lists: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +48,9 @@ def weights_of(lists: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, n
 
 def packer(scale: float, rows_per_block: int):
     def pack(batches):
+        from pyspark import TaskContext
+
+        no = TaskContext.get().partitionId() - 1
         for batch in batches:
             ids = batch.column(0)
             have = np.flatnonzero(np.asarray(ids.is_valid()))
@@ -59,7 +62,8 @@ def packer(scale: float, rows_per_block: int):
                 key = part.column(0).to_numpy()[rows]
                 top = np.abs(w).max(initial=0)
                 kind = "i2" if top < 1 << 15 else "i4" if top <= SAFE_WEIGHT else "f8"
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (key.astype(np.int64).tobytes(), ptr.tobytes(), terms.tobytes())] + [pa.array([kind]), pa.array([w.astype(kind).tobytes()])], schema=_BLOCK)
+                no += 1  # blocks of a task are dealt out in turn, each task beginning at another place
+                yield pa.RecordBatch.from_arrays([pa.array([no])] + [pa.array([x]) for x in (key.astype(np.int64).tobytes(), ptr.tobytes(), terms.tobytes())] + [pa.array([kind]), pa.array([w.astype(kind).tobytes()])], schema=_BLOCK)
 
     return pack
 
@@ -133,20 +137,25 @@ def _cells(k: int, tile: int = 64):
     return run
 
 
-def top_k_inner_product(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: float = 1024.0, query_block: int = 256, row_block: int = 4096) -> DataFrame:
-    """query_id, rank (from 1), cand_id and score of each query's k best other rows."""
+def top_k_inner_product(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: float = 1024.0, query_block: int = 4096, row_block: int = 1024, cell_rows: int = 1 << 20) -> DataFrame:
+    """query_id, rank (from 1), cand_id and score of each query's k best other rows.
+
+    Candidates are copied once for each block of queries, blocks of queries once for each salt; a cell of the grid holds
+    about cell_rows candidates, or fewer where that keeps all cores busy."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = vectors.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = asked.dropDuplicates(["id", "v"])
-    groups = -(-asked.count() // query_block) or 1
-    salts = max(1, -(-2 * spark.sparkContext.defaultParallelism // groups))
+    size = vectors.agg(F.count("*").alias("all"), F.count_if(is_query).alias("asked")).first()
+    groups = -(-size.asked // query_block) or 1
+    salts = max(1, -(-2 * spark.sparkContext.defaultParallelism // groups), -(-size.all // cell_rows))
+    cells = 4 * groups * salts  # more partitions than cells, so that few of them share one
     q = asked.repartition(groups, F.xxhash64("id")).mapInArrow(packer(scale, query_block), _BLOCK_DDL)
-    q = q.select(*[F.col(c).alias("q_" + c) for c in _BLOCK.names], F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("g"))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("shuffle_merge")
+    q = q.select(*[F.col(c).alias("q_" + c) for c in _BLOCK.names], F.pmod(F.col("no"), F.lit(groups)).alias("g"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(cells, "g", "salt").hint("shuffle_merge")
     c = rows.mapInArrow(packer(scale, row_block), _BLOCK_DDL)
-    c = c.select(*[F.col(x).alias("c_" + x) for x in _BLOCK.names], F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"))
-    c = c.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    c = c.select(*[F.col(x).alias("c_" + x) for x in _BLOCK.names], F.pmod(F.col("no"), F.lit(salts)).alias("salt"))
+    c = c.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).repartition(cells, "g", "salt")
     found = c.join(q, ["g", "salt"]).drop("g", "salt").mapInArrow(_cells(k), "query_id long, cand_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "cand_id", "score")
