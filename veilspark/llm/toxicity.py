@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.text_cnn import TextCnn
@@ -64,7 +64,11 @@ class Toxicity:
         docs, langs = [], []
         for _, _, w in word_slices(pa.array([t or "" for t in texts], pa.string())):
             docs += [w.codes[a:b] for a, b in zip(w.splits[:-1], w.splits[1:], strict=True)]
-            langs.append(self.language(w.codes, w.splits))
+            langs += self.language(w.codes, w.splits).tolist()
+        return self.fit_codes(docs, langs, labels, calibrate)
+
+    def fit_codes(self, docs: list[np.ndarray], langs: list[int], labels: list[int], calibrate: list[bool]) -> Toxicity:
+        """docs: the word codes of each text."""
         y, held = np.array(labels, int), np.array(calibrate, bool)
         if len(set(y.tolist())) < 2:
             return self
@@ -79,7 +83,7 @@ class Toxicity:
 
         self.network.fit([docs[i] for i in learn], y[learn], weights=weights[learn], check=loss if len(held) else None)
         self.fitted = True
-        lang = np.concatenate(langs)
+        lang = np.array(langs, int)
         if len(held):
             p = chances(self.network)
             self.threshold = best_threshold(p, y[held])
@@ -121,16 +125,32 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 3000, most_clean: int = 5000) -> Toxicity:
-    """Learns from a bounded sample of the labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 3000, most_clean: int = 5000, most_words: int = 4_000_000) -> Toxicity:
+    """Learns from a bounded sample of the labelled rows that are not held out: at most so many toxic and clean ids, and
+    of their texts, taken in the order of a hash of the id, as many as have `most_words` words in all.
+
+    Texts become word codes on the executors; the driver gets these, 8 bytes a word."""
     allowed = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     allowed = allowed.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     part = lambda y, n: allowed.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = part(1, most_toxic).unionByName(part(0, most_clean))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    rows = rows.select("t", "y", (F.crc32(F.concat(F.lit("c"), F.col("id").cast("string")).cast("binary")) % 4 == 0).alias("c"), F.xxhash64("id").alias("h"))
-    got = rows.orderBy("h", "t").limit(2 * (most_toxic + most_clean)).collect()  # an id can have several rows
-    return Toxicity().fit([r.t for r in got], [r.y for r in got], [r.c for r in got])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "id")
+    rows = rows.select("y", (F.crc32(F.concat(F.lit("c"), F.col("id").cast("string")).cast("binary")) % 4 == 0).alias("c"), F.xxhash64("id").alias("h"), "t")
+    model = Toxicity()
+
+    def coded(batches):
+        for batch in batches:
+            for a, b, w in word_slices(batch.column(3)):
+                codes = [w.codes[x:y].tobytes() for x, y in zip(w.splits[:-1], w.splits[1:], strict=True)]
+                own = [c.slice(a, b - a) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(w.splits)), pa.array(model.language(w.codes, w.splits)), pa.array(codes, pa.binary())], ["y", "c", "h", "n", "lang", "codes"])
+
+    found = rows.mapInArrow(trimmed(coded), "y int, c boolean, h long, n long, lang long, codes binary")
+    found = found.orderBy("h", "codes").limit(2 * (most_toxic + most_clean))  # an id can have several rows
+    upto = F.sum("n").over(Window.orderBy("h", "codes").rowsBetween(Window.unboundedPreceding, 0))
+    got = found.withColumn("upto", upto).where(F.col("upto") <= most_words).orderBy("h", "codes").select("y", "c", "lang", "codes").toArrow()
+    texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("codes")]
+    return model.fit_codes(texts, got.column("lang").to_pylist(), got.column("y").to_pylist(), got.column("c").to_pylist())
 
 
 def score_texts(docs: DataFrame, model: Toxicity, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
