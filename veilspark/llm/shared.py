@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    A folder of this machine is used only where the setting is empty, as in local tests."""
+    A folder of this machine stands in only where the setting is empty and all tasks run on this machine, as in local
+    tests; elsewhere an empty setting is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return folder.rstrip("/")
 
