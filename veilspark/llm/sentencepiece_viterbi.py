@@ -211,6 +211,11 @@ class Codec:
         self.begin = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(out), np.uint8)
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        self.known = Memo(self.known.most)
+        self.search.fits.clear()
+
     def parts(self, unit: str) -> list[str]:
         """A marked word, cut where no piece holds both neighbours."""
         pairs, at, out = self.model.pairs, 0, []
@@ -298,7 +303,9 @@ def codec_of(path: str) -> Codec:
 
 
 def encode_texts(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
-    """The kept columns (as k0, k1, ...), ids, and decoded: the text that the ids give back."""
+    """The kept columns (as k0, k1, ...), ids, and decoded: the text that the ids give back.
+
+    The memos go with each task, as this is a stage among others that need the workers' memory."""
 
     def run(batches):
         codec = codec_of(model_path)
@@ -308,6 +315,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("
                 ids, n = codec.encode(column.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), lists, pa.array(codec.decode(ids, n), pa.string())], [*batch.schema.names[:-1], "ids", "decoded"])
+        codec.forget()
 
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t")).mapInArrow(trimmed(run), kinds + "ids array<int>, decoded string")
