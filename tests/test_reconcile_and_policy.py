@@ -148,7 +148,10 @@ def test_vault(spark, tmp_path):
     for _ in range(2):
         vault.append(got, path)
     assert spark.read.parquet(path).count() == 2
-    assert {r.original for r in vault.reverse(got.select("surrogate"), spark.read.parquet(path)).collect()} == {"a@b.cd"}
+    assert {r.original for r in vault.reverse(got.select("label", "surrogate"), spark.read.parquet(path)).collect()} == {"a@b.cd"}
+    twice = spark.read.parquet(path).union(got)  # as two writers leave it
+    assert vault.reverse(got.select("label", "surrogate"), twice).count() == 2
+    assert {len(r.surrogate.rsplit("_", 1)[1]) for r in got.collect()} == {32}
 
 
 def test_audit(spark):

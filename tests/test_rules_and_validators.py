@@ -11,10 +11,10 @@ from veilspark.functions import checks
 from veilspark.functions.validators import VALIDATORS, valid, verhoeff
 from veilspark.labels import Catalog
 from veilspark.operators import dictionaries as dicts
-from veilspark.operators.context import Boost, Booster, holds, merged, window
-from veilspark.operators.recognize import Scanner
+from veilspark.operators.context import Boost, Booster, holds, merged, token_window, window
+from veilspark.operators.recognize import Scanner, scan
 from veilspark.plans import rule_queries
-from veilspark.operators.rules import BUILT_IN, Context, Rule, Scope, Variant, compiled, digits, from_toml, in_scope
+from veilspark.operators.rules import BUILT_IN, Context, Rule, Scope, Variant, compiled, digits, from_toml, in_scope, permits
 
 BUILT_IN_BY_NAME = {r.name: r for r in BUILT_IN}
 
@@ -272,6 +272,22 @@ def test_omocodic_code_and_address_without_digits():
     assert [e["value"] for e in Scanner([bare], [], Scope(), boost=False).entities(f"codice {code} ok")] == [code]
 
 
+def test_tokens_and_lemmas_lift(spark):
+    rule = Rule("r", ("code",), (Variant(r"\d{4}", 0.3),), context=(Context(("pay",), lemmas=True, before=1, after=1),))
+    text = "she paid then 1234 pays"
+    tokens = [(0, 3, "she"), (4, 8, "pay"), (9, 13, "then"), (14, 18, "1234"), (19, 23, "Pay")]
+    rows = [(1, text, tokens), (2, text, tokens[:4]), (3, text, None), (4, text, [])]
+    df = spark.createDataFrame(rows, "id long, text string, t array<struct<start:int,end:int,lemma:string>>")
+    found = scan(df, rules=[rule], terms=[], tokens_col="t")
+    got = {r.id: (round(r.entities[0].confidence, 2), r.entities[0].keyword) for r in found.collect()}
+    assert got == {1: (0.65, "pay"), 2: (0.3, None), 3: (0.3, None), 4: (0.3, None)}  # without tokens: "pay" is no word here
+    assert token_window([], 0, 1, 5, 5) is None and token_window([{"start": 5, "end": 6, "lemma": None}], 0, 5, 1, 1) is None
+
+
+def test_permissive_gate():
+    assert permits((), ("de",)) and permits(("de",), ()) and permits(("de",), ("en",), ("de-AT",)) and not permits(("de",), ("en",), ("fr",))
+
+
 @pytest.mark.parametrize("size", [10, 4096, 100_000])
 def test_window_reaches_whole_words_however_far(size):
     blob = "x" * size

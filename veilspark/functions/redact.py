@@ -106,18 +106,21 @@ def or_else(primary: Column, fallback: Column) -> Column:
 
 
 def surrogate(value: Column, label: Column, coref: Column | None = None, key: bytes = b"", prefix: str = "") -> Column:
-    """A stable stand-in for (label, coref or value), from a keyed digest: equal on every node without a shared store."""
+    """A stable stand-in for (label, coref or value), from 128 bits of a keyed digest: equal on every node without a shared
+    store."""
     who = F.coalesce(coref, value) if coref is not None else value
     digest = hmac(F.concat(label, F.lit("\x1f"), who), key)
-    return F.concat(F.lit(prefix), F.upper(label), F.lit("_"), F.substring(digest, 1, 12))
+    return F.concat(F.lit(prefix), F.upper(label), F.lit("_"), F.substring(digest, 1, 32))
 
 
 def shape_preserving(value: Column, key: Column) -> Column:
-    """A fake of the same shape: digits become digits, letters letters of their case, the rest stays; by a digest of key."""
-    digits = F.sha2(key.cast("binary"), 256)
+    """A fake of the same shape: digits become digits, letters letters of their case, the rest stays; by digests of key, a
+    new one for each 32 characters."""
+    blocks = F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int"))
+    digits = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat(key, F.lit("\x1f"), b.cast("string")).cast("binary"), 256)), "")
 
     def one(c: Column, i: Column) -> Column:
-        n = F.conv(F.substring(digits, (i % 60) + 1, 2), 16, 10).cast("int") + i
+        n = F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
         low, high = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         return F.when(c.rlike("^[0-9]$"), (n % 10).cast("string")).when(c.rlike("^[a-z]$"), F.substring(low, (n % 26) + 1, 1)).when(c.rlike("^[A-Z]$"), F.substring(high, (n % 26) + 1, 1)).otherwise(c)
 

@@ -7,6 +7,7 @@ keyword counts. Only asserted languages switch off rules of other languages."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -74,6 +75,18 @@ def window(text: str, start: int, end: int, before: int, after: int, step: int =
     return text[a:b]
 
 
+def token_window(tokens: list[dict], start: int, end: int, before: int, after: int) -> tuple[int, int, list[str]] | None:
+    """The range and the lemmas of `before` tokens ahead of those that the entity touches, these, and `after` behind.
+
+    tokens: dicts with start, end and lemma, in order. None if the entity touches none."""
+    first = bisect_right(tokens, start, key=lambda t: t["end"])
+    last = bisect_left(tokens, end, key=lambda t: t["start"])
+    if first >= last:
+        return None
+    near = tokens[max(0, first - before) : last + after]
+    return min(start, near[0]["start"]), max(end, near[-1]["end"]), [ascii_lower(t["lemma"]) for t in near if t.get("lemma")]
+
+
 class Booster:
     def __init__(self, boosts: Iterable[Boost], scope: Scope | None = None):
         asserted = {primary(x) for x in scope.languages} if scope else set()
@@ -93,17 +106,22 @@ class Booster:
                 boosts.append(Boost(r.labels[0], replace(c, keywords=(*c.keywords, *extra)) if r.context and extra else c))
         return cls(boosts, scope)
 
-    def lift(self, text: str, entities: list[dict], hints: list[str]) -> None:
-        """Raises confidences in place and names the first word of the rule that lifted."""
+    def lift(self, text: str, entities: list[dict], hints: list[str], tokens: list[dict] = ()) -> None:
+        """Raises confidences in place and names the first word of the rule that lifted.
+
+        Where the text has tokens that the entity touches, the window counts these instead of words."""
         low_hints = [ascii_lower(h) for h in hints if h]
-        views: dict[tuple, str] = {}
+        views: dict[tuple, tuple[str, list[str] | None]] = {}
         for e in entities:
             for c, words in self.by_label.get(e["label"], ()):
                 key = (e["start"], e["end"], c.before, c.after)
                 if key not in views:
-                    views[key] = ascii_lower(window(text, e["start"], e["end"], c.before, c.after))
-                near = views[key]
-                if any(holds(near, w, c.word_boundary) for w in words) or any(holds(h, w, c.word_boundary) for h in low_hints for w in words):
+                    span = token_window(tokens, e["start"], e["end"], c.before, c.after) if tokens else None
+                    near = text[span[0] : span[1]] if span else window(text, e["start"], e["end"], c.before, c.after)
+                    views[key] = ascii_lower(near), span[2] if span else None
+                near, lemmas = views[key]
+                found = any(w in lemmas for w in words) if c.lemmas and lemmas is not None else any(holds(near, w, c.word_boundary) for w in words)
+                if found or any(holds(h, w, c.word_boundary) for h in low_hints for w in words):
                     e["confidence"] = min(1.0, e["confidence"] + c.boost)
                     e["keyword"] = e["keyword"] or c.keywords[0]
 

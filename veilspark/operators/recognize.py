@@ -92,7 +92,7 @@ class Scanner:
         self.terms = dicts.Terms(chosen)
         self.booster = Booster.of(settled, scope, terms) if boost else None
 
-    def entities(self, text: str, hints: list[str] = (), language: str | None = None) -> list[dict]:
+    def entities(self, text: str, hints: list[str] = (), language: str | None = None, tokens: list[dict] = ()) -> list[dict]:
         hits = []
 
         def look(members: list, begin: int, end: int) -> None:
@@ -111,14 +111,15 @@ class Scanner:
         for start, end, d, score in self.terms.find(text):
             out.append({"label": d.label, "start": start, "end": end, "value": text[start:end], "confidence": score, "recognizer": "pattern", "rule": d.name, "validator": None, "base": score, "keyword": None, "language": language})
         if self.booster:
-            self.booster.lift(text, out, list(hints))
+            self.booster.lift(text, out, list(hints), tokens)
         return out
 
 
-def scan(chunks: DataFrame, scope: Scope | None = None, *, rules: Iterable[Rule] | None = None, terms: Iterable[dicts.Dictionary] | None = None, text_col: str = "text", hints_col: str | None = None, language_col: str | None = None, boost: bool = True) -> DataFrame:
+def scan(chunks: DataFrame, scope: Scope | None = None, *, rules: Iterable[Rule] | None = None, terms: Iterable[dicts.Dictionary] | None = None, text_col: str = "text", hints_col: str | None = None, language_col: str | None = None, tokens_col: str | None = None, boost: bool = True) -> DataFrame:
     """The chunks with entities: an array, so that what follows stays on the row.
 
-    language_col is what was detected: it labels entities and gates nothing."""
+    language_col is what was detected: it labels entities and gates nothing. tokens_col: array of struct start, end,
+    lemma, in order, by which context windows count."""
     scope = scope or Scope()
     rules, terms = list(BUILT_IN if rules is None else rules), list(dicts.BUILT_IN if terms is None else terms)
     Scanner(rules, terms, scope, boost)  # errors in rules show here, on the driver
@@ -130,12 +131,12 @@ def scan(chunks: DataFrame, scope: Scope | None = None, *, rules: Iterable[Rule]
         s = state["s"]
         for batch in batches:
             n = batch.num_columns
-            text, hints, lang = (batch.column(n - i).to_pylist() for i in (3, 2, 1))
-            found = [s.entities(t, h or [], g) if t else [] for t, h, g in zip(text, hints, lang, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(found, _ENTITY_TYPE)], [*batch.schema.names[:-3], "entities"])
+            text, hints, lang, tokens = (batch.column(n - i).to_pylist() for i in (4, 3, 2, 1))
+            found = [s.entities(t, h or [], g, k or ()) if t else [] for t, h, g, k in zip(text, hints, lang, tokens, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(found, _ENTITY_TYPE)], [*batch.schema.names[:-4], "entities"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-    extra = [F.col(text_col).alias("scan_text"), (F.col(hints_col) if hints_col else F.lit(None)).cast("array<string>").alias("scan_hints"), (F.col(language_col) if language_col else F.lit(None)).cast("string").alias("scan_language")]
+    extra = [F.col(text_col).alias("scan_text"), (F.col(hints_col) if hints_col else F.lit(None)).cast("array<string>").alias("scan_hints"), (F.col(language_col) if language_col else F.lit(None)).cast("string").alias("scan_language"), (F.col(tokens_col) if tokens_col else F.lit(None)).cast("array<struct<start:int,end:int,lemma:string>>").alias("scan_tokens")]
     return chunks.select("*", *extra).mapInArrow(run, f"{kept}, entities array<struct<{ENTITY.replace(' ', ': ').replace(',:', ',')}>>")
 
 

@@ -29,7 +29,7 @@ class Variant:
 
 @dataclass(frozen=True)
 class Context:
-    """Words that lift a label. language None: in any text."""
+    """Words that lift a label. language None: in any text; lemmas: the words are lemmas of tokens, where a text has any."""
 
     keywords: tuple[str, ...]
     language: str | None = None
@@ -37,6 +37,7 @@ class Context:
     before: int = 5
     after: int = 5
     word_boundary: bool = True
+    lemmas: bool = False
 
 
 @dataclass(frozen=True)
@@ -237,6 +238,13 @@ def primary(tag: str) -> str:
     return tag.split("-")[0].lower()
 
 
+def permits(languages: Iterable[str], asserted: Iterable[str], detected: Iterable[str] = ()) -> bool:
+    """The permissive gate, for recognizers that take detected languages for true: an empty side passes, else any
+    asserted or detected language has to be among the recognizer's."""
+    own, known = {primary(x) for x in languages}, {primary(x) for x in (*asserted, *detected)}
+    return not own or not known or bool(own & known)
+
+
 def in_scope(rules: Iterable[Rule], scope: Scope) -> list[Rule]:
     """Rules whose country and language gates pass and whose label the catalog declares, settled before any scan.
 

@@ -34,5 +34,7 @@ def append(found: DataFrame, path: str) -> None:
 
 
 def reverse(surrogates: DataFrame, vault: DataFrame) -> DataFrame:
-    """surrogates with the values they stand for."""
-    return surrogates.join(vault.select("surrogate", F.col("value").alias("original")), "surrogate", "left")
+    """surrogates (label, surrogate) with the values they stand for; what two writers added alike counts once."""
+    known = vault.groupBy("label", "surrogate").agg(F.min("value").alias("original"), F.countDistinct("value").alias("values"))
+    sure = F.when(F.col("values") > 1, F.raise_error(F.lit("a surrogate stands for two values"))).otherwise(F.col("original"))
+    return surrogates.join(known.select("label", "surrogate", sure.alias("original")), ["label", "surrogate"], "left")

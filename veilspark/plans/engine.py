@@ -27,9 +27,9 @@ class Analyzer:
     threshold: float | None = ruleset.BASELINE
     labels: list[str] | None = None
 
-    def annotate(self, chunks: DataFrame, *, text_col: str = "text", hints_col: str | None = None, language_col: str | None = None) -> DataFrame:
+    def annotate(self, chunks: DataFrame, *, text_col: str = "text", hints_col: str | None = None, language_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
         """The chunks with their reconciled entities as an array."""
-        found = recognize.scan(chunks, self.scope, rules=self.rules, terms=self.terms, text_col=text_col, hints_col=hints_col, language_col=language_col)
+        found = recognize.scan(chunks, self.scope, rules=self.rules, terms=self.terms, text_col=text_col, hints_col=hints_col, language_col=language_col, tokens_col=tokens_col)
         return reconcile.reconcile(found, self.layers, text_col=text_col, threshold=self.threshold, labels=self.labels, factors=self.factors)
 
     def analyze(self, chunks: DataFrame, *keys: str, exclusions: DataFrame | None = None, chunk_start: str | None = None, **columns) -> DataFrame:
