@@ -200,7 +200,41 @@ def test_native_spans_equal_python(spark):
     assert got == sorted((i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) if t for m in re.finditer("[0-9]+", t))
 
 
-def test_rows_refuse_predicate_rules(spark):
+def test_rows_refuse_predicates_on_columns(spark):
     rules = policy.Policy().predicate(F.col("confidence") > 0.5, policy.ERASE)
     with pytest.raises(ValueError, match="predicate"):
         policy.redact_rows(spark.createDataFrame([], "text string"), rules)
+
+
+@pytest.mark.parametrize("rules", [
+    policy.Policy().predicate(lambda of: of("value").startswith("ann"), policy.STARS).fallback(policy.replaced()),
+    policy.Policy().label("iban", use=policy.KEEP).predicate(lambda of: of("confidence") > 2, policy.ERASE).tag("pci", policy.masked("#", 4)),
+    policy.Policy().predicate(lambda of: of("keyword").isNotNull(), policy.ERASE).label("email_address", use=policy.hashed()),
+    policy.Policy(),
+])
+def test_rows_and_frames_agree_under_every_kind_of_rule(spark, rules):
+    docs = spark.createDataFrame([(1, "Write to ann@example.com or bob@example.com, card 4111 1111 1111 1111, IBAN GB29 NWBK 6016 1331 9268 19."), (2, "https://example.com/a?b=ann@example.com"), (3, None)], "doc_id long, text string")
+    o = Orchestrator()
+    o.anonymizer.policy = rules
+    rows = {r.doc_id: r.text for r in o.redact(docs).collect()}
+    frames = {r.doc_id: r.text for r in o.anonymizer.anonymize(docs, o.analyzer.analyze(docs, "doc_id"), "doc_id").collect()}
+    assert rows == frames
+    assert (rows[1] == docs.first().text) == (not rules.rules)
+
+
+def test_reversal_by_tag_and_predicate(spark):
+    key = bytes(range(32))
+    docs = spark.createDataFrame([(1, "ann@example.com pays by card 4111 1111 1111 1111")], "doc_id long, text string")
+    rules = policy.Policy().tag("pci", policy.encrypted(key)).predicate(lambda of: of("value").startswith("ann"), policy.encrypted(key))
+    done = policy.with_replacements(policy.select(Analyzer().analyze(docs, "doc_id"), rules, "doc_id"), docs, rules, "doc_id")
+    assert {r.recovered for r in policy.deanonymize(docs, done.cache(), rules, "doc_id").collect()} == {"ann@example.com", "4111 1111 1111 1111"}
+
+
+def test_structural_pairs_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.choice("abc"), s := rng.randrange(60), s + rng.randrange(1, 12), 0.5) for _ in range(80)]
+    df = spark.createDataFrame(rows, "chunk int, label string, start int, end int, confidence double")
+    got = sorted((r.chunk, r.a_label, r.b_label, r.a_start, r.a_end, r.b_start, r.b_end) for r in reconcile.structural_pairs(df, "chunk").collect())
+    assert got == sorted((a[0], a[1], b[1], a[2], a[3], b[2], b[3]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] < b[3] and b[2] < a[3])

@@ -97,7 +97,9 @@ class Policy:
         self.rules.append(("tag", tag, use, because))
         return self
 
-    def predicate(self, where: Column, use: Operator, because: str | None = None) -> Policy:
+    def predicate(self, where: Column | Callable[[Callable[[str], Column]], Column], use: Operator, because: str | None = None) -> Policy:
+        """where: a condition on a frame's columns, or a function that makes one from a function of field names, such as
+        lambda of: of("confidence") > 0.9, which holds for rows' own entity arrays too."""
         self.rules.append(("predicate", where, use, because))
         return self
 
@@ -105,18 +107,20 @@ class Policy:
         self.rules.append(("fallback", None, use, because))
         return self
 
-    def _test(self, kind: str, what) -> Column:
+    def _test(self, kind: str, what, of: Callable[[str], Column]) -> Column:
         if kind == "label":
-            return F.col("label").isin(*what)
+            return of("label").isin(*what)
         if kind == "tag":
-            return F.col("label").isin(*self.catalog.tagged(what)) if self.catalog.tagged(what) else F.lit(False)
-        return what if kind == "predicate" else F.lit(True)
+            return of("label").isin(*self.catalog.tagged(what)) if self.catalog.tagged(what) else F.lit(False)
+        if kind == "predicate":
+            return what(of) if callable(what) and not isinstance(what, Column) else what
+        return F.lit(True)
 
-    def choose(self) -> tuple[Column, Column]:
-        """Position of the first rule that fits an entity (null: none), and what it matched by."""
+    def choose(self, of: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
+        """Position of the first rule that fits an entity (null: none), and what it matched by; of: its fields by name."""
         at, by = F.lit(None).cast("int"), F.lit(None).cast("string")
         for i, (kind, what, _, _) in reversed(list(enumerate(self.rules))):
-            fits = F.coalesce(self._test(kind, what), F.lit(False))
+            fits = F.coalesce(self._test(kind, what, of), F.lit(False))
             at, by = F.when(fits, i).otherwise(at), F.when(fits, kind).otherwise(by)
         return at, by
 
@@ -174,26 +178,23 @@ def apply_selections(texts: DataFrame, selections: DataFrame, *keys: str, text_c
 def redact_rows(scanned: DataFrame, policy: Policy, *, text_col: str = "text") -> DataFrame:
     """The same on each row's own entity array, without a shuffle: clusters by a fold over sorted entities.
 
-    A predicate reads columns of a frame of entities, which a row's array has not: such a policy is an error here."""
-    if any(k == "predicate" for k, *_ in policy.rules):
-        raise ValueError("a policy with predicate rules needs select() and apply_selections()")
-    spans = F.array_sort(F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"))))
-    fits = [(i, k, w, use) for i, (k, w, use, _) in enumerate(policy.rules)]
-
-    def rank(label: Column, start: Column, end: Column) -> Column:
-        at = F.lit(None).cast("int")
-        for i, kind, what, _ in reversed(fits):
-            test = label.isin(*what) if kind == "label" else (label.isin(*policy.catalog.tagged(what)) if policy.catalog.tagged(what) else F.lit(False)) if kind == "tag" else F.lit(True)
-            at = F.when(test, i).otherwise(at)
+    Predicates must be functions here: a Column names columns of a frame of entities, which a row's array has not."""
+    if any(k == "predicate" and isinstance(w, Column) for k, w, *_ in policy.rules):
+        raise ValueError("a predicate must be a function of field names here; a Column needs select() and apply_selections()")
+
+    def ranked(e: Column) -> Column:
+        at, _ = policy.choose(lambda name: e[name])
         leak = F.lit(-1)
-        for i, _, _, use in fits:
+        for i, (_, _, use, _) in enumerate(policy.rules):
             leak = F.when(at == i, redact.LEAK[use.leak]).otherwise(leak)
-        return F.struct(leak.alias("leak"), (end - start).alias("size"), (-start).alias("early"), F.coalesce(at, F.lit(-1)).alias("rule_at"))
+        best = F.struct(leak.alias("leak"), (e["end"] - e["start"]).alias("size"), (-e["start"]).alias("early"), F.coalesce(at, F.lit(-1)).alias("rule_at"))
+        return F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), best.alias("best"))
 
+    spans = F.array_sort(F.transform("entities", ranked))
     kind = "array<struct<start:int,end:int,label:string,best:struct<leak:int,size:int,early:int,rule_at:int>>>"
 
     def step(out: Column, e: Column) -> Column:
-        now = rank(e["label"], e["start"], e["end"])
+        now = e["best"]
         last = F.try_element_at(out, F.lit(-1))
         joins = (F.size(out) > 0) & F.coalesce(F.try_element_at(out, F.lit(-1))["end"] > e["start"], F.lit(False))
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], e["end"]).alias("end"), last["label"].alias("label"), F.greatest(last["best"], now).alias("best"))
@@ -205,7 +206,7 @@ def redact_rows(scanned: DataFrame, policy: Policy, *, text_col: str = "text") -
     def edit(c: Column) -> Column:
         value = F.substring(F.col(text_col), c["start"] + 1, c["end"] - c["start"])
         out = F.lit(None).cast("string")
-        for i, _, _, use in fits:
+        for i, (_, _, use, _) in enumerate(policy.rules):
             out = F.when(c["best"]["rule_at"] == i, use.apply(value, c["label"])).otherwise(out)
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), out.alias("replacement"))
 
@@ -213,11 +214,14 @@ def redact_rows(scanned: DataFrame, policy: Policy, *, text_col: str = "text") -
 
 
 def deanonymize(texts: DataFrame, selections: DataFrame, policy: Policy, *keys: str) -> DataFrame:
-    """Selections with recovered: the value that the first reversible operator for the label gives back, or null."""
+    """Selections with recovered: the value that the first reversible operator for them gives back, or null.
+
+    A rule by label, by tag or for all is for a selection by its label; one by predicate for those it was chosen for."""
     at = F.lit(None).cast("string")
-    for kind, what, use, _ in reversed(policy.rules):
+    for i, (kind, what, use, _) in reversed(list(enumerate(policy.rules))):
         if use.undo is not None:
-            test = F.col("label").isin(*what) if kind == "label" else F.lit(kind == "fallback")
+            chosen = F.col("rule_at") == i if "rule_at" in selections.columns else F.lit(False)
+            test = chosen if kind == "predicate" else policy._test(kind, what, F.col)
             at = F.when(test, use.undo(F.col("replacement"))).otherwise(at)
     return selections.join(texts.select(*keys).distinct(), list(keys), "left_semi").withColumn("recovered", at)
 

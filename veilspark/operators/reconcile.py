@@ -101,12 +101,15 @@ def merge_same_label(entities: DataFrame, *keys: str) -> DataFrame:
 
 
 def structural_pairs(entities: DataFrame, *keys: str) -> DataFrame:
-    """Overlapping pairs of different labels in a chunk, with their relation: what the structural fold decides on."""
+    """Overlapping pairs of different labels in a chunk, with their relation: what the structural fold decides on.
+
+    Only spans of one run of overlapping spans meet, so a chunk of many spans apart from each other makes few pairs."""
+    entities, keys = islands(entities, *keys), (*keys, "island")
     a = entities.select(*keys, *[F.col(c).alias("a_" + c) for c in ("label", "start", "end", "confidence")])
     b = entities.select(*keys, *[F.col(c).alias("b_" + c) for c in ("label", "start", "end", "confidence")])
     both = a.join(b, list(keys)).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("a_label") < F.col("b_label")))
     spans = [F.col(c) for c in ("a_start", "a_end", "b_start", "b_end")]
-    return both.withColumn("relation", relation_column(*spans)).withColumn("iou", iou_column(*spans))
+    return both.drop("island").withColumn("relation", relation_column(*spans)).withColumn("iou", iou_column(*spans))
 
 
 # Ordered folds
