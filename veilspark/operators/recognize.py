@@ -11,6 +11,7 @@ confidence before context words, the word that lifted it, and the range's langua
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -115,6 +116,18 @@ class Scanner:
         return out
 
 
+_SCANNERS: dict[str, Scanner] = {}
+
+
+def scanner(call: str, *settings) -> Scanner:
+    """The scanner of a call to scan(), built once a worker, as workers outlive tasks; those of the last four calls stay."""
+    if call not in _SCANNERS:
+        while len(_SCANNERS) > 3:
+            del _SCANNERS[next(iter(_SCANNERS))]
+        _SCANNERS[call] = Scanner(*settings)
+    return _SCANNERS[call]
+
+
 def scan(chunks: DataFrame, scope: Scope | None = None, *, rules: Iterable[Rule] | None = None, terms: Iterable[dicts.Dictionary] | None = None, text_col: str = "text", hints_col: str | None = None, language_col: str | None = None, tokens_col: str | None = None, boost: bool = True) -> DataFrame:
     """The chunks with entities: an array, so that what follows stays on the row.
 
@@ -123,12 +136,10 @@ def scan(chunks: DataFrame, scope: Scope | None = None, *, rules: Iterable[Rule]
     scope = scope or Scope()
     rules, terms = list(BUILT_IN if rules is None else rules), list(dicts.BUILT_IN if terms is None else terms)
     Scanner(rules, terms, scope, boost)  # errors in rules show here, on the driver
-    state: dict = {}
+    call = uuid.uuid4().hex
 
     def run(batches):
-        if "s" not in state:
-            state["s"] = Scanner(rules, terms, scope, boost)
-        s = state["s"]
+        s = scanner(call, rules, terms, scope, boost)
         for batch in batches:
             n = batch.num_columns
             text, hints, lang, tokens = (batch.column(n - i).to_pylist() for i in (4, 3, 2, 1))
