@@ -1,8 +1,9 @@
 """URL filter: gradient-boosted trees over lexical features, under explicit allow and block rules.
 
 Features of a url's text alone: length, path depth, digit ratio, character entropy, parameter counts, host shape, and
-smoothed log-odds of its suffixes (last one and two host labels), of its host's words and of its path's words, learned
-from the labelled urls (for a training row, from the other half of them). Rules (host and path prefix) come first; the longest that fits decides.
+smoothed log-odds of its suffixes (last one and two host labels), of its host's words, found inside runs of letters too,
+with the share of the name that words of either side cover, and of its path's words, learned from the labelled urls (for
+a training row, from the other half of them). Rules (host and path prefix) come first; the longest that fits decides.
 
 Labelled urls: pass any table of (url, label) to train(); it learns from at most `most_rows` of them, chosen by hash.
 The shipped default, seed_urls(), is spelled out from word lists, as the tables carry no url labels.
@@ -24,31 +25,45 @@ from pyspark.sql import functions as F
 from veilspark.llm.gbt import Boosted
 
 # Words and endings that the seed urls are spelled from.
-BAD_WORDS = ["casino", "bets", "bet", "poker", "slots", "jackpot", "pills", "pharma", "viagra", "cheap", "free", "win", "spam", "farm", "adult", "xxx", "sex", "porn", "ads", "ad", "track", "tracker", "click", "loan", "crypto", "prize", "hot", "deal", "replica", "malware"]
-GOOD_WORDS = ["news", "blog", "wiki", "forum", "docs", "school", "library", "museum", "city", "health", "science", "garden", "music", "travel", "books", "weather", "river", "market", "history", "kitchen", "sport", "letters", "house", "paper", "field", "bridge", "theory", "people", "report", "data"]
-SEED_SUFFIXES = ["com", "org", "net", "info", "example.com", "example.org", "example.net", "co.uk", "de", "fr"]
+BAD_WORDS = ["casino", "bets", "bet", "betting", "poker", "slots", "jackpot", "roulette", "pills", "pharma", "viagra", "cialis", "cheap", "free", "win", "spam", "farm", "adult", "xxx", "sex", "porn", "cams", "escort", "ads", "ad", "track", "tracker", "click", "loan", "payday", "crypto", "bonus", "prize", "hot", "deal", "replica", "malware", "warez", "torrent", "keygen"]
+GOOD_WORDS = ["news", "blog", "wiki", "forum", "docs", "school", "library", "museum", "city", "health", "science", "garden", "music", "travel", "books", "weather", "river", "market", "history", "kitchen", "sport", "letters", "house", "paper", "field", "bridge", "theory", "people", "report", "data", "bank", "church", "cinema", "coffee", "college", "design", "doctor", "energy", "family", "forest", "hospital", "institute", "journal", "language", "law", "math", "mountain", "ocean", "photo", "physics", "police", "radio", "research", "review", "society", "station", "studio", "summer", "theatre", "university"]
+# Ordinary words that hold one of the bad words.
+MIXED_WORDS = ["adapter", "address", "admiral", "adventure", "advice", "alphabet", "beethoven", "bread", "breadth", "broad", "canada", "caterpillar", "chapters", "cloanthus", "darwin", "diabetes", "dublin", "essex", "farmer", "farmhouse", "freedom", "freeman", "freelance", "gadget", "hotel", "hothouse", "ideal", "leader", "library", "madrid", "meadow", "methods", "middlesex", "nomad", "ordeal", "pharmacology", "photos", "pillow", "psychotic", "radar", "reader", "readme", "roads", "sextant", "shadow", "shots", "soundtrack", "spammer", "squadron", "sussex", "tibet", "timeslots", "trackside", "tradition", "twins", "window", "windmill", "wine", "winter", "wisconsin"]
+SYLLABLES = ["th", "er", "on", "in", "re", "an", "ou", "st", "nd", "ti", "le", "sh", "ver", "ble", "ing", "tion", "ka", "mo", "lu", "pra", "zen", "dor", "fi", "gra", "hel", "jo", "nes", "qui", "sal", "ta", "vi", "wo"]
+SEED_SUFFIXES = ["com", "com", "com", "org", "net", "info", "edu", "gov", "io", "co.uk", "ac.uk", "de", "fr", "es", "it", "nl", "ca", "com.au", "co.jp", "example.com", "example.org", "example.net"]
+SEED_SUFFIXES_BAD = ["com", "com", "net", "org", "info", "biz", "top", "xyz", "club", "online", "site", "ru", "cc", "co.uk", "de", "example.com", "example.org", "example.net"]
 SEED_LANGS = ["en", "de", "fr", "es"]
-SEED_TAILS = ["", "/", ".html", "?utm_source=feed", "?page=2&ref=x", "#top"]
+SEED_TAILS = ["", "", "/", ".html", ".php", "?utm_source=feed", "?page=2&ref=x", "?id=4711", "?q=a+b&lang=en&sort=date", "#top", "#section-2"]
 
 HOST = re.compile(r"://([^/?#]*)([^?#]*)")
-FEATURES = ["length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "other_signs", "has_fragment", "longest_label", "suffix_odds", "suffix2_odds", "host_words_most", "host_words_least", "path_words_most"]
+FEATURES = ["length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "other_signs", "has_fragment", "longest_label", "suffix_odds", "suffix2_odds", "host_words_most", "host_words_least", "host_share_bad", "host_share_good", "path_words_most"]
 
 
-def seed_urls() -> list[tuple[str, int]]:
-    """Labelled urls (1: to block), spelled out from the lists above in a fixed order."""
-    rng, out = np.random.default_rng(7), []
+def seed_urls(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
+    """Labelled urls (1: to block), spelled out from the lists above in a fixed order.
+
+    Names of both kinds are run together or hyphenated; a third of the others' names hold a bad word inside an ordinary
+    one; paths and tails say nothing about the label but for search terms in some bad paths."""
+    rng, out = np.random.default_rng(seed), []
     pick = lambda values: values[int(rng.integers(len(values)))]
-    syllable = ["th", "er", "on", "in", "re", "an", "ou", "st", "nd", "ti", "le", "sh", "ver", "ble", "ing", "tion"]
-    for i in range(3000):
-        bad = i % 3 == 0
+
+    def path() -> str:
+        kind, slug = int(rng.integers(6)), "-".join(pick([*GOOD_WORDS, *MIXED_WORDS]) for _ in range(int(rng.integers(1, 6))))
+        number = int(rng.integers(10 ** int(rng.integers(1, 7))))
+        return ["/", f"/{pick(SEED_LANGS)}/{number}", f"/{int(rng.integers(1999, 2026))}/{int(rng.integers(1, 13)):02d}/{slug}", f"/{pick(GOOD_WORDS)}/{slug}", f"/{pick(GOOD_WORDS)}/{number}", f"/{pick(GOOD_WORDS)}/{pick(GOOD_WORDS)}/{slug}/{number}"][kind]
+
+    for i in range(n):
+        bad, glue = i % 3 == 0, pick(["-", "-", "", "."])
+        made = "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 5))))
         if bad:
-            name = pick(["-", "-", ""]).join([pick(BAD_WORDS), pick(BAD_WORDS if rng.random() < 0.5 else [*GOOD_WORDS, "x", "24", "online"])])
+            name = glue.join([pick(BAD_WORDS), pick(BAD_WORDS if rng.random() < 0.6 else [*GOOD_WORDS, "x", "24", "365", "best", "online"])])
+        elif rng.random() < 0.33:
+            name = glue.join([pick(MIXED_WORDS), pick([*GOOD_WORDS, *MIXED_WORDS, made])][: int(rng.integers(1, 3))])
         else:
-            made = "".join(pick(syllable) for _ in range(int(rng.integers(2, 5))))
-            name = made if rng.random() < 0.8 else pick(["-", ""]).join([pick(GOOD_WORDS), pick([*GOOD_WORDS, made])])
-        host = pick(["", "", "www.", "blog.", "m."]) + name + "." + pick(SEED_SUFFIXES)
-        path = f"/{pick(SEED_LANGS)}/{int(rng.integers(1000))}" if rng.random() < 0.7 else "/" + "/".join(pick(GOOD_WORDS) for _ in range(int(rng.integers(1, 4))))
-        out.append((f"{pick(['http', 'https'])}://{host}{path}{pick(SEED_TAILS)}", int(bad)))
+            name = made if rng.random() < 0.6 else glue.join([pick(GOOD_WORDS), pick([*GOOD_WORDS, made])])
+        name = name if rng.random() < 0.8 else pick(["best", "my", "top", "the", made]) + glue + name
+        host = pick(["", "", "", "www.", "www.", "blog.", "m.", "shop.", "en."]) + name + "." + pick(SEED_SUFFIXES_BAD if bad else SEED_SUFFIXES)
+        out.append((f"{pick(['http', 'https'])}://{host}{path()}{pick(SEED_TAILS)}", int(bad)))
     return out
 
 
@@ -82,7 +97,7 @@ class UrlModel:
     automaton: object = None
 
     def inside(self, name: str) -> list[str]:
-        """Known host words within a run of letters."""
+        """Known host words within a run of letters, from the left, the longest first, apart from each other."""
         import ahocorasick
 
         if self.automaton is None:
@@ -91,7 +106,17 @@ class UrlModel:
                 if len(w) > 2:
                     self.automaton.add_word(w, w)
             self.automaton.make_automaton()
-        return [w for _, w in self.automaton.iter(name)] if len(self.automaton) else []
+        longest: dict[int, str] = {}
+        for end, w in self.automaton.iter(name) if len(self.automaton) else ():
+            begin = end + 1 - len(w)
+            if len(w) > len(longest.get(begin, "")):
+                longest[begin] = w
+        out, free = [], 0
+        for begin in sorted(longest):
+            if begin >= free:
+                out.append(longest[begin])
+                free = begin + len(longest[begin])
+        return out
 
     def features(self, urls: list[str | None]) -> np.ndarray:
         out = np.zeros((len(urls), len(FEATURES)))
@@ -102,11 +127,15 @@ class UrlModel:
             query = url.partition("?")[2].partition("#")[0]
             one, two = suffixes(host)
             name = host.removesuffix(two) if two != host else host.removesuffix("." + one)
+            inner, odds = self.inside(name.lower()), self.odds.get("host", {})
+            letters = max(1, sum(map(len, words(name))))
+            bad, good = (sum(len(w) for w in inner if sign * odds[w] > 0.5) / letters for sign in (1, -1))
+            inner = inner + words(name)
             digits = sum(c.isdigit() for c in url)
             out[i] = (
                 len(url), len(host), len(path), path.count("/"), host.count(".") + 1 if host else 0, digits / max(1, len(url)), sum(c.isdigit() for c in host) / max(1, len(host)),
                 entropy(url), entropy(host), len([p for p in query.split("&") if p]), len(query), host.count("-"), sum(c in "%_~@!$" for c in url), "#" in url, max(map(len, host.split("."))),
-                known("suffix", [one]), known("suffix2", [two]), known("host", inner := [*words(name), *self.inside(name.lower())]), known("host", inner, min), known("path", words(path)),
+                known("suffix", [one]), known("suffix2", [two]), known("host", inner), known("host", inner, min), bad, good, known("path", words(path)),
             )
         return out
 
