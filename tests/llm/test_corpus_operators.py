@@ -15,6 +15,7 @@ from veilspark.llm.components import components
 from veilspark.llm.edit_distance import within
 from veilspark.llm.fm_index import FmIndex
 from veilspark.llm.near_dup import NearDuplicates
+from veilspark.llm.text_cnn import TextCnn
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -287,6 +288,26 @@ def test_toxicity_reads_the_text_alone(spark):
     assert toxicity.score_texts(docs, toxicity.train(docs, labels.limit(0))).where("score >= 0.7").count() == 0
 
 
+def test_convolution_equals_plain_loops():
+    rng = np.random.default_rng(1)
+    model = TextCnn(bits=6, dim=3, widths=(1, 2, 3), filters=4)
+    model.table[:-1] = rng.normal(0, 1, (64, 3))
+    model.b[:], model.c = rng.normal(0, 1, 12), np.float32(0.3)
+    texts = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 2, 5, 0, 40, 3, 0)]
+    splits = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = model.predict(np.concatenate(texts), splits)
+    for text, p in zip(texts, got, strict=True):
+        one, two = model.places(text)
+        x = [model.table[a] + model.table[b] for a, b in zip(one, two, strict=True)]
+        logit = float(model.c)
+        for j, (w, width) in enumerate(zip(model.w, model.widths, strict=True)):
+            for f in range(model.filters):
+                sums = [sum(float(x[i + k] @ w[k][:, f]) for k in range(width) if i + k < len(x)) for i in range(len(x))]
+                top = max(sums) + model.b[j * 4 + f] if sums else 0.0
+                logit += max(0.0, float(top)) * float(model.u[j * 4 + f])
+        assert abs(p - 1 / (1 + np.exp(-logit))) < 1e-5
+
+
 def test_thresholds_split_at_the_gap():
     p, y = np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])
     assert 0.3 <= toxicity.best_threshold(p, y) <= 0.8
