@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,8 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Folders that new_dir() names within are deleted at the end: what reads them must have been written elsewhere."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
