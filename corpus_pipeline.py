@@ -2,7 +2,12 @@
 
 Toxic documents go; of each class of near-duplicates the one with the least id stays; documents of which benchmark
 passages make up a twentieth or more go, and smaller passages are cut out of the others; the rest becomes token ids,
-with the text that these give back."""
+with the text that these give back.
+
+Cases: null and empty texts are documents like others, of which near_dup.py says what copies they are, and have no
+tokens. Rows with one id, or none, are judged each on its own text, and a class keeps one row. Other columns stay as they are, whatever their
+names; null labels and labels of unknown documents teach nothing. Without documents no rows come out; without labels or
+benchmark those stages keep all."""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.decontaminate import remove_contamination
 from veilspark.llm.near_dup import NearDuplicates
 from veilspark.llm.sentencepiece_viterbi import encode_texts
-from veilspark.llm.shared import new_dir, table
+from veilspark.llm.shared import new_dir, remove, table, temporary
 from veilspark.llm.toxicity import reject_toxic, train
 
 MODEL = "piece_bpe_32k.model"
@@ -43,11 +48,15 @@ STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination"
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written into the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_dir(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):  # what a stage writes for itself goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 
