@@ -317,6 +317,13 @@ def test_thresholds_split_at_the_gap():
 # Pipeline
 
 
+def shared_folders(spark):
+    from veilspark.llm.shared import shared_dir
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as cp
 
@@ -347,7 +354,10 @@ def test_pipeline_stages(spark, small):
     library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     for i, t in texts["decontamination"].items():
         assert last[i].ids == library.encode(t or "") and last[i].text == (t or "")
-    assert cp.run(spark, small).count() == len(last)
+    before = set(shared_folders(spark))
+    out = cp.run(spark, small)
+    assert out.count() == len(last)
+    assert [re.sub("-.*", "", n) for n in set(shared_folders(spark)) - before] == ["sentencepiece"]  # the rest is deleted
 
 
 def toxicity_path(spark, name):
@@ -369,6 +379,21 @@ def test_stages_take_odd_rows(spark, small):
         assert stage(spark, empty, small).collect() == []
 
 
+def test_pipeline_of_empty_tables(spark, small, tmp_path):
+    import corpus_pipeline as cp
+
+    tables = {n: spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels", "benchmark")}
+
+    def run(name, *empty):
+        for n, df in tables.items():
+            (df.limit(0) if n in empty else df).write.parquet(f"{tmp_path}/{name}/{n}.parquet")
+        return cp.run(spark, f"{tmp_path}/{name}")
+
+    assert run("none", "documents").collect() == []
+    taught, docs = run("all", "labels", "benchmark"), tables["documents"]
+    assert {r.doc_id for r in taught.collect()} == {r.doc_id for r in NearDuplicates(docs).kept().collect()}
+
+
 def test_nothing_else_imports_this_folder():
     import pathlib
 
