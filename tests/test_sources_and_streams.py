@@ -1,3 +1,4 @@
+import json
 import io
 import wave
 import zipfile
@@ -207,3 +208,23 @@ def test_streams(spark, tmp_path):
     q = streams.fill_vault(found.select("label", "value"), vault_path, b"key").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(vault_path).count() == 12
+
+
+def test_kept_counts_take_late_rows_until_the_watermark(spark, tmp_path):
+    path, out = tmp_path / "in", f"file://{tmp_path}/out"
+    path.mkdir()
+    schema = "ts timestamp, label string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(path))
+    counts = streams.windowed_counts(stream, "ts", "5 minutes", late="10 minutes")
+
+    def more(*minutes):
+        lines = "".join(json.dumps({"ts": f"2024-01-01T{m // 60:02d}:{m % 60:02d}:00", "label": "a"}) + "\n" for m in minutes)
+        (path / f"{len(list(path.iterdir()))}.json").write_text(lines)
+        streams.keep_counts(counts, out).trigger(availableNow=True).start().awaitTermination()
+        rows = streams.kept_counts(spark, out)
+        return {(r.window_start.hour * 60 + r.window_start.minute): r.entities for r in rows.collect()}
+
+    assert more(0, 1, 7) == {0: 2, 5: 1}
+    assert more(4, 8, 31) == {0: 3, 5: 2, 30: 1}  # late, but within the watermark
+    assert more(2, 33) == {0: 3, 5: 2, 30: 2}  # minute 2 comes behind it
+    assert streams.kept_counts(spark, out).columns == ["window_start", "window_end", "label", "entities"]

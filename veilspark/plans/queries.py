@@ -536,15 +536,12 @@ def picture_redaction(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS label, count(*) AS entities FROM events GROUP BY 1, 2")
 def stream_windowed_counts(spark, sf_dir):
-    import uuid
-
     batch = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
     timed = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
-    name = "counts_" + uuid.uuid4().hex
-    q = streams.windowed_counts(timed, "ts", "1 hour").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "label", "entities")
+    path = streams.new_folder(spark, "counts")
+    streams.keep_counts(streams.windowed_counts(timed, "ts", "1 hour"), path).trigger(availableNow=True).start().awaitTermination()
+    return streams.kept_counts(spark, path).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "label", "entities")
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
