@@ -157,6 +157,68 @@ def test_chat_query_equals_its_sql(spark, tmp_path):
     assert sorted(tuple(r[c] for c in names) for r in chat_format.query(spark, str(tmp_path)).collect()) == sorted(expected.fetchall())
 
 
+def test_chat_rows_are_whole_examples(spark):
+    turns = [(r, f"text {t} [INST]") for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "user"])]
+    df = spark.createDataFrame([(1, t, *x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert [chat_format.parse_turns(r.text) for r in chat_format.prefix_targets(df).collect()] == [turns[:3], turns[:5], turns]
+
+
+@pytest.mark.parametrize("most", [1, 3, 256])
+def test_chat_examples_are_spelled_out(spark, most):
+    """The operator's own rows hold each reply's whole context, and the digests count what lies in them."""
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(["é😀 [x]", "a & b", "", "<s>"]) + str(t)) for c in range(8) for t in range(rng.randrange(1, 30))]
+    examples = chat_format.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most_turns=most)
+    whole = collections.defaultdict(list)
+    for r in examples.collect():
+        whole[r.conv_id, r.example].append(r)
+    chars: collections.Counter = collections.Counter()
+    for c, own in itertools.groupby(rows, key=lambda r: r[0]):
+        own = [r[2:] for r in own]
+        ends = [i + 1 for i, (role, _) in enumerate(own) if role == "assistant"]
+        open_ = not ends or ends[-1] < len(own)
+        assert sorted(k for k in whole if k[0] == c) == [(c, k) for k in range(len(ends) + open_)]
+        for k, end in enumerate([*ends, len(own)][: len(ends) + open_]):
+            parts = whole[c, k]
+            text = "".join(r.text for r in parts)
+            assert chat_format.parse_turns(text) == own[:end]
+            assert [r.part for r in parts] == list(range(-(-end // most))) and all(len(chat_format.parse_turns(r.text)) <= most for r in parts)
+            assert len({(r.loss_start, r.loss_end, r.known_chars) for r in parts}) == 1
+            if k < len(ends):
+                assert chat_format.unescape(text[parts[0].loss_start : parts[0].loss_end]) == own[end - 1][1]
+            chars[c] += len(text) - (parts[0].known_chars if k == len(ends) else 0)
+    assert {r.conv_id: r.formatted_chars for r in chat_format.digests(examples).collect()} == chars
+
+
+@pytest.mark.parametrize("most", [2, 256])
+def test_chat_digests_read_the_contexts(spark, most):
+    """A changed or missing context, or a missing row, is an error: contexts are read, not added up."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, t, ["user", "assistant"][t % 2], f"turn {t}") for t in range(8)]
+    examples = chat_format.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most_turns=most)
+    assert len(chat_format.digests(examples).collect()) == 1
+    changed = examples.withColumn("text", F.when(F.col("example") == 2, F.replace("text", F.lit("turn 0"), F.lit("turn X"))).otherwise(F.col("text")))
+    cut = examples.withColumn("text", F.when(F.col("example") == 3, F.expr("replace(text, '<s>[INST:user]turn 0[/INST]</s>\n', '')")).otherwise(F.col("text")))
+    for bad in (lambda: changed, lambda: cut, lambda: examples.where("example != 1"), lambda: examples.where("example != 2 or part > 0")):
+        with pytest.raises(Exception, match="context is not the conversation before it|missing or out of order"):
+            chat_format.digests(bad()).collect()
+
+
+def test_chat_prefix_beyond_memory():
+    prefix, turns = chat_format._Prefix(3, most_chars=60, in_memory=50), []
+    for t in range(40):
+        turns.append("é😀z" * (t % 9) + f"{t};" + "x" * (90 if t == 11 else 0))
+        prefix.add(turns[-1])
+        for _ in range(2):
+            parts = list(prefix.parts())
+            assert "".join(p for p, _ in parts) == "".join(turns) and parts[-1][1] == len(turns)
+            assert ["".join(turns[a:b]) for a, b in itertools.pairwise([0, *(n for _, n in parts)])] == [p for p, _ in parts]
+            assert all(b - a <= 3 and (len(p) <= 60 or b - a == 1) for (p, b), a in zip(parts, [0, *(n for _, n in parts)], strict=False))
+    assert prefix.file._rolled
+    prefix.close()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.text(max_size=8), st.text(alphabet="&lt;<[]/INS#91a\n", max_size=30)), max_size=4))
 def test_chat_template_is_reversible(turns):

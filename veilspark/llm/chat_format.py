@@ -1,33 +1,35 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all preceding turns are its context, and only its text is trained
-on. As the contexts of one conversation are prefixes of one another, an example row stores what it adds: the turns since
-the previous example, the number of characters of its context (all earlier rows' texts, in order, are that context), and
-the character span of its target in the whole example. So the output grows with the input, not with its square; expand()
-spells the examples out, which for a conversation of n turns are n / 2 texts of n / 2 turns each at the mean. Rows
-without target hold turns that no reply has closed: those after the last reply form an example without target, and
-`most_turns` turns without a reply go out as a row of their own, so that a row stays small, and belong to the context
-of the next reply like any other row.
+Every assistant turn becomes an example of its own: the text of all preceding turns, its context, and then of itself, the
+target; only the target's text is trained on. Turns after a conversation's last reply form an example without target,
+with all turns before them. Examples are spelled out, so a conversation of n turns gives n / 2 texts of n / 2 turns each
+at the mean: the output grows with the square of a conversation's length, as the method has it.
+
+An example of at most `most_turns` turns and 4 million characters is one row. A longer one goes on in further rows, in
+order and cut between turns, so that no row is larger than that or than a single turn; expand() joins them.
 
 Template of a turn: <s>[INST:role]text[/INST]</s> and a line feed. In roles and texts &, < and [ are written as &amp;,
 &lt; and &#91;, so no control string, of this template or another's, is left in them; unescape() is exact.
 
 Cases: null texts and roles count as empty; null turns come first; turns that tie are ordered by role and text, and
 repeated rows each count; a null conversation id is a conversation; an empty table gives no rows; other columns are
-ignored. One conversation's rows stream in order through one task, which keeps only the row being built."""
+ignored. One conversation's rows stream in order through one task, which keeps the row being built and, for the contexts
+to come, the turns so far: up to 64 MB of them in memory, beyond that in a file of its own that goes with it."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURN = re.compile(r"<s>\[INST:([^\]<]*)\]([^<\[]*)\[/INST\]</s>\n")
-EXAMPLE_DDL = "conv_id long, example long, text string, context_chars long, n_turns long, loss_start long, loss_end long"
-_NAMES = ["conv_id", "example", "text", "context_chars", "n_turns", "loss_start", "loss_end"]
+EXAMPLE_DDL = "conv_id long, example long, part long, text string, n_turns long, known_chars long, loss_start long, loss_end long"
+_NAMES = ["conv_id", "example", "part", "text", "n_turns", "known_chars", "loss_start", "loss_end"]
 
 
 def escape(s: str) -> str:
@@ -69,7 +71,7 @@ def _batches(rows, names, schema, most_chars=4 << 20):
     part, size = [], 0
     for r in rows:
         part.append(r)
-        size += len(r[2]) if isinstance(r[2], str) else 64
+        size += 64 + sum(len(x) for x in r if isinstance(x, str))
         if size >= most_chars or len(part) >= 5000:
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in part], schema)
             part, size = [], 0
@@ -77,37 +79,76 @@ def _batches(rows, names, schema, most_chars=4 << 20):
         yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in part], schema)
 
 
+class _Prefix:
+    """The formatted turns of a conversation so far, in parts of bounded size. The parts that are full lie in a file, in
+    memory while that is small; the last one is a string."""
+
+    def __init__(self, most_turns: int, most_chars: int = 4 << 20, in_memory: int = 64 << 20):
+        self.most_turns, self.most_chars, self.in_memory = most_turns, most_chars, in_memory
+        self.file, self.full = None, []  # of each full part: bytes, turns up to its end
+        self.last, self.chars, self.turns, self.begin = "", 0, 0, 0  # begin: turns before the last part
+
+    def add(self, turn: str) -> None:
+        if self.turns > self.begin and (self.turns - self.begin >= self.most_turns or len(self.last) + len(turn) > self.most_chars):
+            self.file = self.file or tempfile.SpooledTemporaryFile(self.in_memory)  # noqa: SIM115
+            self.file.seek(0, 2)
+            self.full.append((self.file.write(self.last.encode()), self.turns))
+            self.last, self.begin = "", self.turns
+        self.last += turn
+        self.chars += len(turn)
+        self.turns += 1
+
+    def parts(self):
+        """(text, turns up to its end) of each part; all turns so far, in order."""
+        if self.full:
+            self.file.seek(0)
+            for size, upto in self.full:
+                yield self.file.read(size).decode(), upto
+        yield self.last, self.turns
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+
+
 def _examples(rows, most_turns: int):
     """rows: (conv, role, text) in order; one conversation after another."""
-    now, started = None, False
-    example = context = turns = size = 0
-    part: list[str] = []
+    now, prefix = None, None
+    example = known_chars = known_turns = 0  # known: what the conversation's examples so far hold
 
-    def row(loss_start=None, loss_end=None):
-        return now, example, "".join(part), context, turns, loss_start, loss_end
+    def spelled(loss_start=None, loss_end=None):
+        begin = 0
+        for part, (text, upto) in enumerate(prefix.parts()):
+            yield now, example, part, text, max(0, upto - max(begin, known_turns)), known_chars, loss_start, loss_end
+            begin = upto
 
     for conv, role, text in rows:
-        if not started or conv != now:
-            if part:
-                yield row()
-            now, started, part, example, context, turns, size = conv, True, [], 0, 0, 0, 0
+        if prefix is None or conv != now:
+            if prefix:
+                if prefix.turns > known_turns:
+                    yield from spelled()
+                prefix.close()
+            now, prefix = conv, _Prefix(most_turns)
+            example = known_chars = known_turns = 0
         turn, head = format_turn(role, text)
-        part.append(turn)
-        turns += 1
-        begin = context + size + head
-        size += len(turn)
-        if role == "assistant" or turns >= most_turns:
-            yield row(begin, begin + len(escape(text))) if role == "assistant" else row()
-            example, context, part, turns, size = example + 1, context + size, [], 0, 0
-    if part:
-        yield row()
+        begin = prefix.chars + head
+        prefix.add(turn)
+        if role == "assistant":
+            yield from spelled(begin, begin + len(escape(text)))
+            example, known_chars, known_turns = example + 1, prefix.chars, prefix.turns
+    if prefix:
+        if prefix.turns > known_turns:
+            yield from spelled()
+        prefix.close()
 
 
 def prefix_targets(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most_turns: int = 256) -> DataFrame:
-    """Example rows: conv_id, example, text (what it adds), context_chars, n_turns (in text), loss_start, loss_end.
+    """Examples, each with its whole context: conv_id, example, part, text, n_turns, known_chars, loss_start, loss_end.
 
-    loss_start and loss_end count characters from the beginning of the whole example; null in rows without target."""
-    schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("context_chars", pa.int64()), ("n_turns", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    Parts of an example, from 0, together are its text. loss_start and loss_end count characters from the beginning of
+    the example and are the same in all its parts; null in an example without target. The first known_chars characters
+    are those of the conversation's example before; n_turns counts the turns of a part that lie beyond them."""
+    schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("n_turns", pa.int64()), ("known_chars", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def run(batches):
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -118,32 +159,26 @@ def prefix_targets(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str
 
 
 def expand(examples: DataFrame) -> DataFrame:
-    """Whole examples as texts, from example rows that lie in order: conv_id, example, text, loss_start, loss_end.
+    """Each example as one text, its parts joined, from rows that lie in order: conv_id, example, text, loss_start, loss_end.
 
-    The last turns of a conversation without a reply are an example without target. Grows with the square of a
-    conversation's length; a task holds one conversation."""
+    A text must be short enough for a row."""
     names = ["conv_id", "example", "text", "loss_start", "loss_end"]
     schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
-    def spelled(rows):
-        now, parts, number, open_ = None, [], 0, False
-        for conv, _, text, _, _, begin, end in rows:
-            if not parts or conv != now:
-                if open_:
-                    yield now, number, "".join(parts), None, None
-                now, parts, number = conv, [], 0
+    def joined(rows):
+        last, parts = None, []
+        for conv, example, part, text, _, _, begin, end in rows:
+            if part == 0 and parts:
+                yield *last[:2], "".join(parts), *last[2:]
+                parts = []
             parts.append(text)
-            open_ = begin is None
-            if not open_:
-                parts = ["".join(parts)]
-                yield now, number, parts[0], begin, end
-                number += 1
-        if open_:
-            yield now, number, "".join(parts), None, None
+            last = conv, example, begin, end
+        if parts:
+            yield *last[:2], "".join(parts), *last[2:]
 
     def run(batches):
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        yield from _batches(spelled(rows), names, schema)
+        yield from _batches(joined(rows), names, schema)
 
     return examples.mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_end long")
 
@@ -152,40 +187,66 @@ _DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "f
 
 
 def _digests(rows):
-    now, state, waiting = None, None, 0  # waiting: characters of turns that no reply has closed yet
+    """rows: text as a buffer of UTF-8, and its number of characters after it.
+
+    Each example's context must be the conversation's text before it, byte by byte (told by SHA-256), so what it adds is
+    read once; its length and its target are its own."""
+    now, state, seen = None, None, None  # seen: of the whole example before
+    at, whole, open_, example, part = 0, None, False, None, 0
 
     def row():
+        if open_:
+            raise ValueError("an example lacks rows")
         n, turns, chars, loss, formatted = state
-        return now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted + waiting
+        return now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
 
-    for conv, _, text, context, _, begin, end in rows:
+    for conv, number, piece, text, size, n_turns, known, begin, end in rows:
         if state is None or conv != now:
             if state:
                 yield row()
-            now, state, waiting = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
-        parsed = parse_turns(text)
-        state[0] += len(parsed)
-        state[1].update("".join(f"{r}\n{t}\n" for r, t in parsed).encode("utf-8", "surrogatepass"))
-        waiting += len(text)
-        if begin is not None:
-            target = unescape(text[begin - context : end - context])
-            state[2] += len(target)
-            state[3].update(target.encode("utf-8", "surrogatepass"))
-            state[4] += context + len(text)
-            waiting = 0
+            now, state, whole, example = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], hashlib.sha256(), None
+        if number != example:
+            at, part, open_, example, seen, whole = 0, 0, True, number, whole, hashlib.sha256()
+        if piece != part:
+            raise ValueError("rows of an example are missing or out of order")
+        if n_turns:
+            s = str(text, "utf-8")
+            cut = max(0, known - at)
+            if open_:
+                whole.update(s[:cut].encode())
+                if at + cut != known or whole.digest() != seen.digest():
+                    raise ValueError("an example's context is not the conversation before it")
+                open_ = False
+            s = s[cut:]
+            whole.update(s.encode())
+            parsed = parse_turns(s)
+            state[0] += len(parsed)
+            state[1].update("".join(f"{r}\n{t}\n" for r, t in parsed).encode())
+            if begin is not None and begin < at + size:
+                target = unescape(s[begin - at - cut : end - at - cut])
+                state[2] += len(target)
+                state[3].update(target.encode())
+        else:
+            whole.update(text)
+        at, part = at + size, part + 1
+        state[4] += size if begin is not None else max(0, min(size, at - known))
     if state:
         yield row()
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row a conversation, read back from example rows that lie in order, as prefix_targets() leaves them.
+    """One row a conversation, read back from whole examples whose rows lie in order, as prefix_targets() leaves them.
 
     formatted_chars counts the characters of all examples, each with its whole context, and of turns after the last reply."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches):
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        yield from _batches(_digests(rows), _DIGEST, schema)
+        def rows():
+            for b in batches:
+                conv, example, part, text, n_turns, known, begin, end = b.columns
+                yield from zip(*(c.to_pylist() for c in (conv, example, part)), (t.as_buffer() for t in text), *(c.to_pylist() for c in (pc.utf8_length(text), n_turns, known, begin, end)), strict=True)
+
+        yield from _batches(_digests(rows()), _DIGEST, schema)
 
     return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
