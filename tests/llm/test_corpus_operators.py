@@ -134,6 +134,23 @@ def test_near_duplicates_equal_brute_force(spark, in_task, at_once):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(got)
 
 
+def test_large_bucket_of_different_texts_takes_one_round(spark):
+    """Texts that share keys but are not similar, in buckets beyond what a task may hold, with a few copies among them."""
+    rng = random.Random(3)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common = make(8)
+    docs = [common + make(8) for _ in range(60)]
+    docs += [[*d[:-1], *make(1)] for d in docs[::10]]
+    texts = [" ".join(d) for d in docs]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = NearDuplicates(df, in_task=8, at_once=2)
+    assert len(found.roots) <= 3
+    got = collections.defaultdict(set)
+    for r in found.members().collect():
+        got[r.class_id].add(r.id)
+    assert {frozenset(v) for v in got.values()} == brute_classes(texts)
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(7, text), (7, text), (None, text), (9, text + " more"), (9, "other words entirely"), (None, "alone here")]

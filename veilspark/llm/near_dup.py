@@ -11,9 +11,9 @@ share a key are candidates: they are compared by banded alignment of their words
 Within a key's bucket, all members are first compared with one of them (a star, so a group of copies costs as many
 comparisons as it has members). Then components are formed, and buckets whose members are still in several components
 are finished exactly: while a bucket is of bounded size, one task compares its members across components, by way of the
-rare words that similar texts must share; larger ones take turns in parallel, in which members outside the largest
-component meet a few of it, or a few of them meet all others and leave. So no candidate pair is left undecided, and the
-pairs of a group are not listed.
+rare words that similar texts must share; larger ones are cut into pieces of bounded size, and each two pieces meet in a
+task of their own, but for pieces of the largest component, which need not meet. So no candidate pair is left undecided,
+the pairs of a group are not listed, and a bucket of any size takes one round.
 
 Cases: a null text is a class of its own; texts without words are copies only of the same string; texts of at
 most three words have one window; ids may repeat or be null (the class id is the least id, null if there is none, and its row is kept); texts are
@@ -172,11 +172,12 @@ def rare_words(words: list[np.ndarray], least: float) -> list[np.ndarray]:
     return out
 
 
-def joined_labels(labels: list, words: list[np.ndarray], keys: np.ndarray, key: int, least: float) -> list[tuple]:
+def joined_labels(labels: list, words: list[np.ndarray], keys: np.ndarray, key: int, least: float, piece: np.ndarray | None = None) -> list[tuple]:
     """Pairs of labels that similar members connect, found exactly: every pair of members is in one component by now, or
     left to another of its keys, ruled out (by length, rare words or the number of words in common), or compared.
 
-    keys: all keys of each member, a line a member; a pair is looked at under the least key that it shares."""
+    keys: all keys of each member, a line a member; a pair is looked at under the least key that it shares.
+    piece: if given, only members of different pieces meet."""
     number = {v: i for i, v in enumerate(dict.fromkeys(labels))}
     mine = np.array([number[v] for v in labels])
     up = np.arange(len(number))
@@ -204,6 +205,8 @@ def joined_labels(labels: list, words: list[np.ndarray], keys: np.ndarray, key:
         near = np.unique(np.concatenate([who[a:b] for a, b in zip(lo, hi, strict=True)]))
         longer = np.maximum(sizes[near], sizes[i])
         near = near[(np.minimum(sizes[near], sizes[i]) >= least * longer - 1e-9) & (mine[near] != mine[i]) & ((near > i) | (mine[near] == most))]
+        if piece is not None:
+            near = near[piece[near] != piece[i]]
         shared = keys[near] == keys[i]
         near = near[np.where(shared, keys[near], LARGEST).min(axis=1, initial=LARGEST) == key]
         if not len(near):
@@ -228,7 +231,8 @@ def _finisher(least: float):
         listed = table.column("keys").to_pylist()
         wide = max(map(len, listed))
         keys = np.array([x + [LARGEST] * (wide - len(x)) for x in listed], np.int64)
-        found = joined_labels(table.column("label").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()], keys, table.column("key")[0].as_py(), least)
+        piece = None if table.column("one")[0].as_py() == table.column("two")[0].as_py() else np.asarray(table.column("piece"))
+        found = joined_labels(table.column("label").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()], keys, table.column("key")[0].as_py(), least, piece)
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return run
@@ -289,43 +293,59 @@ class NearDuplicates:
         names = rows.columns
         return rows.join(step.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label")).select(*names)
 
-    def _first(self, rows: DataFrame, n: int, turn: int) -> DataFrame:
-        """n rows of each key, in an order that changes with the turn, as lfp, ln and ll."""
-        w = Window.partitionBy("key").orderBy(F.xxhash64("key", "node", F.lit(turn)))
+    def _first(self, rows: DataFrame, n: int) -> DataFrame:
+        """n rows of each key as lfp, ln and ll."""
+        w = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
         return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("key", F.col("node").alias("lfp"), F.col("n").alias("ln"), F.col("label").alias("ll"))
 
+    def _open(self, members: DataFrame) -> DataFrame:
+        """The members of buckets that are in several components after the last step, and whether one task may hold them."""
+        labelled = self._onward(members, self.roots[-1])
+        state = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
+        state = state.where("x <> y").select("key", ((F.col("c") <= self.in_task) & (F.col("w") <= self.in_task_words)).alias("small"))
+        return self._keep(labelled.join(state, "key"), "open")
+
+    def _shapes(self, large: DataFrame) -> DataFrame:
+        """key, its largest component (top), and members and words inside and outside it."""
+        size = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
+        shape = size.groupBy("key").agg(F.max(F.struct("c", "label", "w")).alias("t"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+        return shape.select("key", F.col("t.label").alias("top"), F.col("t.c").alias("ci"), F.col("t.w").alias("wi"), (F.col("c") - F.col("t.c")).alias("co"), (F.col("w") - F.col("t.w")).alias("wo"))
+
+    def _pieces(self, large: DataFrame) -> DataFrame:
+        """key, node, label, piece, one, two: a row for each task (key, one, two) that a member of a large bucket is in.
+
+        Pieces hold about half of what a task may. Those outside the largest component come first; each of them meets
+        itself, each other and each piece inside."""
+        half, words = max(1, self.in_task // 2), max(1, self.in_task_words // 2)
+        n = lambda c, w: F.greatest(F.ceil(F.col(c) / half), F.ceil(F.col(w) / words), F.lit(1)).cast("int")
+        dealt = large.join(self._shapes(large).select("key", "top", n("co", "wo").alias("outer"), n("ci", "wi").alias("inner")), "key")
+        own, inside = F.xxhash64("node", F.lit("piece")), F.col("label") == F.col("top")
+        dealt = dealt.withColumn("piece", F.when(inside, F.col("outer") + F.pmod(own, "inner")).otherwise(F.pmod(own, "outer")).cast("int"))
+        met = F.sequence(F.lit(0), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+        return dealt.withColumn("met", F.explode(met)).select("key", "node", "label", "piece", F.least("piece", "met").alias("one"), F.greatest("piece", "met").alias("two"))
+
     def _finish(self, members: DataFrame) -> None:
         """members: key, node, n, label, of which the labels lag one step behind self.roots.
 
-        Buckets too large for one task take turns. In one, members outside the largest component are compared with a
-        few of it, which soon takes in all that belong there. In the next, a few of those outside are compared with all
-        members of other components and leave the bucket; so the turns end, and no pair is left out."""
-        turn = 0
-        while True:
-            labelled = self._onward(members, self.roots[-1])
-            state = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
-            state = state.where("x <> y").select("key", ((F.col("c") <= self.in_task) & (F.col("w") <= self.in_task_words)).alias("small"))
-            members = self._keep(labelled.join(state, "key"), "open")
-            large = members.where("NOT small")
-            if not large.take(1):
-                break
-            size = large.groupBy("key", "label").agg(F.count("*").alias("c"))
-            top = size.groupBy("key").agg(F.max(F.struct("c", "label")).alias("t")).select("key", F.col("t.label").alias("top"))
+        In buckets too large for one task of which the largest component holds a quarter, the others are compared with
+        a few of it first, which takes in most that belong there."""
+        members = self._open(members)
+        large = members.where("NOT small")
+        if large.take(1):
+            top = self._shapes(large).where(4 * F.col("ci") >= F.col("ci") + F.col("co")).select("key", "top")
             split = self._keep(large.join(top, "key").withColumn("inside", F.col("label") == F.col("top")).drop("top", "small"), "split")
-            probing = turn % 2 == 1
-            few = self._keep(self._first(split.where(F.col("inside") != F.lit(probing)), self.at_once, turn), "few")
-            against = split if probing else split.where("NOT inside")
-            pairs = against.join(few, "key").where((F.col("label") != F.col("ll")) & self._ratio("n", "ln"))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("lfp").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
-            self.roots.append(self._components(self._verified(pairs)))
-            members = members.drop("small")
-            if probing:
-                members = members.join(few.select("key", F.col("lfp").alias("node")), ["key", "node"], "left_anti")
-            turn += 1
+            if split.take(1):
+                few = self._keep(self._first(split.where("inside"), self.at_once), "few")
+                pairs = split.where("NOT inside").join(few, "key").where(self._ratio("n", "ln"))
+                pairs = pairs.select(F.col("node").alias("a"), F.col("lfp").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
+                self.roots.append(self._components(self._verified(pairs)))
+                members = self._open(members.drop("small"))
         if members.take(1):
             own = self.nodes.select(F.col("fp").alias("node"), "keys").join(self.words.select(F.col("fp").alias("node"), "words").hint("merge"), "node")
-            wide = members.select("key", "node", "label").join(own.hint("merge"), "node")
-            self.roots.append(self._components(wide.groupBy("key").applyInArrow(_finisher(self.similarity), "a binary, b binary")))
+            none = F.lit(0).alias("piece"), F.lit(0).alias("one"), F.lit(0).alias("two")
+            dealt = members.where("small").select("key", "node", "label", *none).unionByName(self._pieces(members.where("NOT small")))
+            wide = dealt.join(own.hint("merge"), "node")
+            self.roots.append(self._components(wide.groupBy("key", "one", "two").applyInArrow(_finisher(self.similarity), "a binary, b binary")))
 
     def _classes(self) -> DataFrame:
         """fp, class_id, class_size and the key of the class's first row."""
